@@ -84,7 +84,7 @@ def stitch(detections: DataFrame, tiles: DataFrame, margin: int = 64) -> DataFra
         keep_left=["uid"],
         keep_right=[],
         distinct_pairs=False,
-    ).select("uid").distinct()
+    ).select(F.col("l_uid").alias("uid")).distinct()
     return kept.join(hit, "uid", "left_anti")
 
 
