@@ -63,12 +63,17 @@ VIEWS: dict[str, str] = {
  select cast(floor(l_orderkey/cast(512 as double)) as int) image_id,
  cast((l_partkey*31+l_orderkey*7)%64 as int) x, cast((l_partkey*17+l_suppkey*5+l_linenumber*3)%64 as int) y,
  l_quantity q from {lineitem}) s group by image_id, x, y""",
+    # the same foreground grown by a cross, so that it has an inside and holes
+    "fx_dil": """select distinct image_id, cast(nx as int) x, cast(ny as int) y from (
+ select image_id, x nx, y ny from {fx_blob} where v>20 union all select image_id, x+1, y from {fx_blob} where v>20
+ union all select image_id, x-1, y from {fx_blob} where v>20 union all select image_id, x, y+1 from {fx_blob} where v>20
+ union all select image_id, x, y-1 from {fx_blob} where v>20) q where nx between 0 and 63 and ny between 0 and 63""",
     # instance map over the same frames: one id per 16 x 16 cell, so ids come in disconnected pieces
     "fx_patchwork": """select image_id, x, y, cast(1+floor(x/cast(16 as double))+4*floor(y/cast(16 as double)) as int) inst_id,
  cast((v+x)%4 as int) cls from {fx_blob}""",
     # dense 8 x 8 grey image per embedding
     "fx_grey_pos": "select a.n x, b.n y from {fx_n} a join {fx_n} b on a.n<8 and b.n<8",
-    "fx_grey": """select cast(vec_id as int) image_id, p.x, p.y,
+    "fx_grey": """select cast(vec_id as int) image_id, cast(label as int) label, p.x, p.y,
  cast(least(greatest(floor((cast(embedding[{base}+p.y*8+p.x] as double)+1)*128),0),255) as int) v
  from {embeddings} join {fx_grey_pos} p on true""",
 }

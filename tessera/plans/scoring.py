@@ -83,25 +83,25 @@ def class_sets(fx: Fixtures) -> DataFrame:
 def head_pixels(fx: Fixtures) -> DataFrame:
     """Pixels of three heads over the grey images: a type map, two instance channels, a patch class."""
     g = fx["fx_grey"]
-    flag = lambda i: (F.col("image_id") * 7 + i) % 3 != 0
+    label = F.col("label")
     row = lambda head, channel, true, pred, gt: F.struct(
         F.lit(head).alias("head"), F.lit(channel).cast("int").alias("channel"), true.cast("int").alias("true"), pred.cast("int").alias("pred"), gt.alias("has_gt")
     )
     v, x, y = F.col("v"), F.col("x"), F.col("y")
     on = lambda cond, k: F.when(cond, k).otherwise(0)
     rows = F.array(
-        row("Nuclei-TYPE", None, v % 7, (v + (x == y).cast("int")) % 7, flag(1)),
-        row("Gland-INST", 1, v % 3, on(v / 255.0 > 0.5, 1), flag(2)),
-        row("Gland-INST", 2, v % 3, on((255 - v) / 255.0 > 0.5, 2), flag(2)),
-        F.when((x == 0) & (y == 0), row("Patch-Class", None, v % 9, (v + F.col("image_id") % 2) % 9, flag(0))),
+        row("Nuclei-TYPE", None, v % 7, (v + (x == y).cast("int")) % 7, label <= 5),
+        row("Gland-INST", 1, v % 3, on(v / 255.0 > 0.5, 1), label >= 3),
+        row("Gland-INST", 2, v % 3, on((255 - v) / 255.0 > 0.5, 2), label >= 3),
+        F.when((x == 0) & (y == 0), row("Patch-Class", None, v % 9, (v + F.col("image_id") % 2) % 9, label != 4)),
     )
     return g.select(F.explode(rows).alias("r")).where("r is not null").select("r.*")
 
 
-HEAD_ROWS = """hp as (select 'Nuclei-TYPE' head, k.k cls, v%7 t, (v+case when x=y then 1 else 0 end)%7 p, (image_id*7+1)%3<>0 gt, v%7>0 m from fx_grey join (select unnest(range(1,7)) k) k on true
- union all select 'Gland-INST', 1, v%3, case when v/255.0>0.5 then 1 else 0 end, (image_id*7+2)%3<>0, true from fx_grey
- union all select 'Gland-INST', 2, v%3, case when (255-v)/255.0>0.5 then 2 else 0 end, (image_id*7+2)%3<>0, true from fx_grey
- union all select 'Patch-Class', k.k, v%9, (v+image_id%2)%9, (image_id*7)%3<>0, true from fx_grey join (select unnest(range(9)) k) k on x=0 and y=0),
+HEAD_ROWS = """hp as (select 'Nuclei-TYPE' head, k.k cls, v%7 t, (v+case when x=y then 1 else 0 end)%7 p, label<=5 gt, v%7>0 m from fx_grey join (select unnest(range(1,7)) k) k on true
+ union all select 'Gland-INST', 1, v%3, case when v/255.0>0.5 then 1 else 0 end, label>=3, true from fx_grey
+ union all select 'Gland-INST', 2, v%3, case when (255-v)/255.0>0.5 then 2 else 0 end, label>=3, true from fx_grey
+ union all select 'Patch-Class', k.k, v%9, (v+image_id%2)%9, label<>4, true from fx_grey join (select unnest(range(9)) k) k on x=0 and y=0),
 acc as (select head, cast(cls as int) cls, cast(sum(case when m and t=cls and p=cls then 1 else 0 end) as bigint) over_inter, cast(sum(case when m then (case when t=cls then 1 else 0 end)+(case when p=cls then 1 else 0 end) else 0 end) as bigint) over_total,
  cast(sum(case when t=p then 1 else 0 end) as bigint) over_correct, count(*) nr_pixels from hp where gt group by all)"""
 
