@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, padded
-from tessera.operators.components import component_boxes, label_runs, run_id
+from tessera.operators.components import component_boxes, label_runs
 from tessera.operators.runs import covered_by_all, gaps, merge_runs, to_pixels, to_runs
 from tessera.session import stable_copy
 
@@ -181,21 +181,18 @@ def split_by_markers(mask_px: DataFrame, marker_px: DataFrame) -> DataFrame:
     radius.  Mask parts without a marker stay unassigned.
     """
     cell = ["image_id", "x", "y"]
-    mask = stable_copy(mask_px.select(*cell).distinct())
-    ring = stable_copy(marker_px.join(mask, cell, "left_semi").groupBy(*cell).agg(F.min("marker").alias("marker")))
-    done, rest = ring, stable_copy(mask.join(ring, cell, "left_anti"))
+    rest = stable_copy(mask_px.select(*cell).distinct())
+    ring = stable_copy(marker_px.join(rest, cell).groupBy(*cell).agg(F.min("marker").alias("marker")))
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    rings = [ring]
+    rings = []
     while not ring.isEmpty():
+        rings.append(ring)
+        rest = stable_copy(rest.join(ring, cell, "left_anti"))
         near = ring.select("image_id", "x", "y", "marker", F.explode(steps).alias("s")).select(
             "image_id", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), "marker"
         )
-        ring = stable_copy(near.groupBy(*cell).agg(F.min("marker").alias("marker")).join(rest, cell, "left_semi"))
-        rest = stable_copy(rest.join(ring, cell, "left_anti"))
-        rings.append(ring)
-        if len(rings) == 16:
-            rings = [stable_copy(_union(rings))]
-    return _union(rings)
+        ring = stable_copy(near.groupBy(*cell).agg(F.min("marker").alias("marker")).join(rest, cell))
+    return _union(rings or [ring])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -69,8 +69,11 @@ VIEWS: dict[str, str] = {
  union all select image_id, x-1, y from {fx_blob} where v>20 union all select image_id, x, y+1 from {fx_blob} where v>20
  union all select image_id, x, y-1 from {fx_blob} where v>20) q where nx between 0 and 63 and ny between 0 and 63""",
     # instance map over the same frames: one id per 16 x 16 cell, so ids come in disconnected pieces
-    "fx_patchwork": """select image_id, x, y, cast(1+floor(x/cast(16 as double))+4*floor(y/cast(16 as double)) as int) inst_id,
+    "fx_patchwork": """select image_id, x, y, v, cast(1+floor(x/cast(16 as double))+4*floor(y/cast(16 as double)) as int) inst_id,
  cast((v+x)%4 as int) cls from {fx_blob}""",
+    # listings of image and companion files
+    "fx_files": """select cast(doc_id as int) image_id, source dir, '/data/'||source||'/'||lang||'_'||cast(doc_id as varchar(20))||
+ case when n_chars>6000 then '.svs' when n_chars>4500 then '.tif' when n_chars>3000 then '.tiff' when n_chars>1500 then '.ndpi' when n_chars>700 then '.png' else '.txt' end path, n_chars from {documents}""",
     # dense 8 x 8 grey image per embedding
     "fx_grey_pos": "select a.n x, b.n y from {fx_n} a join {fx_n} b on a.n<8 and b.n<8",
     "fx_grey": """select cast(vec_id as int) image_id, cast(label as int) label, p.x, p.y,

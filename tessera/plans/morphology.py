@@ -165,9 +165,9 @@ def grow_instances(fx: Fixtures) -> DataFrame:
 
 @query(
     "contour_targets",
-    f"""with {ELLIPSE3}, inn as (select f.image_id, f.inst_id, f.x, f.y from fx_true_px f join el on true join fm on fm.image_id=f.image_id left join fx_true_px n on n.image_id=f.image_id and n.inst_id=f.inst_id and n.x=f.x+i and n.y=f.y+j
- where f.x+i between 0 and w-1 and f.y+j between 0 and h-1 group by all having count(*)=count(n.x)),
-fm as (select image_id, max(x)+1 w, max(y)+1 h from fx_true_px group by image_id),
+    f"""with {ELLIPSE3}, fm as (select image_id, max(x)+1 w, max(y)+1 h from fx_true_px group by image_id),
+inn as (select f.image_id, f.inst_id, f.x, f.y from fx_true_px f join el on true join fm on fm.image_id=f.image_id left join fx_true_px n on n.image_id=f.image_id and n.inst_id=f.inst_id and n.x=f.x+i and n.y=f.y+j
+ where f.x+i between 0 and w-1 and f.y+j between 0 and h-1 group by f.image_id, f.inst_id, f.x, f.y having count(*)=count(n.x)),
 ou as (select distinct f.image_id, f.inst_id, f.x+i x, f.y+j y from fx_true_px f join el on true join fm on fm.image_id=f.image_id where f.x+i between 0 and w-1 and f.y+j between 0 and h-1),
 rg as (select image_id, inst_id, x, y from ou except select image_id, inst_id, x, y from inn),
 a as (select image_id, x, y, max(i) i, max(r) r from (select image_id, x, y, 1 i, 0 r from inn union all select image_id, x, y, 0, 1 from rg) group by all)

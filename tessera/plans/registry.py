@@ -11,7 +11,7 @@ from tessera.plans.fixtures import Fixtures, with_views
 
 _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_FAMILIES = ("placement", "joins", "attributes", "scoring", "losses", "morphology")
+_FAMILIES = ("placement", "joins", "attributes", "scoring", "losses", "morphology", "rasters", "catalogue")
 
 
 def query(name: str, oracle: str | None = None):
