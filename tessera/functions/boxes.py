@@ -6,24 +6,28 @@ intervals, so the predicates use ``<=``/``>=`` throughout.  Contours are ``array
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
 class Box:
-    """Names (or columns) of one box."""
+    """Four columns; names are turned into columns only when used, so boxes can be module constants."""
 
-    x0: Column
-    y0: Column
-    x1: Column
-    y1: Column
+    def __init__(self, x0: Column | str, y0: Column | str, x1: Column | str, y1: Column | str):
+        self._sides = (x0, y0, x1, y1)
 
     @classmethod
     def of(cls, prefix: str = "", x0="x_min", y0="y_min", x1="x_max", y1="y_max") -> "Box":
-        return cls(F.col(prefix + x0), F.col(prefix + y0), F.col(prefix + x1), F.col(prefix + y1))
+        return cls(prefix + x0, prefix + y0, prefix + x1, prefix + y1)
+
+    def _side(self, i: int) -> Column:
+        side = self._sides[i]
+        return F.col(side) if isinstance(side, str) else side
+
+    x0 = property(lambda self: self._side(0))
+    y0 = property(lambda self: self._side(1))
+    x1 = property(lambda self: self._side(2))
+    y1 = property(lambda self: self._side(3))
 
     @property
     def area(self) -> Column:

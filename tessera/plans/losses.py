@@ -13,7 +13,15 @@ from tessera.plans.scoring import predictions
 
 # Pixel weights of the nuclei types
 TYPE_WEIGHTS = {0: 1.0, 1: 2.0, 2: 1.5, 3: 3.0, 4: 2.5, 5: 1.0, 6: 1.0}
-LOGITS, TARGET = F.col("logits"), F.col("y_true")
+
+
+def logits():
+    return F.col("logits")
+
+
+def target():
+    return F.col("y_true")
+
 
 NLL = """nl as (select sample_id, y_true, ln(sum(exp(cast(embedding[k] as double))))-max(case when k=y_true+1 then cast(embedding[k] as double) end) nll
  from (select sample_id, y_true, embedding, unnest(range(1,11)) k from fx_preds) group by sample_id, y_true)"""
@@ -26,14 +34,14 @@ WEIGHT = "case y_true when 0 then 1.0 when 1 then 2.0 when 2 then 1.5 when 3 the
 )
 def cross_entropy(fx: Fixtures) -> DataFrame:
     return predictions(fx).agg(
-        F.round(ls.cross_entropy(LOGITS, TARGET), 9).alias("ce"),
-        F.round(ls.cross_entropy(LOGITS, TARGET, TYPE_WEIGHTS), 9).alias("weighted_ce"),
+        F.round(ls.cross_entropy(logits(), target()), 9).alias("ce"),
+        F.round(ls.cross_entropy(logits(), target(), TYPE_WEIGHTS), 9).alias("weighted_ce"),
     )
 
 
 @query("cross_entropy_per_sample", f"with {NLL} select sample_id, round(nll,9) nll from nl")
 def cross_entropy_per_sample(fx: Fixtures) -> DataFrame:
-    return predictions(fx).select("sample_id", F.round(nll(LOGITS, TARGET), 9).alias("nll"))
+    return predictions(fx).select("sample_id", F.round(nll(logits(), target()), 9).alias("nll"))
 
 
 @query(
@@ -41,7 +49,7 @@ def cross_entropy_per_sample(fx: Fixtures) -> DataFrame:
     f"with {NLL} select y_true batch, round(avg(nll)*avg((1-exp(-nll))*(1-exp(-nll))),9) focal from nl group by y_true",
 )
 def focal_loss(fx: Fixtures) -> DataFrame:
-    return predictions(fx).groupBy(F.col("y_true").alias("batch")).agg(F.round(ls.focal(LOGITS, TARGET), 9).alias("focal"))
+    return predictions(fx).groupBy(F.col("y_true").alias("batch")).agg(F.round(ls.focal(logits(), target()), 9).alias("focal"))
 
 
 @query(
@@ -49,7 +57,7 @@ def focal_loss(fx: Fixtures) -> DataFrame:
     f"with {NLL} select sample_id, round((1-exp(-nll))*(1-exp(-nll))*avg(nll) over (partition by y_true),9) loss from nl",
 )
 def focal_loss_per_sample(fx: Fixtures) -> DataFrame:
-    out = ls.focal_per_sample(predictions(fx), "y_true", LOGITS, TARGET)
+    out = ls.focal_per_sample(predictions(fx), "y_true", logits(), target())
     return out.select("sample_id", F.round("loss", 9).alias("loss"))
 
 
@@ -144,8 +152,8 @@ m as (select sample_id%5 step, head, term, sum(value*flag)/(sum(flag)+1e-8) mean
 select step, round(sum(mean*case when head='Nuclei-TYPE' and term='ce' then 2.0 when head='Nuclei-TYPE' then 1.0 else 0.5 end),6) overall_loss from m where head<>'Gland-INST' group by step""",
 )
 def multi_task_loss(fx: Fixtures) -> DataFrame:
-    n = nll(LOGITS, TARGET)
-    seg, cls = (TARGET < 6).cast("double"), (TARGET >= 6).cast("double")
+    n = nll(logits(), target())
+    seg, cls = (target() < 6).cast("double"), (target() >= 6).cast("double")
     term = lambda head, name, value, flag: F.struct(F.lit(head).alias("head"), F.lit(name).alias("term"), value.alias("value"), flag.alias("flag"))
     terms = F.array(
         term("Nuclei-TYPE", "ce", n, seg),
