@@ -11,7 +11,19 @@ from tessera.plans.fixtures import Fixtures, with_views
 
 _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_FAMILIES = ("placement", "joins", "attributes", "scoring", "losses", "morphology", "rasters", "catalogue", "exports", "sampling")
+_FAMILIES = (
+    "placement",
+    "joins",
+    "attributes",
+    "scoring",
+    "losses",
+    "morphology",
+    "rasters",
+    "catalogue",
+    "exports",
+    "sampling",
+    "increments",
+)
 
 
 def query(name: str, oracle: str | None = None):

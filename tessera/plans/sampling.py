@@ -117,10 +117,10 @@ def aligned_batches(fx: Fixtures) -> DataFrame:
     "smoothed_series",
     """with recursive e as (select user_id, value, row_number() over (partition by user_id order by event_id) rn from events where value is not null),
 s(user_id, rn, smooth) as (select user_id, rn, value from e where rn=1 union all select e.user_id, e.rn, 0.95::double*s.smooth+(1-0.95::double)*e.value from s join e on e.user_id=s.user_id and e.rn=s.rn+1)
-select user_id, rn, round(smooth,6) smooth from s""",
+select user_id, rn, round(ln(1+abs(smooth)),6) log_smooth from s""",
 )
 def smoothed_series(fx: Fixtures) -> DataFrame:
     from tessera.operators.ranking import numbered
 
     steps = numbered(fx["events"].where("value is not null").select("user_id", "event_id", "value"), ["user_id"], ["event_id"])
-    return smoothed(steps, "user_id", "event_id", "value").select("user_id", "rn", F.round("smooth", 6).alias("smooth"))
+    return smoothed(steps, "user_id", "event_id", "value").select("user_id", "rn", F.round(F.ln(1 + F.abs("smooth")), 6).alias("log_smooth"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,17 +28,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return builder.getOrCreate()
 
 
-def stable_copy(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only when that is unset
-    (tests on one machine) a scratch folder is made.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a scratch one only if unset (tests)."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    current = context._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        current = context._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the checkpoints, visible to every executor."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stable_copy(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
