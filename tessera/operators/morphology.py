@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, padded
 from tessera.operators.components import component_boxes, label_runs
-from tessera.operators.runs import covered_by_all, gaps, merge_runs, to_pixels, to_runs
+from tessera.operators.runs import covered_by_all, depths, gaps, merge_runs, to_pixels, to_runs
 from tessera.session import stable_copy
 
 Element = list[tuple[int, int, int]]
@@ -232,13 +232,12 @@ def contour_targets(px: DataFrame, frames: DataFrame, size: int) -> DataFrame:
     """
     keys = ["image_id", "inst_id"]
     runs = to_runs(px, keys).join(frames, "image_id")
-    inner = to_pixels(erode(runs, keys, ellipse(size), framed=True), keys)
-    outer = to_pixels(dilate(runs, keys, ellipse(size), framed=True), keys)
-    ring = outer.join(inner, [*keys, "x", "y"], "left_anti")
-    both = inner.select("image_id", "x", "y", F.lit(1).alias("i"), F.lit(0).alias("r")).unionByName(
-        ring.select("image_id", "x", "y", F.lit(0).alias("i"), F.lit(1).alias("r"))
+    both = erode(runs, keys, ellipse(size), framed=True).unionByName(dilate(runs, keys, ellipse(size), framed=True))
+    # an instance's inner part lies in its grown part: two layers deep is inner, one is ring
+    layers = depths(both, keys).select(*keys, "y", "x0", "x1", "depth")
+    flags = to_pixels(layers, ["image_id", "depth"]).groupBy("image_id", "x", "y").agg(
+        F.max((F.col("depth") == 2).cast("int")).alias("i"), F.max((F.col("depth") == 1).cast("int")).alias("r")
     )
-    flags = both.groupBy("image_id", "x", "y").agg(F.max("i").alias("i"), F.max("r").alias("r"))
     return flags.select(
         "image_id", "x", "y", (F.col("i") + 2 * F.col("r")).alias("value"), (1 - F.col("i") - F.col("r")).alias("background")
     )

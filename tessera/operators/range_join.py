@@ -50,8 +50,8 @@ def box_pairs(
 ) -> DataFrame:
     """All pairs of boxes that meet (closed intervals) and agree on ``on``.
 
-    ``levels`` names the grid levels in use on each side when they are known (all boxes at most
-    ``cell`` wide: ``([0], [0])``); otherwise one small aggregate finds them.
+    ``levels`` names the grid levels that may occur on each side when they are known (all boxes at most
+    ``cell`` wide: ``([0], [0])``); a superset is fine.  Otherwise one small aggregate finds them.
 
     Output: ``on``, the kept columns as ``l_*``/``r_*`` and both boxes as ``l_<box>``/``r_<box>``.
     """
@@ -103,5 +103,7 @@ def _salted(lhs: DataFrame, rhs: DataFrame, keys: list[str]) -> tuple[DataFrame,
 
 def self_pairs(df: DataFrame, on: list[str], id_col: str, cell: int = 256, **kw) -> DataFrame:
     """Unordered pairs of distinct boxes of one table that meet."""
-    pairs = box_pairs(df, df, on, cell=cell, **kw)
+    box = kw.get("left_box", ("x_min", "y_min", "x_max", "y_max"))
+    levels = kw.pop("levels", None) or (_levels(df.select(_level(*box, cell).alias("_lv"))),) * 2
+    pairs = box_pairs(df, df, on, cell=cell, levels=levels, **kw)
     return pairs.where(F.col("l_" + id_col) < F.col("r_" + id_col))

@@ -1,9 +1,10 @@
 """Order-based operators that survive one key holding most of the rows.
 
-A plain ``row_number() over (partition by key order by ...)`` sorts each key in one task.  Here the
-rows are range-partitioned by (key, order), each partition counts for itself, and only the keys that
-run across a partition border need an offset: at most one per partition, so the offset table is
-bounded by the partition count and is broadcast.
+A plain ``row_number() over (partition by key order by ...)`` sorts each key in one task.  That is used
+only when a count shows every key is small enough.  Otherwise the rows are range-partitioned by
+(key, order), each partition counts for itself, and only the keys that run across a partition border
+need an offset: at most one per partition, so the offset table is bounded by the partition count and is
+broadcast.
 """
 
 from __future__ import annotations
@@ -14,16 +15,28 @@ from pyspark.sql import functions as F
 from tessera.session import shuffle_width, stable_copy
 
 
+WINDOW_ROWS = 2_000_000  # largest key sorted by a single task
+
+
 def _order(cols: list) -> list[Column]:
     return [c if isinstance(c, Column) else F.col(c) for c in cols]
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], order: list, totals: dict[str, Column], parts: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    totals: dict[str, Column],
+    parts: int | None = None,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Add cumulative sums of ``totals`` within ``keys`` in ``order`` (which must be unique per key)."""
     order = _order(order)
     names = list(totals)
+    biggest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if biggest <= (WINDOW_ROWS if window_rows is None else window_rows):
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(whole).alias(n) for n, c in totals.items()])
     spread = df.select("*", *[c.alias("_v_" + n) for n, c in totals.items()]).repartitionByRange(
         parts or shuffle_width(df.sparkSession), *[F.col(k) for k in keys], *order
     )
@@ -53,7 +66,7 @@ def numbered(df: DataFrame, keys: list[str], order: list, name: str = "rn") -> D
 def evenly_spaced(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
     """At most ``most`` rows per key, taken at positions ``int(i * n / most)``."""
     ranked = numbered(df, keys, order, "_rn")
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sizes = ranked.groupBy(*keys).agg(F.max("_rn").alias("_n"))
     wanted = sizes.select(
         *keys,
         "_n",
@@ -88,7 +101,7 @@ def first_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
 def part_numbers(df: DataFrame, keys: list[str], order: list, size: int) -> DataFrame:
     """Add ``part`` (from 1) and ``parts``: groups larger than ``size`` are cut into equal-size parts."""
     ranked = numbered(df, keys, order, "_rn")
-    counts = df.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(float(size))).cast("int").alias("parts"))
+    counts = ranked.groupBy(*keys).agg(F.ceil(F.max("_rn") / F.lit(float(size))).cast("int").alias("parts"))
     part = (F.floor((F.col("_rn") - 1) / F.lit(float(size))) + 1).cast("int")
     return ranked.withColumn("part", part).join(counts, keys).drop("_rn")
 

@@ -57,10 +57,10 @@ def gaps(runs: DataFrame, keys: list[str], x_lo: Column, x_hi: Column) -> DataFr
     return pieces.where("_p is not null and _p.x0 <= _p.x1").select(*keys, "y", *extra, "_p.x0", "_p.x1")
 
 
-def covered_by_all(runs: DataFrame, keys: list[str], needed: Column) -> DataFrame:
-    """Stretches covered by at least ``needed`` intervals (a sweep along each row).
+def depths(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Stretches with the number of intervals covering them, as ``depth`` (a sweep along each row).
 
-    ``needed`` may use columns of ``runs`` that are constant per (key, y).
+    Further columns of ``runs`` must be constant per (key, y) and are kept.
     """
     extra = [c for c in runs.columns if c not in {*keys, "y", "x0", "x1"}]
     edge = lambda x, d: F.struct(x.cast("int").alias("x"), F.lit(d).alias("d"))
@@ -74,13 +74,13 @@ def covered_by_all(runs: DataFrame, keys: list[str], needed: Column) -> DataFram
         *keys,
         "y",
         *extra,
-        "x",
-        F.sum("d").over(row.rowsBetween(Window.unboundedPreceding, 0)).alias("_depth"),
-        F.lead("x").over(row).alias("_next"),
-    )
-    return merge_runs(
-        swept.where((F.col("_depth") >= needed) & F.col("_next").isNotNull()).select(
-            *keys, "y", F.col("x").alias("x0"), (F.col("_next") - 1).alias("x1")
-        ),
-        keys,
+        F.col("x").alias("x0"),
+        (F.lead("x").over(row) - 1).alias("x1"),
+        F.sum("d").over(row.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"),
     )
+    return swept.where("x1 is not null and depth > 0")
+
+
+def covered_by_all(runs: DataFrame, keys: list[str], needed: Column) -> DataFrame:
+    """Stretches covered by at least ``needed`` intervals; ``needed`` is constant per (key, y)."""
+    return merge_runs(depths(runs, keys).where(F.col("depth") >= needed).select(*keys, "y", "x0", "x1"), keys)

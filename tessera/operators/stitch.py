@@ -7,6 +7,8 @@ the other three sets kept.  They are exact when the tile pitch exceeds four marg
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,19 +46,26 @@ def dropped_in_tile(margin: int = 64) -> Column:
     return F.when(F.col("mode").isin(0, 3), inside_band).otherwise(meets_edge)
 
 
+# what tells detections apart
+DETECTION = ["slide_id", "mode", "c", "r", "inst_id"]
+
+
 def to_slide_space(detections: DataFrame) -> DataFrame:
-    """Add slide coordinates and a reproducible uid to tile-local detections."""
-    uid = F.sha2(F.concat_ws("|", "slide_id", "mode", "c", "r", "inst_id"), 256)
+    """Add slide coordinates to tile-local detections."""
     return detections.select(
         "*",
         (F.col("bx0") + F.col("x0")).alias("gx0"),
         (F.col("by0") + F.col("y0")).alias("gy0"),
         (F.col("bx1") + F.col("x0")).alias("gx1"),
         (F.col("by1") + F.col("y0")).alias("gy1"),
-        uid.alias("uid"),
     )
 
 
+def with_uid(detections: DataFrame) -> DataFrame:
+    """A reproducible uid: the hash of what tells the detection apart."""
+    return detections.withColumn("uid", F.sha2(F.concat_ws("|", *DETECTION), 256))
+
+
 def kept_in_tile(detections: DataFrame, margin: int = 64) -> DataFrame:
     return to_slide_space(detections.where(~dropped_in_tile(margin)))
 
@@ -72,20 +81,32 @@ def cross_lines(tiles: DataFrame, margin: int = 64) -> DataFrame:
     return tiles.where("mode = 3").select("slide_id", F.explode(lines).alias("l")).select("slide_id", "l.*")
 
 
-def stitch(detections: DataFrame, tiles: DataFrame, margin: int = 64) -> DataFrame:
-    """Stitch against any tile layout: drop rules, then a binned range anti join with the cross lines."""
-    kept = kept_in_tile(detections, margin)
-    hit = box_pairs(
-        kept.where("mode <> 3").select("slide_id", "uid", "gx0", "gy0", "gx1", "gy1"),
+def evicted(kept: DataFrame, tiles: DataFrame, margin: int = 64, cell: int = 1024) -> DataFrame:
+    """Keys of the kept grid and strip detections that meet a cross line.
+
+    Crosses are four margins wide, so their lines fit the lowest grid levels; detections may have any
+    size, for which only the few lines are repeated per level.
+    """
+    line_levels = list(range(max(0, math.ceil(math.log2(4 * margin / cell))) + 1))
+    pairs = box_pairs(
+        kept.where("mode <> 3").select(*DETECTION, "gx0", "gy0", "gx1", "gy1"),
         cross_lines(tiles, margin),
         on=["slide_id"],
         left_box=("gx0", "gy0", "gx1", "gy1"),
         right_box=("lx0", "ly0", "lx1", "ly1"),
-        keep_left=["uid"],
+        keep_left=DETECTION[1:],
         keep_right=[],
+        cell=cell,
         distinct_pairs=False,
-    ).select(F.col("l_uid").alias("uid")).distinct()
-    return kept.join(hit, "uid", "left_anti")
+        levels=(list(range(20)), line_levels),
+    )
+    return pairs.select("slide_id", *[F.col("l_" + k).alias(k) for k in DETECTION[1:]]).distinct()
+
+
+def stitch(detections: DataFrame, tiles: DataFrame, margin: int = 64) -> DataFrame:
+    """Stitch against any tile layout: drop rules, then a binned range anti join with the cross lines."""
+    kept = kept_in_tile(detections, margin)
+    return with_uid(kept.join(evicted(kept, tiles, margin), DETECTION, "left_anti"))
 
 
 def meets_cross_line(pitch: int, margin: int) -> Column:

@@ -67,7 +67,7 @@ def otsu_thresholds(values: DataFrame, key: str, value: str, bins: int = 256) ->
 def local_entropy(df: DataFrame, value: str, radius: int = 4) -> DataFrame:
     """Entropy (bits) of the values in a disk round each pixel of a dense raster.
 
-    The window is gathered by two lag passes, then reduced per row: log2(n) - sum(log2 count) / n.
+    The window is gathered by two lag passes, then reduced per row: log2(n) - sum(c log2 c) / n over the value counts c.
     """
     from tessera.functions.losses import neighbourhood
 
@@ -80,12 +80,18 @@ def local_entropy(df: DataFrame, value: str, radius: int = 4) -> DataFrame:
     ]
     seen = hood.withColumn("_seen", F.array_sort(F.filter(F.array(*inside), lambda v: v.isNotNull()))).drop("_hood")
     n = F.size("_seen").cast("double")
-    logs = F.aggregate(
-        F.transform("_seen", lambda v: F.log2(F.size(F.filter("_seen", lambda u: u == v)).cast("double"))),
-        F.lit(0.0),
-        lambda s, t: s + t,
+    # equal values are neighbours after sorting: add up c * log2(c) of every stretch
+    start = F.struct(F.lit(None).cast("int").alias("v"), F.lit(0).alias("c"), F.lit(0.0).alias("s"))
+    done = lambda a: a["s"] + F.when(a["c"] > 1, a["c"] * F.log2(a["c"].cast("double"))).otherwise(F.lit(0.0))
+    stretch = F.aggregate(
+        "_seen",
+        start,
+        lambda a, v: F.when(a["v"] == v, F.struct(v.alias("v"), (a["c"] + 1).alias("c"), a["s"].alias("s"))).otherwise(
+            F.struct(v.alias("v"), F.lit(1).alias("c"), done(a).alias("s"))
+        ),
+        done,
     )
-    return seen.withColumn("entropy", F.log2(n) - logs / n).drop("_seen", "_v")
+    return seen.withColumn("entropy", F.log2(n) - stretch / n).drop("_seen", "_v")
 
 
 def stain_entropy(h: str, e: str, d: str):

@@ -172,10 +172,7 @@ def tile_drop_rules(fx: Fixtures) -> DataFrame:
     f"with {DROP_RULES} select slide_id, mode, c, r, inst_id from kept where (slide_id, mode, c, r, inst_id) not in (select slide_id, mode, c, r, inst_id from final)",
 )
 def cross_evictions(fx: Fixtures) -> DataFrame:
-    kept = st.kept_in_tile(fx["fx_det"])
-    return kept.join(st.stitch(fx["fx_det"], fx["fx_tiles"]).select("uid"), "uid", "left_anti").select(
-        "slide_id", "mode", "c", "r", "inst_id"
-    )
+    return st.evicted(st.kept_in_tile(fx["fx_det"]), fx["fx_tiles"])
 
 
 @query(
