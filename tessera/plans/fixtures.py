@@ -1,7 +1,8 @@
 """Input tables derived from the driver's Parquet tables.
 
 The text runs unchanged in Spark and in the oracle engine, so both sides start from the same rows.
-``{name}`` is a source table or another view.
+``{name}`` is a source table or another view.  Where the text would be a join on the slide alone, Spark
+builds the same rows with the library's own binned operators (``BUILDERS``).
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators.range_join import box_pairs
+from tessera.operators.tiling import tile_sets
+
 VIEWS: dict[str, str] = {
     # one slide per supplier
     "fx_slides": """select cast(s_suppkey as int) slide_id, cast(9000+(s_suppkey*37)%4000 as int) proc_w,
@@ -94,6 +98,30 @@ def _text(name: str, engine: str, views: dict[str, str]) -> str:
     return views[name].replace("{base}", _INDEX_BASE[engine])
 
 
+def _tiles(fx: "Fixtures") -> DataFrame:
+    names = ["slide_id", "mode", "c", "r", "x0", "y0", "x1", "y1", "ft", "fb", "fl", "fr"]
+    return tile_sets(fx["fx_slides"]).select(*names)
+
+
+def _detections(fx: "Fixtures") -> DataFrame:
+    """Nuclei and tiles are at most one 4096 cell wide, so both live on the lowest grid level."""
+    nuclei = fx["fx_inst"].where("task = 'Nuclei'").select("slide_id", "inst_id", "x_min", "y_min", "x_max", "y_max")
+    sides = ("x0", "y0", "x1", "y1")
+    pairs = box_pairs(fx["fx_tiles"], nuclei, ["slide_id"], left_box=sides, cell=4096, levels=([0], [0]))
+    named = pairs.withColumnsRenamed({c: c[2:] for c in pairs.columns if c != "slide_id"})
+    return named.where("x_max > x0 and x_min < x1 and y_max > y0 and y_min < y1").selectExpr(
+        *fx["fx_tiles"].columns,
+        "inst_id",
+        "greatest(x_min, x0) - x0 bx0",
+        "greatest(y_min, y0) - y0 by0",
+        "least(x_max, x1) - x0 bx1",
+        "least(y_max, y1) - y0 by1",
+    )
+
+
+BUILDERS = {"fx_tiles": _tiles, "fx_det": _detections}
+
+
 class Fixtures:
     """The source tables and derived views of one data folder."""
 
@@ -106,6 +134,8 @@ class Fixtures:
         if name not in self._made:
             if name in _SOURCES:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            elif name in BUILDERS:
+                self._made[name] = BUILDERS[name](self)
             else:
                 text = _text(name, "spark", self.views)
                 self._made[name] = self.spark.sql(text, **{n: self[n] for n in set(_NAME.findall(text))})
