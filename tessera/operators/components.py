@@ -136,12 +136,14 @@ def contract(edges: DataFrame, keys: list[str]) -> DataFrame:
             return edges
 
 
-def label_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``comp`` to every run (runs come back cut at block borders)."""
+def label_runs(runs: DataFrame, keys: list[str], name: str = "comp") -> DataFrame:
+    """Add the component as column ``name`` to every run (runs come back cut at block borders)."""
+    if name in runs.columns:
+        raise ValueError(f"column {name} is taken; pass another name")
     pieces = stable_copy(label_blocks(runs, keys))
     stars = contract(border_edges(pieces, keys), keys).withColumnsRenamed({"a": "local", "b": "_root"})
-    named = pieces.join(stars, [*keys, "local"], "left").withColumn("comp", F.coalesce("_root", "local"))
-    return named.select(*runs.columns, "comp")
+    named = pieces.join(stars, [*keys, "local"], "left").withColumn(name, F.coalesce("_root", "local"))
+    return named.select(*runs.columns, name)
 
 
 def label_pixels(px: DataFrame, keys: list[str]) -> DataFrame:

@@ -106,12 +106,12 @@ def _unset_in_box(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 def holes(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of the enclosed background of each key: unset components off the bounding-box edge."""
-    unset = label_runs(_unset_in_box(runs, keys), keys)
+    unset = label_runs(_unset_in_box(runs, keys), keys, "_part")
     edge = (
         (F.col("x0") <= F.col("bx0")) | (F.col("x1") >= F.col("bx1")) | (F.col("y") <= F.col("by0")) | (F.col("y") >= F.col("by1"))
     )
-    open_parts = unset.where(edge).select(*keys, "comp").distinct()
-    return unset.join(open_parts, [*keys, "comp"], "left_anti").select(*keys, "y", "x0", "x1")
+    open_parts = unset.where(edge).select(*keys, "_part").distinct()
+    return unset.join(open_parts, [*keys, "_part"], "left_anti").select(*keys, "y", "x0", "x1")
 
 
 def fill_holes(runs: DataFrame, keys: list[str]) -> DataFrame:

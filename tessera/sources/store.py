@@ -28,7 +28,7 @@ INSTANCES = T.StructType(
 
 
 def write_instances(instances: DataFrame, path: str, files_per_slide: int = 1) -> None:
-    """Write one folder per slide and task; only the slides present are replaced.
+    """Write one folder per slide and task; only the (slide, task) folders present are replaced.
 
     Rows are spread over ``files_per_slide`` salts per (slide, task), so one huge slide is written by
     several tasks.

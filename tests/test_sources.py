@@ -42,9 +42,11 @@ def test_store_round_trip(spark, fx, tmp_path):
     assert one.count() == rows.where("slide_id = 3 and task = 'Gland'").count()
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [slide_id" in plan or "PartitionFilters: [isnotnull(slide_id" in plan
-    # rewriting one slide leaves the others alone
-    store.write_instances(rows.where("slide_id = 3").limit(5), path)
-    assert store.read_instances(spark, path).where("slide_id = 3").count() == 5
+    # rewriting one task of one slide leaves everything else alone
+    store.write_instances(rows.where("slide_id = 3 and task = 'Gland'").limit(5), path)
+    assert store.read_instances(spark, path, slides=[3], tasks=["Gland"]).count() == 5
+    others = "slide_id = 3 and task <> 'Gland'"
+    assert store.read_instances(spark, path).where(others).count() == rows.where(others).count()
     assert store.read_instances(spark, path).where("slide_id <> 3").count() == rows.where("slide_id <> 3").count()
     assert store.read_slides(spark, path).count() == fx["fx_slides"].count()
 
