@@ -5,16 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.range_join import box_pairs
 from tessera.operators.tiling import cells_touched
-
-BROADCAST_ROWS = 200_000  # slide-sized tables beyond this are shuffled instead
-
-
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Bounded check: reads at most ``limit + 1`` rows."""
-    return df.limit(limit + 1).count() <= limit
-
+from tessera.session import small_enough
 
 def attach_slide_size(df: DataFrame, slides: DataFrame) -> DataFrame:
     """Add ``proc_w``/``proc_h``; the slide table is broadcast only when its size is checked."""
@@ -57,53 +49,35 @@ def patches_by_chunk(patches: DataFrame, slides: DataFrame, pitch: int) -> DataF
     return sized.withColumn("cc", F.explode(across)).withColumn("cr", F.explode(down))
 
 
-def tiles_meeting(tiles: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Tiles of any layout that meet at least one box (closed), via coarse cells.
-
-    Boxes are reduced to one row per cell and exact extent before the join; a tile's cells that lie
-    wholly inside it need no box-level test.
-    """
-    cell = 1024
-    tile_cells = (
-        tiles.select("slide_id", "mode", "c", "r", "x0", "y0", "x1", "y1")
-        .withColumn("_cx", F.explode(F.sequence(_index(F.col("x0"), cell), _index(F.col("x1"), cell))))
-        .withColumn("_cy", F.explode(F.sequence(_index(F.col("y0"), cell), _index(F.col("y1"), cell))))
-    )
-    box_cells = (
-        boxes.select("slide_id", "x_min", "y_min", "x_max", "y_max")
-        .withColumn("_cx", F.explode(F.sequence(_index(F.col("x_min"), cell), _index(F.col("x_max"), cell))))
-        .withColumn("_cy", F.explode(F.sequence(_index(F.col("y_min"), cell), _index(F.col("y_max"), cell))))
-        .distinct()
-    )
-    hit = (
-        tile_cells.join(
-            box_cells,
-            [
-                tile_cells[k] == box_cells[k] for k in ("slide_id", "_cx", "_cy")
-            ] + [
-                box_cells["x_min"] <= tile_cells["x1"],
-                box_cells["x_max"] >= tile_cells["x0"],
-                box_cells["y_min"] <= tile_cells["y1"],
-                box_cells["y_max"] >= tile_cells["y0"],
-            ],
-            "left_semi",
-        )
-        .select("slide_id", "mode", "c", "r")
-        .distinct()
-    )
-    return tiles.join(hit, ["slide_id", "mode", "c", "r"], "left_semi")
-
-
-def tiles_with_tissue(tiles: DataFrame, mask_px: DataFrame, block: int) -> DataFrame:
-    """Viewing tiles whose processing box ``[p0, p1)`` holds a tissue pixel.
+def tiles_meeting(tiles: DataFrame, boxes: DataFrame, cell: int = 1024) -> DataFrame:
+    """Tiles of any layout that meet at least one box (closed).
 
-    Both sides are expressed in mask blocks: the tile lists the blocks it overlaps, an equi semi join
-    on the block finds tissue.
+    First by whole cells: a tile that contains a cell some box touches is kept, for which the boxes
+    shrink to the distinct occupied cells.  Only tiles left over (narrow strips, empty ones) are
+    compared with boxes.
     """
-    blocks = (
-        tiles.withColumn("_bx", F.explode(F.sequence(_index(F.col("px0"), block), _index(F.col("px1") - 1, block))))
-        .withColumn("_by", F.explode(F.sequence(_index(F.col("py0"), block), _index(F.col("py1") - 1, block))))
-        .select("slide_id", "c", "r", F.col("_bx").alias("x"), F.col("_by").alias("y"))
+    key = ["slide_id", "mode", "c", "r"]
+
+    def covered(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
+        across = df.withColumn("_cx", F.explode(F.sequence(_index(F.col(x0), cell), _index(F.col(x1), cell))))
+        return across.withColumn("_cy", F.explode(F.sequence(_index(F.col(y0), cell), _index(F.col(y1), cell))))
+
+    tile_cells = covered(tiles.select(*key, "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1")
+    box_cells = covered(boxes.select("slide_id", "x_min", "y_min", "x_max", "y_max"), "x_min", "y_min", "x_max", "y_max")
+    occupied = box_cells.select("slide_id", "_cx", "_cy").distinct()
+    within = (
+        (F.col("_cx") * cell >= F.col("x0"))
+        & ((F.col("_cx") + 1) * cell <= F.col("x1"))
+        & (F.col("_cy") * cell >= F.col("y0"))
+        & ((F.col("_cy") + 1) * cell <= F.col("y1"))
     )
-    hit = blocks.join(mask_px.select("slide_id", "x", "y"), ["slide_id", "x", "y"], "left_semi")
-    return tiles.join(hit.select("slide_id", "c", "r").distinct(), ["slide_id", "c", "r"], "left_semi")
+    sure = tile_cells.where(within).join(occupied, ["slide_id", "_cx", "_cy"], "left_semi").select(*key).distinct()
+    open_cells = tile_cells.join(sure, key, "left_anti")
+    meets = [open_cells[k] == box_cells[k] for k in ("slide_id", "_cx", "_cy")] + [
+        box_cells["x_min"] <= open_cells["x1"],
+        box_cells["x_max"] >= open_cells["x0"],
+        box_cells["y_min"] <= open_cells["y1"],
+        box_cells["y_max"] >= open_cells["y0"],
+    ]
+    tested = open_cells.join(box_cells, meets, "left_semi").select(*key).distinct()
+    return tiles.join(sure.unionByName(tested), key, "left_semi")

@@ -1,7 +1,8 @@
 """Patch and tile placement over slides.
 
-Every generator turns one slide row into its grid with ``sequence`` + ``explode``: a narrow map, no
-shuffle, and the grid of a huge slide is spread by whatever follows it.
+Every generator turns one slide row into its grid with ``sequence`` + ``explode``.  Slide tables are
+tiny and often sit in one partition, so the grid columns are spread over the cluster before the rows
+are generated: only (slide, column) pairs are shuffled, and one huge slide is generated by many tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import truncate
+from tessera.session import shuffle_width, small_enough
 
 
 def _steps(count: Column) -> Column:
@@ -19,9 +21,9 @@ def _steps(count: Column) -> Column:
 
 def lattice(df: DataFrame, cols: Column, rows: Column, keep: list[str]) -> DataFrame:
     """One row per (c, r) cell of a per-row lattice."""
-    return df.select(*keep, F.explode(_steps(cols)).alias("c"), cols.alias("_cols"), rows.alias("_rows")).select(
-        *keep, "c", F.explode(_steps(F.col("_rows"))).alias("r")
-    )
+    columns = df.select(*keep, rows.alias("_rows"), F.explode(_steps(cols)).alias("c"))
+    spread = columns.repartition(shuffle_width(df.sparkSession), keep[0], "c")
+    return spread.select(*keep, "c", F.explode(_steps(F.col("_rows"))).alias("r"))
 
 
 def _cells(length: Column, step: int) -> Column:
@@ -137,42 +139,61 @@ def tile_sets(slides: DataFrame, tile: int = 4096, patch_out: int = 144, margin:
     )
 
 
-def viewing_grid(slides: DataFrame, tile: int = 1024) -> DataFrame:
-    """Tiles over the slide at its base resolution, with the matching processing-space box."""
+def _view_size(slides: DataFrame) -> DataFrame:
+    """Add the scale ``_k`` from processing to base resolution and the slide's size there."""
     scaled = slides.withColumn("_k", F.col("proc_mpp") / F.coalesce("base_mpp", "proc_mpp"))
-    scaled = scaled.withColumn("view_w", F.round(F.col("proc_w") * F.col("_k")).cast("int")).withColumn(
+    return scaled.withColumn("view_w", F.round(F.col("proc_w") * F.col("_k")).cast("int")).withColumn(
         "view_h", F.round(F.col("proc_h") * F.col("_k")).cast("int")
     )
+
+
+def _span(index: Column, tile: int, view: str, proc: str) -> tuple[Column, Column, Column, Column]:
+    """Viewing and processing interval of one tile index: v0, v1, p0, p1."""
+    v0, v1 = index * tile, F.least((index + 1) * tile, F.col(view))
+    return v0, v1, truncate(v0 / F.col("_k")), F.least(truncate(v1 / F.col("_k")), F.col(proc))
+
+
+def viewing_grid(slides: DataFrame, tile: int = 1024) -> DataFrame:
+    """Tiles over the slide at its base resolution, with the matching processing-space box."""
     grid = lattice(
-        scaled,
+        _view_size(slides),
         _cells(F.col("view_w"), tile),
         _cells(F.col("view_h"), tile),
         ["slide_id", "view_w", "view_h", "_k", "proc_w", "proc_h"],
     )
-    x0, y0 = F.col("c") * tile, F.col("r") * tile
-    boxed = grid.select(
-        "*",
-        x0.alias("x0"),
-        y0.alias("y0"),
-        F.least(x0 + tile, F.col("view_w")).alias("x1"),
-        F.least(y0 + tile, F.col("view_h")).alias("y1"),
-    )
-    back = lambda v: truncate(F.col(v) / F.col("_k"))
-    return boxed.select(
+    across, down = _span(F.col("c"), tile, "view_w", "proc_w"), _span(F.col("r"), tile, "view_h", "proc_h")
+    return grid.select(
         "slide_id",
         "c",
         "r",
-        "x0",
-        "y0",
-        "x1",
-        "y1",
-        back("x0").alias("px0"),
-        back("y0").alias("py0"),
-        F.least(back("x1"), F.col("proc_w")).alias("px1"),
-        F.least(back("y1"), F.col("proc_h")).alias("py1"),
+        *[e.alias(n) for pair in zip(across, down, (("x0", "y0"), ("x1", "y1"), ("px0", "py0"), ("px1", "py1"))) for e, n in zip(pair[:2], pair[2])],
     ).where("px1 > px0 and py1 > py0")
 
 
+def viewing_tiles_with_tissue(slides: DataFrame, mask_px: DataFrame, block: int, tile: int = 1024) -> DataFrame:
+    """Viewing tiles whose processing box holds tissue.
+
+    Every mask pixel (a ``block``-sized square) names the few tiles it can fall in from its slide's
+    scale and tests them itself; what is shuffled is the distinct (slide, c, r), already reduced per
+    task.
+    """
+    sized = _view_size(slides).select("slide_id", "_k", "view_w", "view_h", "proc_w", "proc_h")
+    rows = mask_px.join(F.broadcast(sized) if small_enough(sized) else sized, "slide_id")
+
+    def candidates(pos: str) -> Column:
+        at = lambda v: F.floor(v * F.col("_k") / F.lit(float(tile))).cast("int")
+        lo = F.greatest(at(F.col(pos) * block) - 1, F.lit(0))
+        return F.sequence(lo, at(F.col(pos) * block + block) + 1)
+
+    def hit(index: str, pos: str, view: str, proc: str) -> Column:
+        v0, v1, p0, p1 = _span(F.col(index), tile, view, proc)
+        return (v0 < F.col(view)) & (p1 > p0) & (F.col(pos) * block < p1) & (F.col(pos) * block + block > p0)
+
+    found = rows.withColumn("c", F.explode(candidates("x"))).where(hit("c", "x", "view_w", "proc_w"))
+    found = found.withColumn("r", F.explode(candidates("y"))).where(hit("r", "y", "view_h", "proc_h"))
+    return viewing_grid(slides, tile).join(found.select("slide_id", "c", "r").distinct(), ["slide_id", "c", "r"], "left_semi")
+
+
 def cells_touched(lo: Column, hi: Column, pitch: int, count: Column) -> Column:
     """Indices of the grid cells ``[k*pitch, (k+1)*pitch]`` (closed) that meet ``[lo, hi]``."""
     p = F.lit(pitch).cast("double")

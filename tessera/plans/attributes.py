@@ -105,7 +105,7 @@ select i.inst_id, i.task, round(k,9) scale, cast(trunc(x_min*k) as int) tx0, cas
  5 ring_points, round((x_max-x_min)*k*((y_max-y_min)*k),3) area from fx_inst i join s on s.slide_id=i.slide_id""",
 )
 def scaled_contours(fx: Fixtures) -> DataFrame:
-    from tessera.operators.pruning import small_enough
+    from tessera.session import small_enough
 
     slides = fx["fx_slides"].select("slide_id", bx.scale_factor(F.col("proc_mpp"), F.col("base_mpp")).alias("k"))
     slides = F.broadcast(slides) if small_enough(slides) else slides
@@ -237,3 +237,14 @@ def head_foreground(fx: Fixtures) -> DataFrame:
         inst.foreground(a, b, "lumen").alias("lumen"),
         inst.foreground(a, b, "nuclei").alias("nuclei"),
     )
+
+
+@query(
+    "image_outputs",
+    "select image_id, inst_id, cast(coalesce(max(case when v>30 then cls end),-1) as int) type_id from fx_patchwork group by image_id, inst_id",
+)
+def image_outputs(fx: Fixtures) -> DataFrame:
+    from tessera.sources.store import image_outputs
+
+    seen = F.max(F.when(F.col("v") > 30, F.col("cls")))
+    return image_outputs(fx["fx_patchwork"].groupBy("image_id", "inst_id").agg(seen.alias("type_id")))

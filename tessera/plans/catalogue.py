@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import running_totals, shard
+from tessera.operators.ranking import numbered, running_totals, shard
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.registry import query
 from tessera.sources import listing as ls
@@ -32,6 +32,11 @@ def files_by_suffix(fx: Fixtures) -> DataFrame:
     return fx["fx_files"].where(ls.has_extension(F.col("path"), [".tif", ".png"])).select("path").orderBy("path")
 
 
+@query("files_by_folder", "select dir, path, row_number() over (partition by dir order by path) place from fx_files")
+def files_by_folder(fx: Fixtures) -> DataFrame:
+    return numbered(fx["fx_files"].select("dir", "path"), ["dir"], ["path"], "place")
+
+
 @query(
     "file_name_parts",
     """select page_id, regexp_extract(url,'([^/]*)$',1) name, case when regexp_matches(regexp_extract(url,'([^/]*)$',1),'[^.]\\.[^.]+$') then regexp_extract(regexp_extract(url,'([^/]*)$',1),'(\\.[^.]+)$',1) else '' end ext,

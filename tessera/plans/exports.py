@@ -16,7 +16,7 @@ BOX = Box.of()
 
 def shaped(fx: Fixtures) -> DataFrame:
     """Instances with a four-corner contour and their slide's scale."""
-    from tessera.operators.pruning import small_enough
+    from tessera.session import small_enough
 
     scale = fx["fx_slides"].select("slide_id", F.round(scale_factor(F.col("proc_mpp"), F.col("base_mpp")), 3).alias("scale"))
     scale = F.broadcast(scale) if small_enough(scale) else scale

@@ -207,3 +207,11 @@ select image_id, x, y, marker from fl""",
 def marker_split(fx: Fixtures) -> DataFrame:
     markers = fx["fx_patchwork"].where("v >= 48").select("image_id", "x", "y", F.col("inst_id").alias("marker"))
     return mo.split_by_markers(dilated(fx), markers)
+
+
+@query("nuclei_from_heads")
+def nuclei_from_heads(fx: Fixtures) -> DataFrame:
+    """Grown blobs as foreground with the original strong pixels as inner map."""
+    strong = fx["fx_blob"].where("v > 35").select("image_id", "x", "y", F.lit(0.9).alias("inner"))
+    scores = dilated(fx).join(strong, ["image_id", "x", "y"], "left").withColumn("ring", F.when(F.col("inner").isNull(), 0.8).otherwise(0.05))
+    return mo.nuclei_from_heads(scores.withColumn("inner", F.coalesce("inner", F.lit(0.1))), blob_frames(fx))

@@ -150,10 +150,9 @@ n as (select *, row_number() over (partition by slide_id order by r,c)-1 i, coun
 select slide_id, c, r from n where total<=60 or exists (select 1 from fx_n a join fx_n b on a.n<2 and a.n*50+b.n<60 where i=cast(floor((a.n*50+b.n)*(total/cast(60 as double))) as int))""",
 )
 def viewing_grid_pruned_sampled(fx: Fixtures) -> DataFrame:
-    from tessera.operators.pruning import tiles_with_tissue
     from tessera.operators.ranking import evenly_spaced
 
-    tiles = tiles_with_tissue(tiling.viewing_grid(fx["fx_slides"]), fx["fx_mask_px"], block=64)
+    tiles = tiling.viewing_tiles_with_tissue(fx["fx_slides"], fx["fx_mask_px"], block=64)
     return evenly_spaced(tiles, ["slide_id"], ["r", "c"], 60).select("slide_id", "c", "r")
 
 

@@ -235,18 +235,18 @@ mean as (select k, avg(tpr) m, stddev_pop(tpr) s from cv group by k)"""
 
 @query(
     "mean_roc",
-    f"with {CURVES} select cast(k as int) k, round(m,6) mean_tpr, round(least(m+s,1),6) upper, round(greatest(m-s,0),6) lower from mean",
+    f"with {CURVES} select cast(k as int) k, round(m,9) mean_tpr, round(least(m+s,1),9) upper, round(greatest(m-s,0),9) lower from mean",
 )
 def mean_roc(fx: Fixtures) -> DataFrame:
     curve = cs.mean_roc(cs.roc_points(quality_runs(fx), "run"), "run", 100)
-    return curve.select("k", *[F.round(c, 6).alias(c) for c in ("mean_tpr", "upper", "lower")])
+    return curve.select("k", *[F.round(c, 9).alias(c) for c in ("mean_tpr", "upper", "lower")])
 
 
 @query(
     "mean_roc_auc",
     f"""with {CURVES}, au as (select key, sum(neg*(tp-pos/2.0)/(cast(all_neg as double)*all_pos)) auc from cum where all_pos>0 and all_neg>0 group by key)
-select round((select sum(m*case when k in (0,100) then 0.5 else 1 end)/100 from mean),6) mean_auc, round(stddev_pop(auc),6) std_auc, count(*) runs from au""",
+select round((select sum(m*case when k in (0,100) then 0.5 else 1 end)/100 from mean),9) mean_auc, round(stddev_pop(auc),9) std_auc, count(*) runs from au""",
 )
 def mean_roc_auc(fx: Fixtures) -> DataFrame:
     out = cs.mean_roc_auc(cs.roc_points(quality_runs(fx), "run"), "run", 100)
-    return out.select(F.round("mean_auc", 6).alias("mean_auc"), F.round("std_auc", 6).alias("std_auc"), "runs")
+    return out.select(F.round("mean_auc", 9).alias("mean_auc"), F.round("std_auc", 9).alias("std_auc"), "runs")

@@ -52,3 +52,11 @@ def stable_copy(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BROADCAST_ROWS = 200_000  # slide-sized tables beyond this are shuffled instead
+
+
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Bounded check before a broadcast: reads at most ``limit + 1`` rows."""
+    return df.limit(limit + 1).count() <= limit

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.instances import typed_or_minus_one
+
 POINT = T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])
 
 INSTANCES = T.StructType(
@@ -27,22 +29,33 @@ INSTANCES = T.StructType(
 )
 
 
-def write_instances(instances: DataFrame, path: str, files_per_slide: int = 1) -> None:
+def write_instances(instances: DataFrame, path: str) -> None:
     """Write one folder per slide and task; only the (slide, task) folders present are replaced.
 
-    Rows are spread over ``files_per_slide`` salts per (slide, task), so one huge slide is written by
-    several tasks.
+    The rebalance hint lets the adaptive planner split a huge slide over several writers and put small
+    ones together.
     """
-    salt = F.pmod(F.xxhash64("inst_uid"), F.lit(files_per_slide))
-    spread = instances.repartition("slide_id", "task", salt)
     (
-        spread.write.mode("overwrite")
+        instances.hint("rebalance", "slide_id", "task")
+        .sortWithinPartitions("slide_id", "task", "y_min", "x_min")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("slide_id", "task")
         .parquet(f"{path}/instances")
     )
 
 
+def image_outputs(instances: DataFrame) -> DataFrame:
+    """Per-image instance rows as they are written: untyped instances carry type -1."""
+    return typed_or_minus_one(instances)
+
+
+def write_image_outputs(path: str, **kinds: DataFrame) -> None:
+    """One Parquet table per kind (instance map, instances, type map, class map), image by image."""
+    for kind, df in kinds.items():
+        df.hint("rebalance", "image_id").sortWithinPartitions("image_id").write.mode("overwrite").parquet(f"{path}/{kind}")
+
+
 def write_slides(slides: DataFrame, path: str) -> None:
     (
         slides.write.mode("overwrite")
@@ -96,7 +109,7 @@ def write_raster(px: DataFrame, path: str, block: int = BLOCK) -> None:
     blocked = px.withColumn("bx", F.floor(F.col("x") / F.lit(float(block))).cast("int")).withColumn(
         "by", F.floor(F.col("y") / F.lit(float(block))).cast("int")
     )
-    blocked.repartition("image_id", "bx", "by").write.mode("overwrite").partitionBy("image_id", "bx", "by").parquet(path)
+    blocked.hint("rebalance", "image_id", "bx", "by").write.mode("overwrite").partitionBy("image_id", "bx", "by").parquet(path)
 
 
 def read_window(spark: SparkSession, path: str, image_id: int, x: int, y: int, w: int, h: int, block: int = BLOCK) -> DataFrame:

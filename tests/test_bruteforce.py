@@ -171,6 +171,32 @@ def test_grow_instances(spark):
         assert got[i] == want
 
 
+def test_nuclei_from_heads(spark):
+    rnd, w, h = random.Random(21), 30, 28
+    blobs = [(rnd.randrange(w), rnd.randrange(h), rnd.randrange(2, 5)) for _ in range(14)]
+    scores = {}
+    for x in range(w):
+        for y in range(h):
+            d = min(math.hypot(x - a, y - b) / r for a, b, r in blobs)
+            scores[(x, y)] = (0.9 if d < 0.55 else 0.1, 0.8 if 0.55 <= d < 1.1 else 0.05)
+    df = spark.createDataFrame([(1, x, y, i, r) for (x, y), (i, r) in scores.items()], "image_id int, x int, y int, inner double, ring double")
+    frames = spark.createDataFrame([(1, w, h)], "image_id int, w int, h int")
+    got = as_sets(mo.nuclei_from_heads(df, frames), "marker")[1]
+    mask = without_small(eroded({p for p, (i, r) in scores.items() if i + r > 0.5}, mo.ellipse(3), w, h, True), 8)
+    seeds = flood(filled(without_small({p for p, (i, _) in scores.items() if i > 0.5}, 4)))
+    want = {p: c for p, c in seeds.items() if p in mask}
+    ring = dict(want)
+    while ring:
+        fresh = {}
+        for (x, y), c in ring.items():
+            for q in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if q in mask and q not in want:
+                    fresh[q] = min(c, fresh.get(q, c))
+        want.update(fresh)
+        ring = fresh
+    assert len(set(want.values())) > 3 and got == want
+
+
 def boxes(spark, seed, n, sizes=(3, 40, 900, 5000)):
     rnd = random.Random(seed)
     rows = []

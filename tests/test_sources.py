@@ -34,7 +34,7 @@ def instances(fx):
 def test_store_round_trip(spark, fx, tmp_path):
     path = str(tmp_path / "store")
     rows = instances(fx)
-    store.write_instances(rows, path, files_per_slide=2)
+    store.write_instances(rows, path)
     store.write_slides(fx["fx_slides"], path)
     back = store.read_instances(spark, path)
     assert back.count() == rows.count()
@@ -51,6 +51,17 @@ def test_store_round_trip(spark, fx, tmp_path):
     assert store.read_slides(spark, path).count() == fx["fx_slides"].count()
 
 
+def test_image_outputs(spark, fx, tmp_path):
+    path = str(tmp_path / "images")
+    px = fx["fx_patchwork"]
+    typed = px.groupBy("image_id", "inst_id").agg(F.max(F.when((F.col("v") > 30) & (F.col("inst_id") != 3), F.col("cls"))).alias("type_id"))
+    store.write_image_outputs(path, instance_map=px.select("image_id", "x", "y", "inst_id"), instances=store.image_outputs(typed))
+    back = spark.read.parquet(f"{path}/instances")
+    assert back.where("type_id is null").count() == 0
+    assert back.where("type_id = -1").count() == typed.where("type_id is null").count() > 0
+    assert spark.read.parquet(f"{path}/instance_map").count() == px.count()
+
+
 def test_window_read_prunes_blocks(spark, fx, tmp_path):
     path = str(tmp_path / "raster")
     px = fx["fx_blob"]
