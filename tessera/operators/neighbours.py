@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,33 +15,48 @@ from tessera.operators.runs import to_runs
 FAR = 1000.0
 
 
+_ROWS_OUT = 200_000  # output rows gathered before a batch is handed on
+
+
+def _distances(margin: int):
+    """Per instance: squared distance of its grown box's pixels to the nearest of its runs."""
+
+    def one(image: int, inst: int, w: int, h: int, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> pd.DataFrame:
+        xs = np.arange(max(x0.min() - margin, 0), min(x1.max() + margin, w - 1) + 1, dtype="int64")
+        ys = np.arange(max(y.min() - margin, 0), min(y.max() + margin, h - 1) + 1, dtype="int64")
+        best = np.full((len(ys), len(xs)), np.iinfo("int64").max)
+        for row, lo, hi in zip(y, x0, x1):
+            gap = np.maximum(np.maximum(lo - xs, xs - hi), 0)
+            np.minimum(best, ((ys - row) ** 2)[:, None] + (gap * gap)[None, :], out=best)
+        return pd.DataFrame(
+            {"image_id": image, "inst_id": inst, "x": np.tile(xs, len(ys)), "y": np.repeat(ys, len(xs)), "d2": best.ravel()}
+        )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts, size = [], 0
+            for row in pdf.itertuples(index=False):
+                parts.append(one(*row))
+                size += len(parts[-1])
+                if size >= _ROWS_OUT:
+                    yield pd.concat(parts, ignore_index=True)
+                    parts, size = [], 0
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    return run
+
+
 def instance_distances(px: DataFrame, frames: DataFrame, margin: int = 10) -> DataFrame:
     """Squared distance of every pixel in an instance's grown box to the nearest instance pixel.
 
-    Two one-dimensional passes: horizontal gaps to the runs of each instance row, then the best row
-    for every target pixel of a column.  Nothing is joined; the lists hold one entry per instance row.
+    An instance travels as one row holding its row runs (bounded by its height); the distances of its
+    own box are a small array step inside the task.
     """
     key = ["image_id", "inst_id"]
-    runs = to_runs(px, key).join(frames, "image_id")
-    box = px.groupBy(*key).agg(
-        F.min("x").alias("bx0"), F.max("x").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1")
-    )
-    # rows of an instance carry its box, so the second pass needs no further join
-    runs = runs.join(box, key)
-    grown = {
-        "_x0": F.greatest(F.col("bx0") - margin, F.lit(0)),
-        "_x1": F.least(F.col("bx1") + margin, F.col("w") - 1),
-        "_y0": F.greatest(F.col("by0") - margin, F.lit(0)),
-        "_y1": F.least(F.col("by1") + margin, F.col("h") - 1),
-    }
-    runs = runs.withColumns(grown)
-    wide = runs.select(*key, "_y0", "_y1", F.col("y").alias("_ry"), "x0", "x1", F.explode(F.sequence("_x0", "_x1")).alias("x"))
-    gap = F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0))
-    rows = wide.groupBy(*key, "_y0", "_y1", "x", "_ry").agg(F.min(gap * gap).alias("_g"))
-    columns = rows.groupBy(*key, "_y0", "_y1", "x").agg(F.collect_list(F.struct("_ry", "_g")).alias("_rows"))
-    cells = columns.select(*key, "x", "_rows", F.explode(F.sequence("_y0", "_y1")).alias("y"))
-    best = F.array_min(F.transform("_rows", lambda r: (F.col("y") - r["_ry"]) * (F.col("y") - r["_ry"]) + r["_g"]))
-    return cells.select(*key, "x", "y", best.alias("d2"))
+    packed = to_runs(px, key).groupBy(*key).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("r"))
+    placed = packed.join(frames, "image_id").select(*key, "w", "h", F.col("r.y"), F.col("r.x0"), F.col("r.x1"))
+    return placed.mapInPandas(_distances(margin), "image_id int, inst_id bigint, x int, y int, d2 bigint")
 
 
 def separation_weights(
