@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.fixtures import Fixtures, with_views
+from tessera.session import ship_package
 
 _QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -49,7 +50,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     load()
 
     def bind(fn):
-        return lambda spark, sf_dir: fn(Fixtures(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Fixtures(spark, sf_dir))
+
+        return run
 
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 

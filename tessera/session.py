@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +31,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a scratch one only if unset (tests)."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a ``local`` session (tests, bench) may leave it unset and gets a scratch folder; on a cluster every
+    executor would write to its own disk, so that is an error.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
@@ -60,3 +68,20 @@ BROADCAST_ROWS = 200_000  # slide-sized tables beyond this are shuffled instead
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Bounded check before a broadcast: reads at most ``limit + 1`` rows."""
     return df.limit(limit + 1).count() <= limit
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session, so that they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "tessera.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(target)
+    context._tessera_shipped = True
