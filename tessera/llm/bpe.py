@@ -118,6 +118,12 @@ class Codec:
                 continue
             gone = after[here]
             right = after[gone]
+            if len(here) > 1:  # two places side by side: one at a time, the pair between them would stand for a while
+                side = right[:-1] == here[1:]
+                between = self.joined(np.full(side.sum(), rank), symbols[here[1:][side]])
+                sooner = (between >= 0) & (between < rank)
+                if sooner.any():
+                    irregular.update(np.searchsorted(ends, here[:-1][side][sooner]).tolist())
             symbols[here], symbols[gone] = rank, -2
             after[here] = right
             before[right] = here

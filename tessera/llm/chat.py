@@ -4,9 +4,9 @@ Every assistant turn becomes an example of its own: all turns before it as conte
 loss mask.  Turns behind the last reply (or a conversation without one) make a last example with nothing to
 train on, so that the output holds every turn.
 
-A turn is written ``### role: text</turn>`` and a line break.  In roles and texts a backslash goes before
-every backslash, ``#``, ``<`` and ``:`` (roles) or backslash, ``#`` and ``<`` (texts); neither ``###`` nor
-``</turn>`` can then come from a text, and dropping one backslash of each pair restores it.
+A turn is written ``### role: text</turn>`` and a line break.  Inside texts a backslash is written ``\\b``, ``#``
+as ``\\h`` and ``<`` as ``\\l``, inside roles also ``:`` as ``\\c``; so neither ``###`` nor ``</turn>`` can come
+from a text, and as every backslash begins a code of two characters, plain replacement restores it.
 
 A conversation is gathered in one row, since its digest and its context are sequences; its examples are
 exploded from there one by one and never stand in one row together.
@@ -24,12 +24,20 @@ CONTROL_ID = -7
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
-def escape(text: Column, also: str = "") -> Column:
-    return F.regexp_replace(text, f"([\\\\#<{also}])", r"\\$1")
+CODES = {"\\": "\\b", "#": "\\h", "<": "\\l"}
+ROLE_CODES = CODES | {":": "\\c"}
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+def escape(text: Column, codes: dict[str, str] = CODES) -> Column:
+    for char, code in codes.items():  # the backslash first
+        text = F.replace(text, F.lit(char), F.lit(code))
+    return text
+
+
+def unescape(text: Column, codes: dict[str, str] = CODES) -> Column:
+    for char, code in reversed(codes.items()):  # the backslash last
+        text = F.replace(text, F.lit(code), F.lit(char))
+    return text
 
 
 def examples(conversations: DataFrame) -> DataFrame:
@@ -39,7 +47,7 @@ def examples(conversations: DataFrame) -> DataFrame:
     conversation id make one conversation; repeated rows are turns of their own; other columns are dropped.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    head = F.concat(F.lit(OPEN), escape(role, ":"), F.lit(COLON))
+    head = F.concat(F.lit(OPEN), escape(role, ROLE_CODES), F.lit(COLON))
     turn = F.struct("turn", role.alias("role"), text.alias("text"), head.alias("head"), escape(text).alias("body"))
     whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     pieces = F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE)))
@@ -65,14 +73,13 @@ def examples(conversations: DataFrame) -> DataFrame:
 
 def read_turns(text: Column) -> Column:
     """The turns (role, text) that a formatted text holds."""
-    marked = F.split(text, "(?<=</turn>)\n", -1)
-    pieces = F.filter(marked, lambda p: p != "")
+    pieces = F.filter(F.split(text, CLOSE, -1), lambda p: p != "")
 
     def parsed(piece: Column) -> Column:
-        inner = F.substring(piece, F.lit(len(OPEN) + 1), F.length(piece) - F.lit(len(OPEN) + len(CLOSE) - 1))
-        at = F.instr(F.regexp_replace(inner, r"(?s)\\.", "__"), F.lit(COLON))  # the first colon that is not escaped
+        inner = F.substring(piece, F.lit(len(OPEN) + 1), F.length(piece))
+        at = F.instr(inner, COLON)
         return F.struct(
-            unescape(F.substring(inner, F.lit(1), at - 1)).alias("role"), unescape(F.substring(inner, at + len(COLON), F.length(inner))).alias("text")
+            unescape(F.substring(inner, F.lit(1), at - 1), ROLE_CODES).alias("role"), unescape(F.substring(inner, at + len(COLON), F.length(inner))).alias("text")
         )
 
     return F.transform(pieces, parsed)
