@@ -117,32 +117,24 @@ def gradient_error(diff: DataFrame) -> DataFrame:
     return both.agg((F.sum(err) / (2 * F.sum("focus") + F.lit(EPS))).alias("msge"))
 
 
-def contrastive(views: DataFrame, temperature: float = 0.07, base: float = 0.07, most: int = 512) -> DataFrame:
+def contrastive(views: DataFrame, temperature: float = 0.07, base: float = 0.07) -> DataFrame:
     """Contrastive loss per batch: views of one sample attract, all others of the batch repel.
 
-    ``views(batch, sample, view, feature)``.  A batch is a training batch and must hold at most
-    ``most`` vectors; its vectors are gathered once and each anchor is scored against the list.
+    ``views(batch, sample, view, feature)``, at least two views per sample.  The loss is defined over all
+    ordered pairs of a batch, so they are joined; no batch is gathered in a row, whatever its size.
     """
-    vector = F.struct("sample", "view", "feature")
-    batches = views.groupBy("batch").agg(F.collect_list(vector).alias("all"))
-    batches = batches.withColumn(
-        "all", F.when(F.size("all") <= most, F.col("all")).otherwise(F.raise_error(F.lit("batch too large")))
+    a = views.select("batch", *[F.col(c).alias("a_" + c) for c in ("sample", "view", "feature")])
+    o = views.select("batch", *[F.col(c).alias("o_" + c) for c in ("sample", "view", "feature")])
+    pairs = a.join(o, "batch").where("a_sample <> o_sample or a_view <> o_view")
+    scored = pairs.select(
+        "batch", "a_sample", "a_view", (F.col("a_sample") == F.col("o_sample")).alias("own"), (dot(F.col("o_feature"), F.col("a_feature")) / temperature).alias("s")
     )
-    anchors = batches.select("batch", "all", F.explode("all").alias("a"))
-    others = F.filter("all", lambda o: (o["sample"] != F.col("a.sample")) | (o["view"] != F.col("a.view")))
-    scored = anchors.select(
-        "batch",
-        F.transform(
-            others,
-            lambda o: F.struct(
-                (o["sample"] == F.col("a.sample")).alias("own"), (dot(o["feature"], F.col("a.feature")) / temperature).alias("s")
-            ),
-        ).alias("s"),
+    anchor = ["batch", "a_sample", "a_view"]
+    shifted = scored.withColumn("top", F.max("s").over(Window.partitionBy(*anchor)))
+    per_anchor = shifted.groupBy(*anchor).agg(
+        (F.max("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top"))))).alias("norm"), F.avg(F.when(F.col("own"), F.col("s"))).alias("mean_own")
     )
-    norm = log_sum_exp(F.transform("s", lambda v: v["s"]))
-    own = F.filter("s", lambda v: v["own"])
-    mean_own = F.aggregate(own, F.lit(0.0), lambda t, v: t + v["s"]) / F.size(own)
-    return scored.groupBy("batch").agg(F.avg((norm - mean_own) * F.lit(temperature / base)).alias("loss"))
+    return per_anchor.groupBy("batch").agg(F.avg((F.col("norm") - F.col("mean_own")) * F.lit(temperature / base)).alias("loss"))
 
 
 def class_weight_map(cls: Column, weights: dict[int, float]) -> Column:

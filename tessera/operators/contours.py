@@ -43,18 +43,43 @@ def _trace(rows: list[dict]) -> list[dict]:
         back = (turn + 5) % 8 if turn % 2 else (turn + 6) % 8
 
 
+def _pieces(rows: list[dict]) -> list[list[dict]]:
+    """Row runs by piece (runs that touch, corners included), pieces in raster order of their first pixel."""
+    rows = sorted(rows, key=lambda r: (r["y"], r["x0"]))
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    above = 0  # first run of the row above that may still touch
+    for i, r in enumerate(rows):
+        while above < i and (rows[above]["y"] < r["y"] - 1 or (rows[above]["y"] == r["y"] - 1 and rows[above]["x1"] < r["x0"] - 1)):
+            above += 1
+        k = above
+        while k < i and rows[k]["y"] == r["y"] - 1 and rows[k]["x0"] <= r["x1"] + 1:
+            a, b = root(k), root(i)
+            parent[max(a, b)] = min(a, b)
+            k += 1
+    pieces = {}
+    for i, r in enumerate(rows):
+        pieces.setdefault(root(i), []).append(r)
+    return list(pieces.values())
+
+
 def _trace_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        pdf["contour"] = [_trace(list(rows)) for rows in pdf["rows"]]
-        yield pdf.drop(columns="rows")
+        pdf["contour"] = [[_trace(piece) for piece in _pieces(list(rows))] for rows in pdf["rows"]]
+        yield pdf.drop(columns="rows").explode("contour")
 
 
 def outlines(px: DataFrame, keys: list[str]) -> DataFrame:
-    """Outer outline of each key's pixels as ``contour``.
+    """Outer outline of each piece of each key's pixels as ``contour``, one row per piece.
 
     Each instance travels as one row holding its row runs (bounded by its height), not its pixels.
-    Pixels of a key are taken to be one piece; outlines shorter than three points are kept and left to
-    the usability filter.
+    Outlines shorter than three points are kept and left to the usability filter.
     """
     runs = to_runs(px, keys)
     packed = runs.groupBy(*keys).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("rows"))

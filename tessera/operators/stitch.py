@@ -84,10 +84,11 @@ def cross_lines(tiles: DataFrame, margin: int = 64) -> DataFrame:
 def evicted(kept: DataFrame, tiles: DataFrame, margin: int = 64, cell: int = 1024) -> DataFrame:
     """Keys of the kept grid and strip detections that meet a cross line.
 
-    Crosses are four margins wide, so their lines fit the lowest grid levels; detections may have any
-    size, for which only the few lines are repeated per level.
+    The grid levels of the lines follow from the widest cross there is; detections may have any size, for
+    which only the few lines are repeated per level.
     """
-    line_levels = list(range(max(0, math.ceil(math.log2(4 * margin / cell))) + 1))
+    widest = tiles.where("mode = 3").agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1
+    line_levels = list(range(max(0, math.ceil(math.log2(widest / cell))) + 1))
     pairs = box_pairs(
         kept.where("mode <> 3").select(*DETECTION, "gx0", "gy0", "gx1", "gy1"),
         cross_lines(tiles, margin),

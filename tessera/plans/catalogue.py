@@ -20,11 +20,11 @@ def slides_by_extension(fx: Fixtures) -> DataFrame:
 
 @query(
     "slides_with_fallback",
-    """with r as (select path, dir, case when path like '%.mrxs' then 0 when path like '%.svs' then 1 when path like '%.tif' then 2 when path like '%.tiff' then 3 when path like '%.ndpi' then 4 else 7 end rk from fx_files where n_chars<4000)
+    """with r as (select path, dir, case when path like '%.mrxs' then 0 when path like '%.svs' then 1 when path like '%.tif' then 2 when path like '%.tiff' then 3 when path like '%.ndpi' then 4 else 7 end rk from fx_files)
 select path, dir from r where rk=(select min(rk) from r b where b.dir=r.dir)""",
 )
 def slides_with_fallback(fx: Fixtures) -> DataFrame:
-    return ls.collect_slides(fx["fx_files"].where("n_chars < 4000").select("path", "dir"), ".mrxs", ["dir"])
+    return ls.collect_slides(fx["fx_files"].select("path", "dir"), ".mrxs", ["dir"])
 
 
 @query("files_by_suffix", "select path from fx_files where path like '%.tif' or path like '%.png' order by path")

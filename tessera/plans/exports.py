@@ -149,3 +149,19 @@ def traced_outlines(fx: Fixtures) -> DataFrame:
         F.array_min(ys).alias("y_min"),
         F.array_max(ys).alias("y_max"),
     )
+
+
+@query(
+    "outlines_pieces",
+    """select image_id, cls, min(x) x_min, min(y) y_min, cast(4*(max(x)-min(x)) as int) points,
+ md5(string_agg(x||','||y, ';' order by y, x) filter (x in (x0,x1) or y in (y0,y1))) border
+ from (select *, min(x) over w x0, max(x) over w x1, min(y) over w y0, max(y) over w y1 from fx_true_px window w as (partition by image_id, inst_id))
+ group by image_id, cls, inst_id""",
+)
+def outlines_pieces(fx: Fixtures) -> DataFrame:
+    """All instances of a class under one id: an outline for each of its pieces, all points hashed."""
+    ring = outlines(fx["fx_true_px"].select("image_id", "cls", "x", "y"), ["image_id", "cls"])
+    xs, ys = F.transform("contour", lambda p: p["x"]), F.transform("contour", lambda p: p["y"])
+    points = F.sort_array(F.transform("contour", lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
+    listed = F.array_join(F.transform(points, lambda p: F.concat_ws(",", p["x"], p["y"])), ";")
+    return ring.select("image_id", "cls", F.array_min(xs).alias("x_min"), F.array_min(ys).alias("y_min"), F.size("contour").alias("points"), F.md5(listed).alias("border"))

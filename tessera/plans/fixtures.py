@@ -42,8 +42,8 @@ VIEWS: dict[str, str] = {
  from {fx_cells} join {fx_k} a on a.k<side join {fx_k} b on b.k<side where not miss""",
     "fx_preds": "select vec_id sample_id, cast(label as int) y_true, embedding from {embeddings}",
     "fx_mask_px": """select slide_id, cast(a.n*50+b.n as int) x, cast(d.n*50+e.n as int) y
- from (select /*+ repartition(64) */ * from {fx_slides}) s join {fx_n} a on a.n<4 join {fx_n} b on (a.n*50+b.n)*64<proc_w
- join {fx_n} d on d.n<4 join {fx_n} e on (d.n*50+e.n)*64<proc_h
+ from (select /*+ repartition(64) */ * from {fx_slides}) s join {fx_n} a on a.n*50*64<proc_w join {fx_n} b on (a.n*50+b.n)*64<proc_w
+ join {fx_n} d on d.n*50*64<proc_h join {fx_n} e on (d.n*50+e.n)*64<proc_h
  where (cast(floor((a.n*50+b.n)/cast(9 as double)) as int)*3+cast(floor((d.n*50+e.n)/cast(7 as double)) as int)*5+slide_id)%4<>0""",
     "fx_manifest": """select source dataset, lang subdir, cast(doc_id as int) image_id,
  case when doc_id%10<7 then 'train' when doc_id%10<9 then 'valid' else 'test' end split,

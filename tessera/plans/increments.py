@@ -107,7 +107,7 @@ def extracted_instances(fx: Fixtures) -> DataFrame:
 
 @query(
     "scores_in_region",
-    f"""with recursive bl as materialized (select image_id, x, y from fx_blob), {reach('bl', 'image_id')}, s as (select image_id, comp from lab group by all having count(*)>=20)
+    f"""with recursive bl as materialized (select image_id, x, y from fx_blob), {reach('bl', 'image_id')}, s as (select image_id, comp from lab group by all)
 select l.image_id, l.comp, sum(v)::bigint v_sum from lab l join s on s.image_id=l.image_id and s.comp=l.comp join fx_blob b on b.image_id=l.image_id and b.x=l.x and b.y=l.y group by all""",
 )
 def scores_in_region(fx: Fixtures) -> DataFrame:
@@ -117,7 +117,7 @@ def scores_in_region(fx: Fixtures) -> DataFrame:
     from tessera.operators.tissue import scores_in_region
 
     runs = label_runs(to_runs(fx["fx_blob"], IMAGE), IMAGE)
-    boxes = component_boxes(runs, IMAGE).where("area >= 20")
+    boxes = component_boxes(runs, IMAGE)
     rows = boxes.select("image_id", "comp", "x_min", "x_max", F.explode(F.sequence("y_min", F.col("y_max") - 1)).alias("y"))
     asked = rows.select("image_id", "comp", F.explode(F.sequence("x_min", F.col("x_max") - 1)).alias("x"), "y").join(
         fx["fx_blob"], ["image_id", "x", "y"]

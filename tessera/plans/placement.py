@@ -174,6 +174,21 @@ def cross_evictions(fx: Fixtures) -> DataFrame:
     return st.evicted(st.kept_in_tile(fx["fx_det"]), fx["fx_tiles"])
 
 
+# crosses 2,000 px wider on every side than the layout's
+WIDE = DROP_RULES.replace("from fx_tiles where mode=3", "from (select slide_id, mode, x0-2000 x0, y0-2000 y0, x1+2000 x1, y1+2000 y1 from fx_tiles) w where mode=3")
+
+
+@query(
+    "stitch_wide_crosses",
+    f"with {WIDE} select slide_id, mode, count(*) instances, sum(inst_id)::bigint ids from final group by slide_id, mode",
+)
+def stitch_wide_crosses(fx: Fixtures) -> DataFrame:
+    out = {n: (F.col(n) + (2000 if n.endswith("1") else -2000)) for n in ("x0", "y0", "x1", "y1")}
+    wide = fx["fx_tiles"].where("mode = 3").withColumns(out)
+    kept = st.stitch(fx["fx_det"], wide)
+    return kept.groupBy("slide_id", "mode").agg(F.count("*").alias("instances"), F.sum("inst_id").cast("long").alias("ids"))
+
+
 @query(
     "stitch_tiles",
     f"with {DROP_RULES} select slide_id, mode, c, r, inst_id, gx0, gy0, gx1, gy1, sha256(slide_id||'|'||mode||'|'||c||'|'||r||'|'||inst_id) uid from final",

@@ -113,6 +113,21 @@ def aligned_batches(fx: Fixtures) -> DataFrame:
     return sa.align_batches(b, targets, HEADS)
 
 
+@query(
+    "smoothed_series_slow",
+    """with e as (select l_quantity::double v, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity)-1 i from lineitem),
+s as (select i, sum(case when i=0 then v else v*(1-0.9999::double) end*exp(-i*ln(0.9999::double))) over (order by i) * exp(i*ln(0.9999::double)) smooth from e)
+select i, round(smooth,5) smooth from s""",
+)
+def smoothed_series_slow(fx: Fixtures) -> DataFrame:
+    """One long series whose smoothing reaches far over the chunks it is cut into."""
+    from tessera.operators.ranking import numbered
+
+    rows = fx["lineitem"].select(F.lit(0).alias("s"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.col("l_quantity").cast("double").alias("v"))
+    steps = numbered(rows, ["s"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "i").select("s", (F.col("i") - 1).alias("i"), "v")
+    return smoothed(steps, "s", "i", "v", alpha=0.9999).select("i", F.round("smooth", 5).alias("smooth"))
+
+
 @query(
     "smoothed_series",
     """with recursive e as (select user_id, value, row_number() over (partition by user_id order by event_id) rn from events where value is not null),

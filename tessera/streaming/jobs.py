@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.pruning import attach_slide_size
@@ -15,21 +16,30 @@ DETECTIONS = (
 )
 
 
+SLIDES_AT_ONCE = 200  # arrival files of one batch
+
+
+def completed_rows(spark: SparkSession, detections: str, slides: list[int]) -> DataFrame:
+    """The detections of the named slides; the filter prunes all other folders."""
+    return spark.read.schema(DETECTIONS).parquet(detections).where(F.col("slide_id").isin(slides))
+
+
 def stitch_completed_slides(
     spark: SparkSession, detections: str, completed: str, slides: DataFrame, output: str, checkpoint: str, pitch: int, margin: int = 64
 ) -> StreamingQuery:
     """Stitch each slide once all its tiles are there.
 
     ``completed`` receives one row (slide_id) per slide whose tile files are all written; it is the
-    stream.  ``detections`` is partitioned by slide, so a batch reads only its own slides.  Each slide
+    stream.  ``detections`` is partitioned by slide; a batch names its slides (at most ``SLIDES_AT_ONCE``
+    arrival files) in the filter, so only their folders are read.  Each slide
     goes to its own output folder with dynamic overwrite: replaying a batch after a failure rewrites
     the same folders.
     """
-    arrivals = spark.readStream.schema("slide_id int").parquet(completed)
+    arrivals = spark.readStream.schema("slide_id int").option("maxFilesPerTrigger", SLIDES_AT_ONCE).parquet(completed)
 
     def stitch_batch(batch: DataFrame, epoch: int) -> None:
-        ready = batch.select("slide_id").distinct()
-        rows = batch.sparkSession.read.schema(DETECTIONS).parquet(detections).join(ready, "slide_id", "left_semi")
+        ready = [row["slide_id"] for row in batch.select("slide_id").distinct().collect()]
+        rows = completed_rows(batch.sparkSession, detections, ready)
         stitched = stitch_on_grid(attach_slide_size(rows, slides), pitch, margin)
         (
             stitched.drop("proc_w", "proc_h")
