@@ -32,9 +32,9 @@ from tessera.llm.common import per_batch
 from tessera.llm.pretokens import Splitter
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_CHARS = 12_000_000  # text of one replay
-BLOCK_WORDS = 1_000_000  # pre-tokens of one replay when a single text is longer than that
-KEPT_WORDS = 600_000  # words whose ids a worker remembers
+BLOCK_CHARS = 4_000_000  # text of one replay
+BLOCK_WORDS = 500_000  # pre-tokens of one replay when a single text is longer than that
+KEPT_WORDS = 300_000  # words whose ids a worker remembers
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:

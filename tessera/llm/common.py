@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+ROWS = 1_024  # of an Arrow batch that are Python objects at a time
 BROADCAST_ROWS = 100_000  # rows of a few dozen bytes: some MB at most
 
 
@@ -56,10 +57,12 @@ def per_batch(df: DataFrame, column: str, fields: list[T.StructField], worker: C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = worker()
         for batch in batches:
-            made = work(batch.column(n).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], *[pa.array(v, type=t) for v, t in zip(made, types, strict=True)]], names
-            )
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                made = work(part.column(n).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:n], *[pa.array(v, type=t) for v, t in zip(made, types, strict=True)]], names
+                )
 
     (given,) = fresh(df, "_given")
     return df.select(*keep, F.col(column).alias(given)).mapInArrow(run, schema)

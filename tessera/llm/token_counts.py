@@ -34,7 +34,7 @@ VOCABULARY = "byte_bpe_50k.json"
 SAMPLE_DOCUMENTS = 4_000  # texts that the frequent table is drawn from, whatever the input
 FREQUENT = 50_000  # pre-tokens in the frequent table
 FREQUENT_CHARS = 32  # longest pre-token in it
-KEPT_WORDS = 600_000  # misses that a worker remembers
+KEPT_WORDS = 300_000  # misses that a worker remembers
 BLOCK_CHARS = 4_000_000
 BLOCK_WORDS = 500_000
 
