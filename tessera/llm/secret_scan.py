@@ -85,15 +85,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Spans that the fixed patterns do not touch and that are new against their surroundings."""
-    spans, taken, k = [], base, 0
+    spans, k = [], 0
     for m in CANDIDATE.finditer(text):
         run = m.group()
         if run.isalpha() or not MIXED.match(run):
             continue
         start, end = m.span()
-        while k < len(taken) and taken[k][0] < end and taken[k][2] <= start:
+        while k < len(base) and base[k][2] <= start:
             k += 1
-        if any(s < end and start < e for s, _, e in taken[k : k + 8]):
+        # from here on base spans end after the candidate starts; later ones start no sooner
+        if k < len(base) and base[k][0] < end:
             continue
         if SENSITIVE.search(text, max(0, start - CONTEXT), start) and novelty.marginal(text, start, end) >= NOVELTY * (end - start):
             spans.append((start, 3, end))

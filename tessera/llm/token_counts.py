@@ -1,9 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
-First tier: a compact table of the lengths of frequent pre-tokens, taken from a bounded sample of documents
+First tier: a compact table of the lengths of frequent pre-tokens, counted over all documents map-side
 and broadcast (at most ``FREQUENT`` short words, so its size has a bound).  It only saves work: every other
-pre-token is a miss, encoded by the library itself and kept in a bounded cache of the worker.  No pre-token
-is ever shuffled; every count covers the whole text.
+pre-token is a miss, encoded by the library itself and kept in a bounded cache of the worker.  Pre-tokens are
+never shuffled, only the bounded summary of each task; every count covers the whole text.
 
 The library's own split decides what a pre-token is.  Where its Unicode tables are older than ours (some
 letters and numbers), a text with such a character is counted by the library as a whole.  Special strings in
@@ -31,9 +31,10 @@ from tessera.llm.common import per_batch
 from tessera.llm.pretokens import Splitter
 
 VOCABULARY = "byte_bpe_50k.json"
-SAMPLE_DOCUMENTS = 4_000  # texts that the frequent table is drawn from, whatever the input
 FREQUENT = 50_000  # pre-tokens in the frequent table
 FREQUENT_CHARS = 32  # longest pre-token in it
+COUNTING = 200_000  # different pre-tokens that a task counts at a time
+SUMMARY = 10_000  # pre-tokens that a task hands on
 KEPT_WORDS = 300_000  # misses that a worker remembers
 BLOCK_CHARS = 4_000_000
 BLOCK_WORDS = 500_000
@@ -122,29 +123,31 @@ class Counting:
         return totals
 
 
-def frequent_lengths(df: DataFrame, text: str, data: bytes, documents: int = SAMPLE_DOCUMENTS, most: int = FREQUENT) -> dict[str, int]:
-    """Token lengths of the most frequent short pre-tokens in a bounded sample spread over the whole input."""
-    rows = df.count()
-    sample = df.select(F.col(text).alias("t")).sample(min(1.0, documents / max(rows, 1)), seed=7) if rows > documents else df.select(F.col(text).alias("t"))
+def frequent_lengths(df: DataFrame, text: str, data: bytes, most: int = FREQUENT) -> dict[str, int]:
+    """Token lengths of the most frequent short pre-tokens of all documents.
+
+    Each task counts the pre-tokens of its whole texts and gives a summary of at most ``SUMMARY`` of them, so what
+    is merged is a small share of any input.  A count above ``COUNTING`` words drops its rarest half.
+    """
 
     def top(batches):
         counts, splitter = Counter(), Splitter()
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                words = islice(splitter.stream(value or ""), BLOCK_WORDS)
-                counts.update(w for w in words if len(w) <= FREQUENT_CHARS)
-        best = counts.most_common(most)
+            for value in batch.column(0):
+                words = splitter.stream(value.as_py() or "")
+                while block := list(islice(words, BLOCK_WORDS)):
+                    counts.update(w for w in block if len(w) <= FREQUENT_CHARS)
+                    if len(counts) > COUNTING:
+                        counts = Counter(dict(counts.most_common(COUNTING // 2)))
+        best = counts.most_common(SUMMARY)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
 
-    best = sample.mapInArrow(top, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    words = [row["word"] for row in best.select("word").collect()]
+    merged = df.select(F.col(text).alias("t")).mapInArrow(top, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [row["word"] for row in merged.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
     tokenizer = Tokenizer.from_buffer(data)
     return {w: len(e.ids) for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True)}
 
 
-    return pa.RecordBatch.from_pydict(columns, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
-
-
 _COUNTERS: dict[bytes, Counting] = {}  # one per worker process, vocabulary and frequent table
 
 
