@@ -66,7 +66,7 @@ class Counting:
         self.special = [a["content"] for a in added]
         self.plain = not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in added)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if added else None
-        self.foreign = regex.compile(f"[{regex.escape(foreign)}]") if foreign else None
+        self.foreign = frozenset(foreign)
         self.splitter = Splitter()
         self.lengths = dict(frequent)
         self.frequent = frequent
@@ -106,7 +106,7 @@ class Counting:
             if not text:
                 continue
             marked = any(s in text for s in self.special)
-            if (marked and not self.plain) or (self.foreign and not text.isascii() and self.foreign.search(text)):
+            if (marked and not self.plain) or (not text.isascii() and not self.foreign.isdisjoint(text)):
                 totals[k] = self.library(text)
                 continue
             parts = self.cut.split(text) if marked else [text]
