@@ -33,11 +33,11 @@ from tessera.llm.pretokens import Splitter
 VOCABULARY = "byte_bpe_50k.json"
 FREQUENT = 50_000  # pre-tokens in the frequent table
 FREQUENT_CHARS = 32  # longest pre-token in it
-COUNTING = 200_000  # different pre-tokens that a task counts at a time
+COUNTING = 60_000  # different pre-tokens that a task counts at a time
 SUMMARY = 10_000  # pre-tokens that a task hands on
-KEPT_WORDS = 300_000  # misses that a worker remembers
-BLOCK_CHARS = 4_000_000
-BLOCK_WORDS = 500_000
+KEPT_WORDS = 100_000  # misses that a worker remembers
+BLOCK_CHARS = 1_000_000
+BLOCK_WORDS = 100_000
 
 
 @lru_cache(maxsize=4)
