@@ -2,7 +2,7 @@
 
 First tier: a compact table of the lengths of frequent pre-tokens, counted over all documents map-side
 and broadcast (at most ``FREQUENT`` short words, so its size has a bound).  It only saves work: every other
-pre-token is a miss, encoded by the library itself and kept in a bounded cache of the worker.  Pre-tokens are
+pre-token is a miss, encoded by the model of the library and kept in a bounded cache of the worker.  Pre-tokens are
 never shuffled, only the bounded summary of each task; every count covers the whole text.
 
 The library's own split decides what a pre-token is.  Where its Unicode tables are older than ours (some
@@ -36,7 +36,8 @@ FREQUENT_CHARS = 32  # longest pre-token in it
 COUNTING = 60_000  # different pre-tokens that a task counts at a time
 SUMMARY = 10_000  # pre-tokens that a task hands on
 KEPT_WORDS = 100_000  # misses that a worker remembers
-BLOCK_CHARS = 1_000_000
+CACHED_CHARS = 256  # longest of them
+BLOCK_CHARS = 1_000_000  # longer texts are split word by word
 BLOCK_WORDS = 100_000
 
 
@@ -55,6 +56,33 @@ def foreign_characters(data: bytes) -> str:
     return "".join(sorted({chars[i // 4] for i in theirs ^ ours}))
 
 
+def byte_alphabet() -> dict[int, str]:
+    """For ``str.translate`` of bytes read as Latin-1: the characters that stand for bytes in byte-level vocabularies.
+
+    Printable bytes stand for themselves, the others for the characters from 256 on, in order (fixed values).
+    """
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Lengths(dict):
+    """Token lengths of pre-tokens: the frequent ones, and a bounded cache of others, encoded when first asked for."""
+
+    def __init__(self, frequent: dict[str, int], encoded: Callable[[str], int], kept_words: int):
+        super().__init__(frequent)
+        self.frequent, self.encoded, self.most = frequent, encoded, kept_words + len(frequent)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.frequent)
+        length = self.encoded(word)
+        if len(word) <= CACHED_CHARS:
+            self[word] = length
+        return length
+
+
 class Counting:
     """Token counts of whole texts under one tokenizer file."""
 
@@ -68,59 +96,29 @@ class Counting:
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if added else None
         self.foreign = frozenset(foreign)
         self.splitter = Splitter()
-        self.lengths = dict(frequent)
-        self.frequent = frequent
-        self.kept_words, self.block_chars = kept_words, block_chars
+        self.alphabet, self.model = byte_alphabet(), self.tokenizer.model
+        self.lengths = Lengths(frequent, self.encoded, kept_words)
+        self.block_chars = block_chars
 
     def library(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def learn(self, words: set[str]) -> None:
-        todo = [w for w in words if w not in self.lengths]
-        for word, found in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
-            self.lengths[word] = len(found.ids)
-
-    def _forget(self) -> None:
-        if len(self.lengths) > self.kept_words + len(self.frequent):
-            self.lengths = dict(self.frequent)
-
-    def _long(self, text: str) -> int:
-        found, total = self.splitter.stream(text), 0
-        while words := list(islice(found, BLOCK_WORDS)):
-            self.learn(set(words))
-            total += sum(map(self.lengths.__getitem__, words))
-            self._forget()
-        return total
-
-    def _block(self, texts: list[str]) -> list[int]:
-        short = [self.splitter.split(t) if len(t) <= self.block_chars else None for t in texts]
-        self.learn(set().union(*[w for w in short if w is not None]))
-        counts = [None if words is None else sum(map(self.lengths.__getitem__, words)) for words in short]
-        self._forget()
-        return [self._long(t) if n is None else n for t, n in zip(texts, counts, strict=True)]
-
-    def count(self, texts: list[str | None]) -> list[int]:
-        totals = [0] * len(texts)
-        pieces, owners, size = [], [], 0
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            marked = any(s in text for s in self.special)
-            if (marked and not self.plain) or (not text.isascii() and not self.foreign.isdisjoint(text)):
-                totals[k] = self.library(text)
-                continue
-            parts = self.cut.split(text) if marked else [text]
-            totals[k] = len(parts) - 1
-            pieces.extend(parts)
-            owners.extend([k] * len(parts))
-            size += len(text)
-            if size >= self.block_chars:
-                for owner, n in zip(owners, self._block(pieces), strict=True):
-                    totals[owner] += n
-                pieces, owners, size = [], [], 0
-        for owner, n in zip(owners, self._block(pieces), strict=True):
-            totals[owner] += n
-        return totals
+    def encoded(self, word: str) -> int:
+        """Length of one pre-token by the library's own model, without the offsets and masks of a full encoding."""
+        return len(self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet)))
+
+    def pieces(self, text: str) -> int:
+        words = self.splitter.split(text) if len(text) <= self.block_chars else self.splitter.stream(text)
+        return sum(map(self.lengths.__getitem__, words))
+
+    def count(self, text: str | None) -> int:
+        if not text:
+            return 0
+        marked = any(s in text for s in self.special)
+        if (marked and not self.plain) or (not text.isascii() and not self.foreign.isdisjoint(text)):
+            return self.library(text)
+        parts = self.cut.split(text) if marked else [text]
+        return len(parts) - 1 + sum(map(self.pieces, parts))
 
 
 def frequent_lengths(df: DataFrame, text: str, data: bytes, most: int = FREQUENT) -> dict[str, int]:
@@ -134,9 +132,10 @@ def frequent_lengths(df: DataFrame, text: str, data: bytes, most: int = FREQUENT
         counts, splitter = Counter(), Splitter()
         for batch in batches:
             for value in batch.column(0):
-                words = splitter.stream(value.as_py() or "")
+                text = value.as_py() or ""
+                words = iter(splitter.split(text)) if len(text) <= BLOCK_CHARS else splitter.stream(text)
                 while block := list(islice(words, BLOCK_WORDS)):
-                    counts.update(w for w in block if len(w) <= FREQUENT_CHARS)
+                    counts.update(block if max(map(len, block)) <= FREQUENT_CHARS else [w for w in block if len(w) <= FREQUENT_CHARS])
                     if len(counts) > COUNTING:
                         counts = Counter(dict(counts.most_common(COUNTING // 2)))
         best = counts.most_common(SUMMARY)
@@ -171,7 +170,7 @@ def with_token_counts(df: DataFrame, text: str = "text", path: str | None = None
         counting = _COUNTERS[key]
 
         def work(values):
-            tokens = counting.count(values)
+            tokens = [counting.count(v) for v in values]
             return [[len((v or "").encode()) for v in values], tokens, [n > limit for n in tokens]]
 
         return work

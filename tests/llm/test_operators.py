@@ -118,7 +118,10 @@ def test_token_counts_with_small_caches():
     library = Tokenizer.from_buffer(data)
     counting = token_counts.Counting(data, {" the": 1}, token_counts.foreign_characters(data), kept_words=10, block_chars=50)
     texts = [t for t in ODD if t is not LONG]
-    assert counting.count(texts) == [len(library.encode(t or "").ids) for t in texts]
+    assert [counting.count(t) for t in texts] == [len(library.encode(t or "").ids) for t in texts]
+    every_byte = ["".join(map(chr, range(a, a + 97))) for a in (*range(0, 0x800, 97), 0x2000, 0x3040, 0x1F600)] + ["\U0010ffff" * 300, "ab" * 300]
+    assert [counting.count(t) for t in every_byte] == [len(library.encode(t).ids) for t in every_byte]
+    assert len(counting.lengths) <= 11
 
 
 # --- secrets ---
