@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,15 @@ FALLBACK_EXTENSIONS = [".svs", ".tif", ".tiff", ".ndpi", ".mrxs", ".scn", "*"]
 IMAGE_EXTENSIONS = [".png", ".jpg", ".tif", ".bmp"]
 # Codes of the numeric split column
 SPLIT_CODES = {"train": "1", "valid": "2", "test": "3"}
+# How the column of a split may be named (whole names), the surest first; the second part is what it
+# holds for a split, None for the split's own name
+SPLIT_HABITS = (
+    ("split", None),
+    ("Split", SPLIT_CODES),
+    ("fold_{fold}", None),
+    ("{split}", None),
+    ("(?i)(?=.*fold).*_{fold}.*", None),
+)
 
 
 def list_files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
@@ -40,17 +51,12 @@ def stem(path: Column) -> Column:
 
 
 def parse_extensions(spec: str | None) -> list[str]:
-    """``"svs, *.tif;.ndpi"`` -> [".svs", ".tif", ".ndpi"]; "*" stands for every file."""
-    text = (spec or ".svs").strip()
-    if text in ("*", "*.*"):
-        return ["*"]
-    for sign in "; ":
-        text = text.replace(sign, ",")
-    wanted = []
-    for part in filter(None, (p.strip() for p in text.split(","))):
-        bare = part.removeprefix("*")
-        wanted.append("*" if part == "*" else bare if bare.startswith(".") else bare if part.startswith("*") else "." + bare)
-    return wanted or [".svs"]
+    """``"svs, *.tif;.ndpi"`` -> [".svs", ".tif", ".ndpi"]; "*" stands for every file, nothing for slides.
+
+    Each entry is a suffix: what follows its star, with a dot before a bare word.
+    """
+    suffixes = [re.sub(r"^(?=[^.*])", ".", entry).lstrip("*") for entry in re.findall(r"[^\s,;]+", spec or "")]
+    return ["*" if suffix in ("", ".*") else suffix for suffix in suffixes] or FALLBACK_EXTENSIONS[:1]
 
 
 def has_extension(path: Column, extensions: list[str]) -> Column:
@@ -62,11 +68,11 @@ def has_extension(path: Column, extensions: list[str]) -> Column:
     return hit
 
 
-def collect_slides(files: DataFrame, spec: str | None, group: list[str] | None = None) -> DataFrame:
+def collect_slides(files: DataFrame, spec: str | None, group: list[str] | None = None, must_find: bool = False) -> DataFrame:
     """Files of the wanted extensions; a single one that matches nothing falls back along the chain.
 
     With ``group`` the choice is made per folder.  Only one small aggregate (the best rank in use) is
-    joined back.
+    joined back.  With ``must_find`` a listing that ends up empty is a ``FileNotFoundError``.
     """
     wanted = parse_extensions(spec)
     chain = [wanted] + ([[e] for e in FALLBACK_EXTENSIONS] if len(wanted) == 1 and wanted != ["*"] else [])
@@ -77,9 +83,11 @@ def collect_slides(files: DataFrame, spec: str | None, group: list[str] | None =
     keys = group or []
     best = ranked.groupBy(*keys).agg(F.min("_rank").alias("_best"))
     # ".tif" is tried before ".tiff": a name counts for the first suffix it ends with
-    if keys:
-        return ranked.join(best, keys).where("_rank = _best").drop("_rank", "_best").distinct()
-    return ranked.join(F.broadcast(best)).where("_rank = _best").drop("_rank", "_best").distinct()
+    rated = ranked.join(best, keys) if keys else ranked.join(F.broadcast(best))
+    found = rated.where("_rank = _best").drop("_rank", "_best").distinct()
+    if must_find and found.isEmpty():
+        raise FileNotFoundError(f"no file ends in one of {', '.join(wanted)}")
+    return found
 
 
 def with_masks(slides: DataFrame, masks: DataFrame) -> DataFrame:
@@ -111,27 +119,20 @@ def read_manifest(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return spark.read.csv(path, header=True, schema=schema)
 
 
-def split_column(columns: list[str], split: str, fold: int) -> str | None:
-    """The column naming the split: five naming habits, first one present wins."""
-    for name in ("split", "Split", f"fold_{fold}", split):
-        if name in columns:
-            return name
-    for name in columns:
-        low = name.lower()
-        if f"fold_{fold}" in low or ("fold" in low and f"_{fold}" in name):
-            return name
+def split_mark(columns: list[str], split: str, fold: int) -> tuple[str, str] | None:
+    """The column that tells a split and what it says there, by the first of ``SPLIT_HABITS`` that some column follows."""
+    for naming, codes in SPLIT_HABITS:
+        followed = re.compile(naming.format(split=re.escape(split), fold=fold))
+        column = next(filter(followed.fullmatch, columns), None)
+        if column is not None:
+            return column, (split if codes is None else codes[split])
     return None
 
 
 def in_split(rows: DataFrame, split: str, fold: int = 0) -> DataFrame:
-    """Rows of one split; all rows when no column tells."""
-    name = split_column(rows.columns, split, fold)
-    if name is None:
-        return rows
-    text = F.trim(F.col(name).cast("string"))
-    if name == "Split":
-        return rows.where(text == SPLIT_CODES.get(split, "1"))
-    return rows.where(F.lower(text) == split)
+    """Rows of one split; all rows when no column tells.  A coded column knows only train, valid and test."""
+    mark = split_mark(rows.columns, split, fold)
+    return rows if mark is None else rows.where(F.lower(F.trim(F.col(mark[0]).cast("string"))) == mark[1])
 
 
 def file_name_column(rows: DataFrame) -> Column:

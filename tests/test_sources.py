@@ -93,6 +93,26 @@ def test_parse_extensions():
     assert listing.parse_extensions("*.*") == ["*"]
     assert listing.parse_extensions(None) == [".svs"]
     assert listing.parse_extensions(" , ") == [".svs"]
+    assert listing.parse_extensions("tif *") == [".tif", "*"]
+
+
+def test_split_columns():
+    for columns, want in {
+        ("a", "fold_1", "split"): ("split", "valid"),
+        ("Split", "fold_1"): ("Split", "2"),
+        ("My_Fold_1", "fold_1"): ("fold_1", "valid"),
+        ("fold_2", "valid"): ("valid", "valid"),
+        ("x", "My_Fold_1"): ("My_Fold_1", "valid"),
+        ("x", "fold_2"): None,
+    }.items():
+        assert listing.split_mark(list(columns), "valid", 1) == want
+
+
+def test_empty_listing_is_an_error(spark):
+    files = spark.createDataFrame([("/a/b.svs",), ("/a/c.txt",)], "path string")
+    assert listing.collect_slides(files, "svs", must_find=True).count() == 1
+    with pytest.raises(FileNotFoundError):
+        listing.collect_slides(files, "png;jpg", must_find=True)
 
 
 def test_manifest(spark, tmp_path):
