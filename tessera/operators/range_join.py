@@ -45,13 +45,14 @@ def box_pairs(
     keep_right: list[str] | None = None,
     cell: int = 256,
     distinct_pairs: bool = True,
-    split_crowded: bool = False,
+    split_crowded: bool = True,
     levels: tuple[list[int], list[int]] | None = None,
 ) -> DataFrame:
     """All pairs of boxes that meet (closed intervals) and agree on ``on``.
 
     ``levels`` names the grid levels that may occur on each side when they are known (all boxes at most
     ``cell`` wide: ``([0], [0])``); a superset is fine.  Otherwise one small aggregate finds them.
+    ``split_crowded`` may be off where one side has few boxes in any cell, which saves counting the cells.
 
     Output: ``on``, the kept columns as ``l_*``/``r_*`` and both boxes as ``l_<box>``/``r_<box>``.
     """

@@ -100,6 +100,7 @@ def evicted(kept: DataFrame, tiles: DataFrame, margin: int = 64, cell: int = 102
         cell=cell,
         distinct_pairs=False,
         levels=(list(range(20)), line_levels),
+        split_crowded=False,  # a cell holds few lines
     )
     return pairs.select("slide_id", *[F.col("l_" + k).alias(k) for k in DETECTION[1:]]).distinct()
 

@@ -107,7 +107,7 @@ def _detections(fx: "Fixtures") -> DataFrame:
     """Nuclei and tiles are at most one 4096 cell wide, so both live on the lowest grid level."""
     nuclei = fx["fx_inst"].where("task = 'Nuclei'").select("slide_id", "inst_id", "x_min", "y_min", "x_max", "y_max")
     sides = ("x0", "y0", "x1", "y1")
-    pairs = box_pairs(fx["fx_tiles"], nuclei, ["slide_id"], left_box=sides, cell=4096, levels=([0], [0]))
+    pairs = box_pairs(fx["fx_tiles"], nuclei, ["slide_id"], left_box=sides, cell=4096, levels=([0], [0]), split_crowded=False)
     named = pairs.withColumnsRenamed({c: c[2:] for c in pairs.columns if c != "slide_id"})
     return named.where("x_max > x0 and x_min < x1 and y_max > y0 and y_min < y1").selectExpr(
         *fx["fx_tiles"].columns,
