@@ -1,6 +1,7 @@
 """The pipeline against the stages done by hand."""
 
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe, mixing, quality, secret_scan
-from tests.llm.test_operators import DOC_COLUMNS, plain_components, plain_fingerprint
+from tests.llm.test_operators import DOC_COLUMNS, PROSE, plain_components, plain_fingerprint, wrapped_key
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +54,11 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             stages = stage(spark, stages, "")
             assert stages.columns == docs.columns
         assert len(corpus_pipeline.run(spark, f"{tmp_path}/{name}").select("doc_id").distinct().collect()) == (1 if data else 0)
+
+
+def test_no_line_of_a_wrapped_key_is_left(spark):
+    lines, key = wrapped_key(random.Random(9), tail="aZ3=")
+    docs = spark.createDataFrame([(1, f"{PROSE}\n{key}\n{PROSE}", "en", "a", 1)], DOC_COLUMNS)
+    (row,) = corpus_pipeline.secret_scans(spark, docs, "").collect()
+    assert not any(line in row["text"] for line in lines)
+    assert row["n_chars"] == len(row["text"]) < 500
