@@ -5,8 +5,9 @@ A candidate is a run of 16 or more credential characters that mixes letters and
 backslashes and comment marks between them (keys over several lines) share the context of any of them; a
 short last line before an END mark belongs to the run above it.  Its marginal cost is what the zstandard frame of its
 surroundings grows by when the candidate is appended, under a compressor primed with a dictionary of
-identifiers.  Names, paths and repeats of the surroundings cost little; a random key costs nearly its full
-entropy and is reported.  Everything is row-local; memory is bounded by the texts of one Arrow batch.
+identifiers.  Names, paths and repeats of other surroundings cost little; a random key costs nearly its full
+entropy and is reported.  Its own other places are blanked before it is measured, and a string reported once
+is reported wherever it stands in the text.  Everything is row-local; memory is bounded by the texts of one Arrow batch.
 """
 
 from __future__ import annotations
@@ -68,6 +69,12 @@ IDENTIFIERS = (
 )
 
 
+def core(run: str) -> str:
+    """A candidate without a name and equals sign ahead and marks at its ends, if that leaves a candidate."""
+    value = run.rstrip("=").rpartition("=")[2].strip("-_/+")
+    return value if CANDIDATE.fullmatch(value) else run
+
+
 class Novelty:
     """Marginal compressed size under a primed dictionary."""
 
@@ -76,7 +83,11 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
 
     def marginal(self, text: str, start: int, end: int, ahead: str = "") -> int:
-        around = (ahead + text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
+        own = core(text[start:end])
+        blank = " " * len(own)  # of the same length, as places count
+        before = text[max(0, start - AROUND - len(own)) : start].replace(own, blank)[-AROUND:]
+        behind = text[end : end + AROUND + len(own)].replace(own, blank)[:AROUND]
+        around = (ahead + before + behind).encode()
         return len(self.compressor.compress(around + text[start:end].encode())) - len(self.compressor.compress(around))
 
 
@@ -105,7 +116,7 @@ def chains(text: str) -> Iterator[list[tuple[int, int]]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Spans that the fixed patterns do not touch and that are new against their surroundings."""
-    spans, k = [], 0
+    spans, others, k = [], [], 0
     for run in chains(text):
         inside = []  # fixed patterns that touch each candidate
         for start, end in run:
@@ -113,18 +124,25 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
                 k += 1
             # from here on base spans end after the candidate starts; later ones start no sooner
             inside.append(base[k][1] if k < len(base) and base[k][0] < end else None)
+        open_ = [place for place, kind in zip(run, inside, strict=True) if kind is None]
         before = any(kind in (0, 1) for kind in inside) or any(SENSITIVE.search(text, max(0, a - CONTEXT), a) for a, _ in run)
         if not before and not any(SENSITIVE.search(text, b, b + CONTEXT) for _, b in run):
+            others += open_
             continue
-        for (start, end), kind in zip(run, inside, strict=True):
+        for start, end in open_:
             word = text[start:end]
-            if kind is not None or word.isalpha() or not MIXED.match(word):
+            if word.isalpha() or not MIXED.match(word):
                 continue
             if novelty.marginal(text, start, end, "" if before else PLAIN) >= NOVELTY * (end - start):
                 spans.append((start, 3, end))
+            else:
+                others.append((start, end))
         tail = TAIL.match(text, run[-1][1])
         if tail and spans and spans[-1][2] == run[-1][1]:
             spans[-1] = (spans[-1][0], 3, tail.end())
+    known = {core(m.group()) for m in (CANDIDATE.match(text, start) for start, _, _ in spans)}
+    if known:  # what is a secret in one place is one in every place
+        spans += [(start, 3, end) for start, end in others if core(text[start:end]) in known]
     return spans
 
 

@@ -198,6 +198,25 @@ def test_secrets_over_several_lines(spark):
         assert clean[i].startswith(PROSE) and clean[i].endswith(PROSE)
 
 
+def test_repeated_secrets(spark):
+    rnd = random.Random(4)
+    keys = [random_key(rnd, 39) + "7" for _ in range(40)]
+    shapes = (
+        "Use bearer {0} here.\nUse bearer {0} here.\n" + PROSE,
+        "Use bearer {0} here. {1} key={0} stays.",
+        "Use bearer {0} here. {2} Again {0} without a name near it, {1}",
+        "{0} {1} Again bearer {0} and {0}.",
+    )
+    texts = [shapes[i % 4].format(k, PROSE, PROSE * 9) for i, k in enumerate(keys)]
+    # a border of the surroundings cuts the other place of the key at every length
+    texts += [f"bearer {keys[0]} {'x ' * 200}{'.' * n} bearer {keys[0]} {PROSE}" for n in range(60, 130, 7)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in secret_scan.op5(rows).collect():
+        assert [s.split(":")[0] for s in row["spans"].split(",")] == ["novel"] * texts[row["doc_id"]].count(keys[row["doc_id"] % 40 if row["doc_id"] < 40 else 0])
+    for row in secret_scan.redact(rows).collect():
+        assert not any(k in row["text"] for k in keys)
+
+
 # --- near-duplicates ---
 
 
