@@ -47,8 +47,10 @@ def per_batch(df: DataFrame, column: str, fields: list[T.StructField], worker: C
     """Columns ``fields`` computed from ``column``, one Arrow batch at a time, beside the columns ``keep``.
 
     ``worker()`` is called once per task and gives a function from the list of values to one list per field.
+    A column of ``keep`` that bears the name of a field is replaced.
     """
-    keep = df.columns if keep is None else keep
+    made = {f.name.lower() for f in fields}
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
     names = [*keep, *[f.name for f in fields]]
     schema = T.StructType([*df.select(*keep).schema.fields, *fields])
     types = [to_arrow_type(f.dataType) for f in fields]

@@ -1,7 +1,7 @@
 """The operators' queries over the given tables, and their SQL twins where SQL can express them.
 
-No twin for op4 and op6 (tokenizers), op5 (compressed sizes) and op8 (XXH64): those are tested against the
-libraries and against brute force.
+No twin for op4 and op6 (tokenizers), op5 (compressed sizes), op8 (XXH64) and op12 (places of matches): those are tested
+against the libraries and against brute force.
 """
 
 from __future__ import annotations
@@ -10,29 +10,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import arc, bpe, chat, knn, licenses, mixing, quality, secret_scan, simhash, token_counts
+from tessera.llm import arc, bpe, chat, disclosure, infill, knn, lexical, licenses, mixing, quality, secret_scan, simhash, token_counts
 from tessera.llm.common import WORD, table
 from tessera.session import ship_package
 
 _OPERATORS = {
-    "op1_arc_to_warc": ("pages", arc.op1),
-    "op2_quality_rules": ("documents", quality.op2),
-    "op3_voronoi_top_k": ("embeddings", knn.op3),
-    "op4_bpe_replay": ("documents", bpe.op4),
-    "op5_secret_novelty": ("documents", secret_scan.op5),
-    "op6_token_counts": ("documents", token_counts.op6),
-    "op7_source_mix": ("documents", mixing.op7),
-    "op8_simhash_covering": ("documents", simhash.op8),
-    "op9_license_join": ("documents", licenses.op9),
-    "op10_chat_examples": ("conversations", chat.op10),
+    "op1_arc_to_warc": (["pages"], arc.op1),
+    "op2_quality_rules": (["documents"], quality.op2),
+    "op3_voronoi_top_k": (["embeddings"], knn.op3),
+    "op4_bpe_replay": (["documents"], bpe.op4),
+    "op5_secret_novelty": (["documents"], secret_scan.op5),
+    "op6_token_counts": (["documents"], token_counts.op6),
+    "op7_source_mix": (["documents"], mixing.op7),
+    "op8_simhash_covering": (["documents"], simhash.op8),
+    "op9_license_join": (["documents"], licenses.op9),
+    "op10_chat_examples": (["conversations"], chat.op10),
+    "op11_ranked_search": (["documents", "benchmark"], lexical.op11),
+    "op12_disclosing_terms": (["documents"], disclosure.op12),
+    "op13_seekable_infill": (["documents"], infill.op13),
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(name: str, operator: Callable[[DataFrame], DataFrame]):
+    def bind(names: list[str], operator: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
-            return operator(table(spark, sf_dir, name))
+            return operator(*[table(spark, sf_dir, name) for name in names])
 
         return run
 
@@ -179,6 +182,48 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+d1 AS (SELECT rid, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d1),
+i AS (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS w FROM benchmark),
+q AS (SELECT iid, item_id, t, count(*) AS times FROM (SELECT iid, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+tf AS (SELECT rid, doc_id, n, t, count(*) AS tf FROM (SELECT rid, doc_id, n, unnest(w) AS t FROM d1) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+wt AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM df, g),
+im AS (SELECT rid, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * docs) // terms)))) AS impact
+       FROM tf JOIN wt USING (t), g),
+s AS (SELECT iid, item_id, rid, doc_id, CAST(sum(times * impact) AS BIGINT) AS score FROM q JOIN im USING (t) GROUP BY ALL)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS FIRST) AS r FROM s WHERE score > 0) WHERE r <= {lexical.K}
+"""
+
+INFILL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('{infill.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+k AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, u,
+         CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= {infill.PLAIN_FROM} THEN 'plain'
+              WHEN h4 % 100 < {infill.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle,
+         array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -188,4 +233,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_source_mix": MIX,
         "op9_license_join": LICENSES,
         "op10_chat_examples": CHAT,
+        "op11_ranked_search": RANKED,
+        "op13_seekable_infill": INFILL,
     }
