@@ -4,12 +4,13 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, box_iou
 from tessera.operators import components as cc
-from tessera.operators import matching, ranking
+from tessera.operators import matching, neighbours, ranking
 from tessera.operators import morphology as mo
 from tessera.operators import range_join as rj
 from tessera.operators.contours import outlines
@@ -237,6 +238,46 @@ def test_numbering_with_one_hot_key(spark, limit):
             assert seen[(k, o)] == (n, total)
 
 
+def shapes_of_all_kinds():
+    """Instances as pixel sets: a frame around others, a comb, a bar over many blocks, neighbours and a stray pixel."""
+    frame = {(x, y) for x in range(10, 70) for y in range(10, 60) if x in (10, 69) or y in (10, 59)}
+    comb = {(x, 75) for x in range(0, 60)} | {(x, y) for x in range(0, 60, 6) for y in range(76, 84)}
+    bar = {(x, y) for x in range(0, 90) for y in (88, 89)}
+    return {1: frame, 2: {(30, 30), (31, 30), (30, 31)}, 3: comb, 4: bar, 5: {(40 + i, 20 + i) for i in range(20)}, 6: {(88, 2)}}
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_two_nearest(spark, block):
+    shapes, margin, w, h = shapes_of_all_kinds(), 4, 92, 90
+    rows = [(1, i, x, y) for i, px in shapes.items() for x, y in px] + [(2, 1, 3, 3)]
+    px = spark.createDataFrame(rows, "image_id int, inst_id long, x int, y int")
+    frames = spark.createDataFrame([(1, w, h), (2, 9, 9)], "image_id int, w int, h int")
+    got = {(r.image_id, r.x, r.y): (r.d1, r.d2) for r in neighbours.two_nearest(px, frames, margin, block).collect()}
+    want = collections.defaultdict(list)
+    for p in shapes.values():
+        xs, ys = [x for x, _ in p], [y for _, y in p]
+        for x in range(max(min(xs) - margin, 0), min(max(xs) + margin, w - 1) + 1):
+            for y in range(max(min(ys) - margin, 0), min(max(ys) + margin, h - 1) + 1):
+                want[1, x, y].append(min((x - a) ** 2 + (y - b) ** 2 for a, b in p))
+    assert got == {k: (sorted(v)[0], sorted(v)[1] if len(v) > 1 else -1) for k, v in want.items()}
+
+
+def test_envelope_is_brute_force(monkeypatch):
+    rnd = np.random.default_rng(2)
+    for n in (1, 5, 300):
+        y, x0 = rnd.integers(-200, 200, n), rnd.integers(-50, 90, n)
+        x1 = x0 + rnd.integers(0, 9, n)
+        xs, ys = np.arange(0, 64), np.arange(-20, 80)
+        gap = np.maximum(np.maximum(x0[:, None] - xs, xs - x1[:, None]), 0)
+        want = ((ys[None, :, None] - y[:, None, None]) ** 2 + (gap * gap)[:, None, :]).min(axis=0)
+        for at_once in (0, 10**9):
+            monkeypatch.setattr(neighbours, "_AT_ONCE", at_once)
+            monkeypatch.setattr(neighbours, "_PORTION", 128)
+            best = np.full((len(ys), len(xs)), np.iinfo("int64").max)
+            neighbours.lower(best, xs, ys, y, x0, x1)
+            assert np.array_equal(best, want)
+
+
 def test_greedy_matching(spark):
     rnd = random.Random(4)
     rows = [(1, 1, p, 100 + t, rnd.randrange(1, 12) / 12) for p in range(12) for t in range(10) if rnd.random() < 0.5]
