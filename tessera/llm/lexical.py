@@ -166,7 +166,7 @@ class Top:
             self.least = int(self.score[-1])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], weight: np.ndarray, n_docs: int, n_terms: int) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], weight: np.ndarray, n_docs: int, n_terms: int, most: int) -> Iterator[Block]:
     held, docs, postings = [], 0, 0
 
     def built() -> Block:
@@ -184,17 +184,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], weight: np.ndarray, n_docs: int,
             part = (ids.fill_null(0).to_numpy(zero_copy_only=False)[some], known[some], norm[some], sizes[some])
             held.append((*part, terms.flatten().to_numpy(), tf.flatten().to_numpy()))
             docs, postings = docs + int(some.sum()), postings + int(sizes.sum())
-            if postings >= BLOCK_POSTINGS or docs >= BLOCK_DOCS:
+            if postings >= most or docs >= BLOCK_DOCS:
                 yield built()
                 held, docs, postings = [], 0, 0
     if docs:
         yield built()
 
 
-def _answer(profiled: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarray]], weight: np.ndarray, n_docs: int, n_terms: int, k: int) -> DataFrame:
+def _answer(profiled: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarray]], weight: np.ndarray, n_docs: int, n_terms: int, k: int, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops = [Top(k) for _ in queries]
-        for block in _blocks(batches, weight, n_docs, n_terms):
+        for block in _blocks(batches, weight, n_docs, n_terms, most):
             for top, (_, terms, times) in zip(tops, queries, strict=True):
                 block.search(terms, times, top)
         for start in range(0, len(queries), ROWS):
@@ -211,7 +211,7 @@ def _ranked(found: DataFrame, keys: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _chunk(documents: DataFrame, items: list[tuple[int, bytes | None]], text: str, id_column: str, k: int) -> DataFrame:
+def _chunk(documents: DataFrame, items: list[tuple[int, bytes | None]], text: str, id_column: str, k: int, most: int) -> DataFrame:
     asked = {}
     for rid, value in items:
         counts: dict[bytes, int] = {}
@@ -231,7 +231,7 @@ def _chunk(documents: DataFrame, items: list[tuple[int, bytes | None]], text: st
     for rid, counts in asked.items():
         terms = np.array([place[w] for w in counts], np.int64)
         queries.append((rid, terms, np.array(list(counts.values()), np.int64)))
-    found = _answer(profiled, queries, weight, totals["docs"], totals["terms"], k)
+    found = _answer(profiled, queries, weight, totals["docs"], totals["terms"], k, most)
     salted = found.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     return _ranked(_ranked(salted, ["rid", "salt"], k).drop("rank"), ["rid"], k).select("rid", "rank", "id", "score")
 
@@ -245,6 +245,7 @@ def search(
     item_text: str = "text",
     item_id: str = "item_id",
     chunk_chars: int = CHUNK_CHARS,
+    block_postings: int = BLOCK_POSTINGS,
 ) -> DataFrame:
     """Each item's ``k`` documents of the highest score above 0: ``item_id, rank, doc_id, score``.
 
@@ -260,7 +261,7 @@ def search(
     for c in range(chunks):
         mine = numbered.where(F.pmod(F.hash(rid), F.lit(chunks)) == c)
         asked = [(r[rid], r["text"] and bytes(r["text"])) for r in mine.select(rid, "text").collect()]  # a chunk's items only
-        part = _chunk(documents, asked, text, id_column, k).withColumnRenamed("rid", rid)
+        part = _chunk(documents, asked, text, id_column, k, block_postings).withColumnRenamed("rid", rid)
         named = part.join(mine.select(rid, "item"), rid).select(F.col("item").alias(item_id), "rank", F.col("id").alias(id_column), "score")
         out = named if out is None else out.unionByName(named)
     if out is None:

@@ -75,16 +75,15 @@ def ranked(documents, items, k):
 
 
 @pytest.mark.parametrize("postings", [lexical.BLOCK_POSTINGS, 40])
-def test_search_is_a_full_scan(spark, documents, odd, monkeypatch, postings):
-    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", postings)
+def test_search_is_a_full_scan(spark, documents, odd, postings):
     items = [(1, PROSE), (2, "and AND and日本語 word3"), (3, ""), (4, None), (5, "nowhere2found"), (None, "fox the"), (1, "the the")]
     asked = spark.createDataFrame(items, "item_id long, text string").withColumn("rank", F.lit("mine")).withColumn("rid", F.lit("mine"))
     given = [tuple(r) for r in odd.select("doc_id", "text").collect()]
-    assert counted(lexical.op11(odd, asked).collect()) == ranked(given, items, lexical.K)
+    assert counted(lexical.search(odd, asked, block_postings=postings).collect()) == ranked(given, items, lexical.K)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     given = [tuple(r) for r in documents.select("doc_id", "text").collect()]
     want = ranked(given, [tuple(r) for r in bench.select("item_id", "text").collect()], 3)
-    assert counted(lexical.search(documents, bench, k=3).collect()) == want
+    assert counted(lexical.search(documents, bench, k=3, block_postings=postings).collect()) == want
 
 
 def test_search_in_chunks_of_items(spark, documents):
