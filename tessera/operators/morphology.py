@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, padded
 from tessera.operators.components import component_boxes, label_runs
+from tessera.operators.flood import split_by_markers
 from tessera.operators.runs import covered_by_all, depths, gaps, merge_runs, to_pixels, to_runs
 from tessera.session import stable_copy
 
@@ -173,39 +174,6 @@ def grow_instances(px: DataFrame, frames: DataFrame, size: int, limit: int) -> D
     return to_pixels(solid, keys).groupBy("image_id", "x", "y").agg(F.max("comp").alias("comp"))
 
 
-def split_by_markers(mask_px: DataFrame, marker_px: DataFrame) -> DataFrame:
-    """Assign every mask pixel to the marker reaching it first inside the mask.
-
-    ``marker_px(image_id, x, y, marker)`` floods the mask one pixel ring per round; equal distances go
-    to the smaller marker.  A ring's neighbours lie in the ring before, the same one or the next, so a
-    round looks at the two newest rings and the mask only.  Rounds end at the object radius.  Mask
-    parts without a marker stay unassigned.
-    """
-    cell = ["image_id", "x", "y"]
-    mask = stable_copy(mask_px.select(*cell).distinct())
-    ring = stable_copy(marker_px.join(mask, cell).groupBy(*cell).agg(F.min("marker").alias("marker")))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    rings = [ring]
-    while True:
-        near = ring.select("image_id", "x", "y", "marker", F.explode(steps).alias("s")).select(
-            "image_id", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), "marker"
-        )
-        fresh = near.groupBy(*cell).agg(F.min("marker").alias("marker")).join(mask, cell)
-        for old in rings[-2:]:
-            fresh = fresh.join(old.select(*cell), cell, "left_anti")
-        ring = stable_copy(fresh)
-        if ring.isEmpty():
-            return _union(rings)
-        rings.append(ring)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def nuclei_from_heads(scores: DataFrame, frames: DataFrame) -> DataFrame:
     """Touching nuclei apart: eroded joint foreground as mask, inner map as markers.
 

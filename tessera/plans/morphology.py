@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import components as cc
 from tessera.operators import morphology as mo
+from tessera.operators.flood import split_by_markers
 from tessera.operators.runs import to_pixels, to_runs
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.registry import query
@@ -18,13 +19,13 @@ def blob_frames(fx: Fixtures) -> DataFrame:
     return fx["fx_blob"].select("image_id").distinct().select("image_id", F.lit(64).alias("w"), F.lit(64).alias("h"))
 
 
-def reach(source: str, keys: str) -> str:
+def reach(source: str, keys: str, nth: str = "") -> str:
     """Oracle text: component label of every pixel by breadth-first reach over ``source``."""
     k = ", ".join(f"n.{c}" for c in keys.split(", "))
     on = " and ".join(f"p.{c}=n.{c}" for c in keys.split(", "))
-    return f"""reach({keys}, x, y, lab) as (select {keys}, x, y, cast(y as bigint)*4294967296+x from {source}
- union select {k}, n.x, n.y, p.lab from reach p join {source} n on {on} and abs(n.x-p.x)+abs(n.y-p.y)=1 where p.lab<cast(n.y as bigint)*4294967296+n.x),
-lab as (select {keys}, x, y, min(lab) comp from reach group by {keys}, x, y)"""
+    return f"""reach{nth}({keys}, x, y, lab) as (select {keys}, x, y, cast(y as bigint)*4294967296+x from {source}
+ union select {k}, n.x, n.y, p.lab from reach{nth} p join {source} n on {on} and abs(n.x-p.x)+abs(n.y-p.y)=1 where p.lab<cast(n.y as bigint)*4294967296+n.x),
+lab{nth} as materialized (select {keys}, x, y, min(lab) comp from reach{nth} group by {keys}, x, y)"""
 
 
 @query(
@@ -193,23 +194,39 @@ def eroded_targets(fx: Fixtures) -> DataFrame:
     return mo.target_map("IP-ERODED-3", px, frames(fx, px))
 
 
-@query(
-    "marker_split",
-    """with recursive mk as (select image_id, x, y, inst_id from fx_patchwork where v>=48),
-msk as materialized (select image_id, x, y from fx_dil),
-fl(image_id, x, y, d, marker) using key (image_id, x, y) as (
- select k.image_id, k.x, k.y, 0 d, min(k.inst_id) marker from mk k join msk m on m.image_id=k.image_id and m.x=k.x and m.y=k.y group by all
+FLOOD = """fl(image_id, x, y, d, marker) using key (image_id, x, y) as (
+ select k.image_id, k.x, k.y, 0 d, min(k.marker) marker from mk k join msk m on m.image_id=k.image_id and m.x=k.x and m.y=k.y group by all
  union
  select n.image_id, n.x, n.y, f.d+1, min(f.marker) from fl f join msk n on n.image_id=f.image_id and abs(n.x-f.x)+abs(n.y-f.y)=1
-  left join recurring.fl s on s.image_id=n.image_id and s.x=n.x and s.y=n.y where s.x is null group by n.image_id, n.x, n.y, f.d)
-select image_id, x, y, marker from fl""",
+  left join recurring.fl s on s.image_id=n.image_id and s.x=n.x and s.y=n.y where s.x is null group by n.image_id, n.x, n.y, f.d)"""
+
+
+@query(
+    "marker_split",
+    f"""with recursive mk as (select image_id, x, y, cast(inst_id as bigint) marker from fx_patchwork where v>=48),
+msk as materialized (select image_id, x, y from fx_dil), {FLOOD} select image_id, x, y, marker from fl""",
 )
 def marker_split(fx: Fixtures) -> DataFrame:
     markers = fx["fx_patchwork"].where("v >= 48").select("image_id", "x", "y", F.col("inst_id").alias("marker"))
-    return mo.split_by_markers(dilated(fx), markers)
+    return split_by_markers(dilated(fx), markers)
 
 
-@query("nuclei_from_heads")
+@query(
+    "nuclei_from_heads",
+    f"""with recursive {ELLIPSE3}, fr as materialized (select image_id, x, y from fx_dil),
+er as materialized (select f.image_id, f.x, f.y from fr f join el on true left join fr n on n.image_id=f.image_id and n.x=f.x+i and n.y=f.y+j
+ where f.x+i between 0 and 63 and f.y+j between 0 and 63 group by f.image_id, f.x, f.y having count(*)=count(n.x)), {reach('er', 'image_id', '1')},
+msk as materialized (select image_id, x, y from lab1 where (image_id, comp) in (select image_id, comp from lab1 group by all having count(*)>=8)),
+st as materialized (select image_id, x, y from fx_blob where v>35), {reach('st', 'image_id', '2')},
+sd as materialized (select image_id, x, y from lab2 where (image_id, comp) in (select image_id, comp from lab2 group by all having count(*)>=4)),
+bb as (select image_id, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from sd group by image_id),
+bg as (select image_id, x0, x1, y0, y1, x, unnest(range(y0, y1+1)) y from (select *, unnest(range(x0, x1+1)) x from bb)),
+ub as materialized (select bg.image_id, bg.x, bg.y, bg.x in (x0,x1) or bg.y in (y0,y1) edge from bg left join sd on sd.image_id=bg.image_id and sd.x=bg.x and sd.y=bg.y where sd.x is null),
+op(image_id,x,y) as (select image_id, x, y from ub where edge union select n.image_id, n.x, n.y from op p join ub n on n.image_id=p.image_id and abs(n.x-p.x)+abs(n.y-p.y)=1),
+sf as materialized (select image_id, x, y from sd union all (select image_id, x, y from ub except select image_id, x, y from op)), {reach('sf', 'image_id', '3')},
+mk as (select image_id, x, y, comp marker from lab3), {FLOOD}
+select image_id, x, y, marker from fl""",
+)
 def nuclei_from_heads(fx: Fixtures) -> DataFrame:
     """Grown blobs as foreground with the original strong pixels as inner map."""
     strong = fx["fx_blob"].where("v > 35").select("image_id", "x", "y", F.lit(0.9).alias("inner"))

@@ -14,6 +14,7 @@ from tessera.operators import matching, neighbours, ranking
 from tessera.operators import morphology as mo
 from tessera.operators import range_join as rj
 from tessera.operators.contours import outlines
+from tessera.operators.flood import split_by_markers
 from tessera.operators.runs import to_pixels, to_runs
 from tessera.operators.series import smoothed
 
@@ -278,6 +279,39 @@ def test_envelope_is_brute_force(monkeypatch):
             assert np.array_equal(best, want)
 
 
+def reached(mask, markers):
+    """Least (steps, marker) by whole rings."""
+    out, ring = {}, {}
+    for p, m in markers:
+        if p in mask:
+            ring[p] = min(m, ring.get(p, m))
+    while ring:
+        out |= ring
+        ahead = {}
+        for (x, y), m in ring.items():
+            for q in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if q in mask and q not in out:
+                    ahead[q] = min(m, ahead.get(q, m))
+        ring = ahead
+    return out
+
+
+@pytest.mark.parametrize("size", [8, 512])
+def test_split_by_markers(spark, size):
+    """A path that winds through many blocks and back, ties, markers off the mask, two on one pixel, parts without any."""
+    rnd = random.Random(6)
+    snake = {(x, y) for y in range(0, 40, 4) for x in range(40)} | {(39 if k % 2 == 0 else 0, 4 * k + i) for k in range(9) for i in range(1, 4)}
+    images = {1: noise(3, 45, 37, 0.65), 2: snake, 3: noise(4, 30, 30, 0.9), 4: {(1, 1)}}
+    marks = {i: [((rnd.randrange(45), rnd.randrange(40)), rnd.randrange(100)) for _ in range(12)] for i in (1, 3)} | {2: [((0, 0), 9), ((0, 0), 7), ((5, 36), 3)]}
+    given = spark.createDataFrame([(i, x, y, m) for i, ps in marks.items() for (x, y), m in ps], "image_id int, x int, y int, marker long")
+    twice = pixels(spark, images).unionByName(pixels(spark, {1: {(0, 0)} & images[1]}))
+    got = as_sets(split_by_markers(twice, given, size), "marker")
+    for i in images:
+        assert got.get(i, {}) == reached(images[i], marks.get(i, []))
+    none = spark.createDataFrame([], "image_id int, x int, y int")
+    assert split_by_markers(none, given, size).count() == 0
+
+
 def test_greedy_matching(spark):
     rnd = random.Random(4)
     rows = [(1, 1, p, 100 + t, rnd.randrange(1, 12) / 12) for p in range(12) for t in range(10) if rnd.random() < 0.5]
