@@ -1,4 +1,15 @@
-"""Ordered outlines of instances."""
+"""Ordered outlines of pixel sets.
+
+Every side that a set pixel turns to an unset one is a half-edge, run clockwise; which half-edge follows it can be seen
+from the two pixels ahead (diagonal neighbours belong together).  Following them gives one closed ring per outer border and
+per hole; the pixels that own the half-edges, in that order, are the outline.
+
+A 512 x 512 block links its own half-edges in one task, by pointer doubling on arrays.  Rings inside a block are done
+then.  What crosses blocks leaves fragments, rows of (first half-edge, first half-edge of the next fragment, points), and those
+are ranked over the cluster: pointer jumping finds each ring's first half-edge, then every fragment's distance to the end
+of its ring, in as many rounds as the logarithm of the blocks a ring crosses.  A row never holds more than the border
+inside one block; ``outlines`` puts them together for exports that want a whole polygon.
+"""
 
 from __future__ import annotations
 
@@ -6,82 +17,225 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.operators.blocks import BLOCK, block_of, groups, sorted_by_block
 from tessera.operators.runs import to_runs
+from tessera.session import stable_copy
 from tessera.sources.store import POINT
 
-# neighbour offsets (x, y), clockwise from west on a downward y axis
-_AROUND = [(-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1)]
-
-
-def _trace(rows: list[dict]) -> list[dict]:
-    """Walk the outer border of one piece clockwise from its first pixel in raster order."""
-    y0, x0 = min(r["y"] for r in rows), min(r["x0"] for r in rows)
-    grid = np.zeros((max(r["y"] for r in rows) - y0 + 3, max(r["x1"] for r in rows) - x0 + 3), bool)
-    for r in rows:
-        grid[r["y"] - y0 + 1, r["x0"] - x0 + 1 : r["x1"] - x0 + 2] = True
-    top = min(rows, key=lambda r: (r["y"], r["x0"]))
-    start = at = (top["x0"] - x0 + 1, top["y"] - y0 + 1)
-    back, first, ring = 0, None, []
-    while True:
-        for k in range(1, 9):
-            turn = (back + k) % 8
-            dx, dy = _AROUND[turn]
-            if grid[at[1] + dy, at[0] + dx]:
-                break
-        else:
-            return [{"x": start[0] + x0 - 1, "y": start[1] + y0 - 1}]
-        if at == start:
-            if first == turn:
-                return ring
-            first = turn if first is None else first
-        ring.append({"x": at[0] + x0 - 1, "y": at[1] + y0 - 1})
-        at = (at[0] + dx, at[1] + dy)
-        # look on from the cell last seen empty, as seen from the new pixel
-        back = (turn + 5) % 8 if turn % 2 else (turn + 6) % 8
-
-
-def _pieces(rows: list[dict]) -> list[list[dict]]:
-    """Row runs by piece (runs that touch, corners included), pieces in raster order of their first pixel."""
-    rows = sorted(rows, key=lambda r: (r["y"], r["x0"]))
-    parent = list(range(len(rows)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    above = 0  # first run of the row above that may still touch
-    for i, r in enumerate(rows):
-        while above < i and (rows[above]["y"] < r["y"] - 1 or (rows[above]["y"] == r["y"] - 1 and rows[above]["x1"] < r["x0"] - 1)):
-            above += 1
-        k = above
-        while k < i and rows[k]["y"] == r["y"] - 1 and rows[k]["x0"] <= r["x1"] + 1:
-            a, b = root(k), root(i)
-            parent[max(a, b)] = min(a, b)
-            k += 1
-    pieces = {}
-    for i, r in enumerate(rows):
-        pieces.setdefault(root(i), []).append(r)
-    return list(pieces.values())
-
-
-def _trace_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        pdf["contour"] = [[_trace(piece) for piece in _pieces(list(rows))] for rows in pdf["rows"]]
-        yield pdf.drop(columns="rows").explode("contour")
-
-
-def outlines(px: DataFrame, keys: list[str]) -> DataFrame:
+# sides of a pixel: top, right, bottom, left; a half-edge is named ((y * 2**30) + x) * 4 + side
+_OUT = np.array([(-1, 0), (0, 1), (1, 0), (0, -1)])  # (y, x) of the pixel beyond the side
+_ON = np.array([(0, 1), (1, 0), (0, -1), (-1, 0)])  # (y, x) in which it runs
+
+
+def _linked(after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, rank, closed) of every element of chains and rings given by ``after`` (-1: the chain ends).
+
+    The first element of a ring is its smallest.
+    """
+    n = len(after)
+    own = np.arange(n)
+    before = own.copy()
+    linked = np.flatnonzero(after >= 0)
+    before[after[linked]] = linked
+    rounds = max(n - 1, 1).bit_length()
+    jump, least = before.copy(), own.copy()
+    for _ in range(rounds):
+        least, jump = np.minimum(least, least[jump]), jump[jump]
+    closed = before[jump] != jump
+    before = np.where(closed & (least == own), own, before)
+    jump, rank = before.copy(), (before != own).astype(np.int64)
+    for _ in range(rounds):
+        rank, jump = rank + rank[jump], jump[jump]
+    return jump, rank, closed
+
+
+def half_edges(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, rows: tuple[int, int], columns: tuple[int, int]) -> dict[str, np.ndarray]:
+    """Half-edges of the pixels in rows x columns (half open), given the runs of those and of their neighbours.
+
+    ``y, x, side`` in the order of their names, ``after`` (place of the next one, -1 if its pixel lies beyond), and its name.
+    """
+    top, left = int(y.min()) - 1, int(x0.min()) - 1
+    high, wide = int(y.max()) - top + 2, int(x1.max()) - left + 2
+    change = np.zeros((high, wide), np.int32)
+    np.add.at(change, (y - top, x0 - left), 1)
+    np.add.at(change, (y - top, x1 - left + 1), -1)
+    set_ = change.cumsum(axis=1) > 0
+    inside = np.zeros((high, wide), bool)
+    inside[max(rows[0] - top, 0) : max(rows[1] - top, 0), max(columns[0] - left, 0) : max(columns[1] - left, 0)] = True
+    flat, within = set_.ravel(), inside.ravel()
+    pixel = np.flatnonzero(flat & within)
+    out, on = _OUT @ (wide, 1), _ON @ (wide, 1)
+    k, side = np.nonzero(~flat[pixel[:, None] + out[None, :]])
+    at = pixel[k]
+    ahead = at + on[side]
+    turn = ahead + out[side]
+    follow = np.where(flat[turn], turn, np.where(flat[ahead], ahead, at))
+    side_after = np.where(flat[turn], side + 3, np.where(flat[ahead], side, side + 1)) % 4
+    name = at * 4 + side
+    place = np.searchsorted(name, follow * 4 + side_after)
+    after = np.where(within[follow], place, -1)
+    fy, fx = follow // wide + top, follow % wide + left
+    return {
+        "y": at // wide + top,
+        "x": at % wide + left,
+        "side": side,
+        "after": after,
+        "next": ((fy << 30) + fx) * 4 + side_after,
+    }
+
+
+def bends(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which points of a closed ring change its direction."""
+    into = np.stack([y - np.roll(y, 1), x - np.roll(x, 1)])
+    return (into != np.roll(into, -1, axis=1)).any(axis=0) if len(y) > 2 else np.ones(len(y), bool)
+
+
+def _trace(keys: list[str], size: int, simplify: bool):
+    def points(y: np.ndarray, x: np.ndarray) -> list[dict]:
+        return [{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist())]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for key, run_ in groups(batches, [*keys, "_by", "_bx"]):
+            by, bx = int(key[-2]), int(key[-1])
+            y, x0, x1 = (run_[c].astype("int64") for c in ("y", "x0", "x1"))
+            edge = half_edges(y, x0, x1, (by * size, by * size + size), (bx * size, bx * size + size))
+            if not len(edge["y"]):
+                continue
+            first, rank, closed = _linked(edge["after"])
+            order = np.lexsort((rank, first))
+            y, x, side = (edge[c][order] for c in ("y", "x", "side"))
+            heads = np.flatnonzero(rank[order] == 0)
+            area = np.add.reduceat(np.where(side == 1, x + 1, np.where(side == 3, -x, 0)), heads)
+            name = ((y << 30) + x) * 4 + side
+            for lo, hi, turned in zip(heads, [*heads[1:], len(y)], area):
+                py, px_ = y[lo:hi], x[lo:hi]
+                stay = np.r_[True, (py[1:] != py[:-1]) | (px_[1:] != px_[:-1])]
+                row = dict(zip(keys, key)) | {"head": int(name[lo]), "next": None, "low": int(name[lo]), "cut": 0, "area": int(turned)}
+                if closed[order[lo]]:
+                    if turned <= 0:  # the border of a hole
+                        continue
+                    py, px_ = py[stay], px_[stay]
+                    if len(py) > 1 and py[-1] == py[0] and px_[-1] == px_[0]:
+                        py, px_ = py[:-1], px_[:-1]
+                    bend = bends(py, px_) if simplify else np.s_[:]
+                    py, px_ = py[bend], px_[bend]
+                else:
+                    low = int(name[lo:hi].argmin())
+                    row |= {"next": int(edge["next"][order[hi - 1]]), "low": int(name[lo + low]), "cut": int(stay[: low + 1].sum()) - 1}
+                    py, px_ = py[stay], px_[stay]
+                rows.append(row | {"points": points(py, px_)})
+            if len(rows) >= 1000:
+                yield pd.DataFrame(rows).astype({"next": "Int64"})
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows).astype({"next": "Int64"})
+
+    return run
+
+
+def _fragments(px: DataFrame, keys: list[str], simplify: bool, size: int) -> DataFrame:
+    """``keys, head, next, low, cut, area, points``: closed rings (no next) and what crosses blocks."""
+    runs = to_runs(px, keys)
+    near = lambda lo, hi: F.explode(F.sequence(block_of(lo - 1, size), block_of(hi + 1, size)))
+    sent = runs.withColumn("_bx", near(F.col("x0"), F.col("x1"))).withColumn("_by", near(F.col("y"), F.col("y")))
+    # a neighbouring block needs no more of a run than the pixels next to it
+    edge = F.col("_bx") * size
+    cut = sent.withColumn("x0", F.greatest("x0", edge - 1)).withColumn("x1", F.least("x1", edge + size))
+    long = [T.StructField(c, T.LongType()) for c in ("head", "next", "low")] + [T.StructField("cut", T.IntegerType()), T.StructField("area", T.LongType())]
+    schema = T.StructType([*px.select(*keys).schema.fields, *long, T.StructField("points", T.ArrayType(POINT))])
+    return sorted_by_block(cut, [*keys, "_by", "_bx"], []).mapInPandas(_trace(keys, size, simplify), schema)
+
+
+def _with_places(open_: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, head, ring, place, last``: ring (its first half-edge) and place of every fragment on outer rings."""
+    node = lambda df, *cols: df.select(*keys, F.col("head").alias("jump"), *cols)
+    seen = stable_copy(open_.select(*keys, "head", F.col("next").alias("jump"), "low", F.lit(True).alias("fell")))
+    while True:  # the smallest name among 2, 4, 8 ... fragments from here on
+        ahead = node(seen, F.col("jump").alias("_jump"), F.col("low").alias("_low"))
+        seen = stable_copy(
+            seen.join(ahead, [*keys, "jump"]).select(
+                *keys, "head", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("fell")
+            )
+        )
+        if seen.where("fell").isEmpty():
+            break
+    ring = seen.select(*keys, "head", F.col("low").alias("ring"))
+    named = open_.select(*keys, "head", "next", "low", "area").join(ring, [*keys, "head"])
+    outer = named.groupBy(*keys, "ring").agg(F.sum("area").alias("turned"), F.count("*").alias("n")).where("turned > 0")
+    named = stable_copy(named.join(outer.select(*keys, "ring", "n"), [*keys, "ring"]))
+    starts = named.where("low = ring").select(*keys, F.col("head").alias("next"), F.lit(True).alias("start"))
+    linked = named.join(starts, [*keys, "next"], "left")
+    open_end = F.when(F.col("start").isNull(), F.col("next"))
+    left = stable_copy(linked.select(*keys, "head", "ring", "n", open_end.alias("jump"), F.when(F.col("start").isNull(), 1).otherwise(0).cast("long").alias("steps")))
+    while not left.where("jump is not null").isEmpty():
+        ahead = node(left, F.col("jump").alias("_jump"), F.col("steps").alias("_steps"))
+        left = stable_copy(
+            left.join(ahead, [*keys, "jump"], "left").select(
+                *keys, "head", "ring", "n", F.col("_jump").alias("jump"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")
+            )
+        )
+    return left.select(*keys, "head", "ring", (F.col("n") - 1 - F.col("steps")).alias("place"), F.col("n").alias("last"))
+
+
+def _bent(points: Column, before: Column, behind: Column) -> Column:
+    """Points at which the direction changes, given the points around them."""
+    point = lambda i: F.when(i < 0, before).when(i >= F.size(points), behind).otherwise(F.get(points, i))
+
+    def bend(p: Column, i: Column) -> Column:
+        a, b = point(i - 1), point(i + 1)
+        return (p["x"] - a["x"] != b["x"] - p["x"]) | (p["y"] - a["y"] != b["y"] - p["y"])
+
+    return F.filter(points, bend)
+
+
+def outline_parts(px: DataFrame, keys: list[str], simplify: bool = False, size: int = BLOCK) -> DataFrame:
+    """``keys, ring, part, points``: outer outlines in order, at most the border within one block to a row.
+
+    ``ring`` names the first pixel of the piece in raster order, where the outline starts.  ``simplify`` keeps only the points
+    at which the direction changes.
+    """
+    made = stable_copy(_fragments(px, keys, simplify, size))
+    whole = made.where("next is null").select(*keys, F.col("head").alias("ring"), F.lit(0).cast("long").alias("part"), "points")
+    open_ = made.where("next is not null")
+    if open_.isEmpty():
+        return whole
+    placed = open_.join(_with_places(open_, keys), [*keys, "head"])
+    # the fragment with the ring's first half-edge is where it starts and ends
+    behind_cut = F.slice("points", F.col("cut") + 1, F.size("points"))
+    pieces = F.when(
+        F.col("low") == F.col("ring"),
+        F.array(
+            F.struct(F.lit(0).cast("long").alias("part"), behind_cut.alias("points")),
+            F.struct(F.col("last").alias("part"), F.slice("points", 1, F.col("cut")).alias("points")),
+        ),
+    ).otherwise(F.array(F.struct(F.col("place").alias("part"), F.col("points").alias("points"))))
+    parts = placed.select(*keys, "ring", F.explode(pieces).alias("p")).select(*keys, "ring", "p.*").where(F.size("points") > 0)
+    if simplify:
+        order = Window.partitionBy(*keys, "ring").orderBy("part")
+        every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        head, tail = F.element_at("points", 1), F.element_at("points", -1)
+        parts = parts.select(
+            *keys,
+            "ring",
+            "part",
+            "points",
+            F.coalesce(F.lag(tail).over(order), F.last(tail).over(every)).alias("_a"),
+            F.coalesce(F.lead(head).over(order), F.first(head).over(every)).alias("_b"),
+        )
+        parts = parts.select(*keys, "ring", "part", _bent(F.col("points"), F.col("_a"), F.col("_b")).alias("points")).where(F.size("points") > 0)
+    return whole.unionByName(parts)
+
+
+def outlines(px: DataFrame, keys: list[str], simplify: bool = False, size: int = BLOCK) -> DataFrame:
     """Outer outline of each piece of each key's pixels as ``contour``, one row per piece.
 
-    Each instance travels as one row holding its row runs (bounded by its height), not its pixels.
     Outlines shorter than three points are kept and left to the usability filter.
     """
-    runs = to_runs(px, keys)
-    packed = runs.groupBy(*keys).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("rows"))
-    out = packed.select(*keys).withColumn("contour", F.lit(None).cast(f"array<{POINT.simpleString()}>")).schema
-    return packed.mapInPandas(_trace_batches, out)
+    parts = outline_parts(px, keys, simplify, size)
+    ordered = F.array_sort(F.collect_list(F.struct("part", "points")))
+    return parts.groupBy(*keys, "ring").agg(ordered.alias("_p")).select(*keys, F.flatten(F.transform("_p", lambda p: p["points"])).alias("contour"))

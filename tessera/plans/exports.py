@@ -165,3 +165,36 @@ def outlines_pieces(fx: Fixtures) -> DataFrame:
     points = F.sort_array(F.transform("contour", lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
     listed = F.array_join(F.transform(points, lambda p: F.concat_ws(",", p["x"], p["y"])), ";")
     return ring.select("image_id", "cls", F.array_min(xs).alias("x_min"), F.array_min(ys).alias("y_min"), F.size("contour").alias("points"), F.md5(listed).alias("border"))
+
+
+WALKED = """with recursive px as materialized (select image_id, inst_id, x, y from fx_patchwork),
+sd(k, ox, oy, dx, dy) as (values (0, 0, -1, 1, 0), (1, 1, 0, 0, 1), (2, 0, 1, -1, 0), (3, -1, 0, 0, -1)),
+e as materialized (select p.*, k, coalesce(a.x, b.x, p.x) nx, coalesce(a.y, b.y, p.y) ny, case when a.x is not null then (k+3)%4 when b.x is not null then k else (k+1)%4 end nk
+ from px p join sd on true left join px o on o.image_id=p.image_id and o.inst_id=p.inst_id and o.x=p.x+ox and o.y=p.y+oy
+ left join px b on b.image_id=p.image_id and b.inst_id=p.inst_id and b.x=p.x+dx and b.y=p.y+dy
+ left join px a on a.image_id=p.image_id and a.inst_id=p.inst_id and a.x=p.x+dx+ox and a.y=p.y+dy+oy where o.x is null),
+st as (select image_id, inst_id, x, y from e where k=0 and not exists (select 1 from px n where n.image_id=e.image_id and n.inst_id=e.inst_id and ((n.x=e.x-1 and n.y in (e.y, e.y-1)) or (n.x=e.x+1 and n.y=e.y-1)))),
+wk(image_id, inst_id, sx, sy, i, x, y, k) as (select image_id, inst_id, x, y, 0, x, y, 0 from st
+ union all select w.image_id, w.inst_id, sx, sy, i+1, e.nx, e.ny, e.nk from wk w join e on e.image_id=w.image_id and e.inst_id=w.inst_id and e.x=w.x and e.y=w.y and e.k=w.k
+ where not (e.nx=sx and e.ny=sy and e.nk=0)),
+ok as (select *, min((cast(y as bigint)*4096+x)*4+k) over (partition by image_id, inst_id, sx, sy) low from wk),
+vi as (select *, lag(x) over w px, lag(y) over w py, max(i) over (partition by image_id, inst_id, sx, sy) top from ok where low=(cast(sy as bigint)*4096+sx)*4
+ window w as (partition by image_id, inst_id, sx, sy order by i)),
+pt as (select image_id, inst_id, sx, sy, i, x, y from vi where i=0 or ((px<>x or py<>y) and not (x=sx and y=sy and i=(select max(j.i) from vi j where j.image_id=vi.image_id and j.inst_id=vi.inst_id and j.sx=vi.sx and j.sy=vi.sy and (j.px<>j.x or j.py<>j.y)))))"""
+
+
+@query(
+    "outline_points",
+    WALKED
+    + """, nb as (select *, count(*) over r n, coalesce(lag(x) over o, last_value(x) over r) ax, coalesce(lag(y) over o, last_value(y) over r) ay,
+ coalesce(lead(x) over o, first_value(x) over r) bx, coalesce(lead(y) over o, first_value(y) over r) by_ from pt
+ window o as (partition by image_id, inst_id, sx, sy order by i), r as (partition by image_id, inst_id, sx, sy order by i rows between unbounded preceding and unbounded following))
+select image_id, inst_id, sx x, sy y, cast(count(*) as int) points, md5(string_agg(x||','||y, ';' order by i)) border from nb
+where n<3 or x-ax<>bx-x or y-ay<>by_-y group by image_id, inst_id, sx, sy""",
+)
+def outline_points(fx: Fixtures) -> DataFrame:
+    """Outlines of irregular pieces with holes, corner points only, in order."""
+    ring = outlines(fx["fx_patchwork"], ["image_id", "inst_id"], simplify=True)
+    listed = F.array_join(F.transform("contour", lambda p: F.concat_ws(",", p["x"], p["y"])), ";")
+    first = F.element_at("contour", 1)
+    return ring.select("image_id", "inst_id", first["x"].alias("x"), first["y"].alias("y"), F.size("contour").alias("points"), F.md5(listed).alias("border"))

@@ -13,7 +13,7 @@ from tessera.operators import components as cc
 from tessera.operators import matching, neighbours, ranking
 from tessera.operators import morphology as mo
 from tessera.operators import range_join as rj
-from tessera.operators.contours import outlines
+from tessera.operators.contours import outline_parts, outlines
 from tessera.operators.flood import split_by_markers
 from tessera.operators.runs import to_pixels, to_runs
 from tessera.operators.series import smoothed
@@ -338,19 +338,65 @@ def test_smoothing_across_chunks(spark):
     assert got[("b", 0)] == 5.0
 
 
-def test_outlines(spark):
+AROUND = [(-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1)]  # (x, y), clockwise from the west
+
+
+def walked(px):
+    """Outer outlines by walking around each piece (corners connect), pixel by pixel, from its first pixel in raster order."""
+    left, rings = set(px), []
+    for start in sorted(px, key=lambda p: (p[1], p[0])):
+        if start not in left:
+            continue
+        todo = [start]
+        left.discard(start)
+        while todo:
+            x, y = todo.pop()
+            for dx, dy in AROUND:
+                if (x + dx, y + dy) in left:
+                    left.discard((x + dx, y + dy))
+                    todo.append((x + dx, y + dy))
+        at, back, first, ring = start, 0, None, []
+        while True:
+            turn = next((k for k in ((back + k) % 8 for k in range(1, 9)) if (at[0] + AROUND[k][0], at[1] + AROUND[k][1]) in px), None)
+            if turn is None:
+                ring = [start]
+                break
+            if at == start:
+                if first == turn:
+                    break
+                first = turn if first is None else first
+            ring.append(at)
+            at = (at[0] + AROUND[turn][0], at[1] + AROUND[turn][1])
+            back = (turn + 5) % 8 if turn % 2 else (turn + 6) % 8
+        rings.append(ring)
+    return rings
+
+
+def corners_of(ring):
+    step = lambda a, b: (b[0] - a[0], b[1] - a[1])
+    n = len(ring)
+    return [p for i, p in enumerate(ring) if n < 3 or step(ring[i - 1], p) != step(p, ring[(i + 1) % n])]
+
+
+@pytest.mark.parametrize("size", [4, 512])
+def test_outlines(spark, size):
     shapes = {
         1: {(5, 5)},
         2: {(x, 3) for x in range(4)},
         3: {(x, y) for x in range(5) for y in range(4)},
         4: {(x, y) for x in range(15) for y in range(15) if (x - 7) ** 2 + (y - 7) ** 2 <= 40},
         5: {(0, 0), (1, 0), (2, 0), (1, 1), (1, 2), (0, 3), (1, 3), (2, 3)},
+        6: noise(9, 30, 26, 0.5),
+        7: noise(10, 33, 20, 0.75),
+        8: {(x, y) for x in range(40) for y in range(30) if x in (0, 39) or y in (0, 29) or (x, y) in ((20, 15), (21, 16))},
+        9: {(i, i) for i in range(20)} | {(39 - i, i) for i in range(20)},
     }
-    got = {r.image_id: [(p.x, p.y) for p in r.contour] for r in outlines(pixels(spark, shapes), ["image_id"]).collect()}
-    for i, px in shapes.items():
-        ring = got[i]
-        assert set(ring) <= px
-        assert all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 1 for a, b in zip(ring, ring[1:] + ring[:1]))
-        # everything with an open side (four-neighbour background reachable from outside) is on the ring
-        edge = {(x, y) for x, y in px if {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} - px}
-        assert edge <= set(ring)
+    px = pixels(spark, shapes)
+    for simplify in (False, True):
+        rows = outlines(px, ["image_id"], simplify, size).collect()
+        got = collections.Counter((r.image_id, tuple((p.x, p.y) for p in r.contour)) for r in rows)
+        want = collections.Counter((i, tuple(corners_of(ring) if simplify else ring)) for i, s in shapes.items() for ring in walked(s))
+        assert got == want
+    parts = outline_parts(px, ["image_id"], False, size)
+    assert parts.agg(F.max(F.size("points"))).first()[0] <= max(2 * size * size, 8) or size == 512
+    assert outlines(px.limit(0), ["image_id"]).count() == 0
