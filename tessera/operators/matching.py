@@ -2,32 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.blocks import BLOCK, block_of, groups, sorted_by_block
+from tessera.operators.runs import local_runs
 from tessera.session import stable_copy
 
 
-def instance_areas(px: DataFrame) -> DataFrame:
-    return px.groupBy("image_id", "cls", "inst_id").agg(F.count("*").alias("area"))
+_GROUP = ["image_id", "_by", "_bx"]
+
+
+def _crossing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Overlap lengths of the two maps' runs inside a block, summed per pair."""
+    for key, run in groups(batches, _GROUP):
+        line = np.unique(run["cls"], return_inverse=True)[1] * BLOCK + run["y"] % BLOCK
+        lo, hi = line * BLOCK + run["x0"] % BLOCK, line * BLOCK + run["x1"] % BLOCK
+        true = run["true"].astype(bool)
+        p, t = np.flatnonzero(~true), np.flatnonzero(true)
+        p, t = p[np.argsort(lo[p], kind="stable")], t[np.argsort(lo[t], kind="stable")]
+        # two runs cross if one starts inside the other; equal starts count once
+        a, b = [], []
+        for outer, inner, side in ((t, p, "left"), (p, t, "right")):
+            first = np.searchsorted(lo[inner], lo[outer], side)
+            count = np.maximum(np.searchsorted(lo[inner], hi[outer], "right") - first, 0)
+            many = np.repeat(outer, count)
+            few = inner[np.arange(len(many)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
+            a.append(few if side == "left" else many)
+            b.append(many if side == "left" else few)
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            pairs = pd.DataFrame({"cls": run["cls"][a], "pid": run["inst_id"][a], "tid": run["inst_id"][b], "inter": np.minimum(hi[a], hi[b]) - np.maximum(lo[a], lo[b]) + 1})
+            pairs = pairs.groupby(["cls", "pid", "tid"], as_index=False).sum()
+            pairs.insert(0, "image_id", key[0])
+            yield pairs
+
+
+def overlaps(pred_runs: DataFrame, true_runs: DataFrame) -> DataFrame:
+    """``image_id, cls, pid, tid, inter``: common pixels of every overlapping pair of one class.
+
+    Takes ``local_runs`` over ``image_id, cls, inst_id``.  Only runs are shuffled, to the 512 x 512 blocks they lie in; there
+    the two lists, sorted by start, are swept against each other.  Instances of a map may overlap.
+    """
+    both = pred_runs.withColumn("true", F.lit(False)).unionByName(true_runs.withColumn("true", F.lit(True)))
+    pieces = both.withColumn("_bx", F.explode(F.sequence(block_of(F.col("x0")), block_of(F.col("x1")))))
+    pieces = (
+        pieces.withColumn("x0", F.greatest("x0", F.col("_bx") * BLOCK))
+        .withColumn("x1", F.least("x1", F.col("_bx") * BLOCK + BLOCK - 1))
+        .withColumn("_by", block_of(F.col("y")))
+    )
+    placed = sorted_by_block(pieces, _GROUP, [])
+    kind = {f.name: f.dataType.simpleString() for f in pred_runs.schema.fields}
+    schema = f"image_id {kind['image_id']}, cls {kind['cls']}, pid {kind['inst_id']}, tid {kind['inst_id']}, inter bigint"
+    return placed.mapInPandas(_crossing, schema).groupBy("image_id", "cls", "pid", "tid").agg(F.sum("inter").alias("inter"))
+
+
+def _areas(runs: DataFrame, name: str, area: str) -> DataFrame:
+    """Pixels per instance, summed map-side from its runs."""
+    length = (F.col("x1") - F.col("x0") + 1).cast("long")
+    return runs.groupBy("image_id", "cls", F.col("inst_id").alias(name)).agg(F.sum(length).alias(area))
 
 
 def iou_pairs(pred: DataFrame, true: DataFrame) -> DataFrame:
     """(image_id, cls, pid, tid, iou) for every overlapping pair of one class.
 
-    Only pixels present in both maps meet, so the work follows the overlap, not predictions x truths.
+    Pixels stay where they are; the work follows the runs and the overlap, not predictions x truths.
     """
-    p = pred.select("image_id", "x", "y", "cls", F.col("inst_id").alias("pid"))
-    t = true.select("image_id", "x", "y", "cls", F.col("inst_id").alias("tid"))
-    inter = p.join(t, ["image_id", "x", "y", "cls"]).groupBy("image_id", "cls", "pid", "tid").agg(
-        F.count("*").alias("inter")
-    )
-    pa = instance_areas(pred).select("image_id", "cls", F.col("inst_id").alias("pid"), F.col("area").alias("p_area"))
-    ta = instance_areas(true).select("image_id", "cls", F.col("inst_id").alias("tid"), F.col("area").alias("t_area"))
+    key = ["image_id", "cls", "inst_id"]
+    p, t = stable_copy(local_runs(pred, key)), stable_copy(local_runs(true, key))
     iou = F.col("inter").cast("double") / (F.col("p_area") + F.col("t_area") - F.col("inter"))
     return (
-        inter.join(pa, ["image_id", "cls", "pid"])
-        .join(ta, ["image_id", "cls", "tid"])
+        overlaps(p, t)
+        .join(_areas(p, "pid", "p_area"), ["image_id", "cls", "pid"])
+        .join(_areas(t, "tid", "t_area"), ["image_id", "cls", "tid"])
         .select("image_id", "cls", "pid", "tid", iou.alias("iou"))
     )
 

@@ -7,8 +7,13 @@ image row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def to_runs(px: DataFrame, keys: list[str]) -> DataFrame:
@@ -22,6 +27,46 @@ def to_runs(px: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+_HELD = 200_000  # pixels that are sorted into runs at a time
+
+
+def local_runs(px: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs ``keys, y, x0, x1`` of the pixels as they lie in their partitions, without a shuffle.
+
+    Together they cover every pixel as often as it is listed, but a run may come in several pieces.  ``keys`` are
+    integer columns without nulls.
+    """
+    order = [*keys, "y"]
+    wanted = px.select(*order, "x")
+
+    def built(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(len(order) + 1)]
+        sort = np.lexsort(columns[::-1])
+        *lead, x = (c[sort] for c in columns)
+        fresh = np.r_[True, x[1:] != x[:-1] + 1]
+        for c in lead:
+            fresh[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(fresh)
+        last = np.r_[first[1:], len(x)] - 1
+        return pa.RecordBatch.from_arrays([pa.array(c[first]) for c in lead] + [pa.array(x[first]), pa.array(x[last])], [*order, "x0", "x1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= _HELD:
+                yield built(held)
+                held, n = [], 0
+        if held:
+            yield built(held)
+
+    fields = wanted.schema.fields
+    ends = [T.StructField(c, fields[-1].dataType) for c in ("x0", "x1")]
+    return wanted.mapInArrow(run, T.StructType([*fields[:-1], *ends]))
+
+
 def to_pixels(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"), "y")
 

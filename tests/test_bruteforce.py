@@ -15,7 +15,7 @@ from tessera.operators import morphology as mo
 from tessera.operators import range_join as rj
 from tessera.operators.contours import outline_parts, outlines
 from tessera.operators.flood import split_by_markers
-from tessera.operators.runs import to_pixels, to_runs
+from tessera.operators.runs import local_runs, to_pixels, to_runs
 from tessera.operators.series import smoothed
 
 
@@ -312,6 +312,32 @@ def test_split_by_markers(spark, size):
     assert split_by_markers(none, given, size).count() == 0
 
 
+def test_overlaps_of_runs(spark):
+    """Maps whose instances overlap themselves, across blocks, classes and shuffled partitions, against pixel pairs."""
+    rnd = random.Random(12)
+
+    def blobs(n, first):
+        rows = []
+        for i in range(n):
+            x, y, w, h, cls = rnd.randrange(480, 540), rnd.randrange(490, 530), rnd.randrange(1, 40), rnd.randrange(1, 30), rnd.randrange(1, 3)
+            rows += [(i % 2, cls, first + i, a, b) for a in range(x, x + w) for b in range(y, y + h) if (a * b) % 7]
+        rnd.shuffle(rows)
+        return rows
+
+    left, right = blobs(20, 0), blobs(20, 100)
+    frame = lambda rows: spark.createDataFrame(rows, "image_id int, cls int, inst_id long, x int, y int").repartition(5)
+    key = ["image_id", "cls", "inst_id"]
+    got = {tuple(r)[:4]: r.inter for r in matching.overlaps(local_runs(frame(left), key), local_runs(frame(right), key)).collect()}
+    at = collections.defaultdict(list)
+    for i, c, t, x, y in right:
+        at[i, c, x, y].append(t)
+    want = collections.Counter((i, c, p, t) for i, c, p, x, y in left for t in at[i, c, x, y])
+    assert got == want
+    runs = local_runs(frame(left), key)
+    assert runs.agg(F.sum(F.col("x1") - F.col("x0") + 1)).first()[0] == len(left)
+    assert matching.iou_pairs(frame(left).limit(0), frame(right)).count() == 0
+
+
 def test_greedy_matching(spark):
     rnd = random.Random(4)
     rows = [(1, 1, p, 100 + t, rnd.randrange(1, 12) / 12) for p in range(12) for t in range(10) if rnd.random() < 0.5]
