@@ -42,29 +42,35 @@ def _crossing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pairs
 
 
-def overlaps(pred_runs: DataFrame, true_runs: DataFrame) -> DataFrame:
+def runs_of_both(pred: DataFrame, true: DataFrame) -> DataFrame:
+    """``true, image_id, cls, inst_id, y, x0, x1``: the runs of two maps, 0 and 1, built where their pixels lie."""
+    cell = ["image_id", "cls", "inst_id", "x", "y"]
+    marked = lambda px, side: px.select(F.lit(side).alias("true"), *cell)
+    return stable_copy(local_runs(marked(pred, 0).unionByName(marked(true, 1)), ["true", "image_id", "cls", "inst_id"]))
+
+
+def overlaps(runs: DataFrame) -> DataFrame:
     """``image_id, cls, pid, tid, inter``: common pixels of every overlapping pair of one class.
 
-    Takes ``local_runs`` over ``image_id, cls, inst_id``.  Only runs are shuffled, to the 512 x 512 blocks they lie in; there
-    the two lists, sorted by start, are swept against each other.  Instances of a map may overlap.
+    Takes ``runs_of_both``.  Only runs are shuffled, to the 512 x 512 blocks they lie in; there the two lists, sorted by
+    start, are swept against each other.  Instances of a map may overlap.
     """
-    both = pred_runs.withColumn("true", F.lit(False)).unionByName(true_runs.withColumn("true", F.lit(True)))
-    pieces = both.withColumn("_bx", F.explode(F.sequence(block_of(F.col("x0")), block_of(F.col("x1")))))
+    pieces = runs.withColumn("_bx", F.explode(F.sequence(block_of(F.col("x0")), block_of(F.col("x1")))))
     pieces = (
         pieces.withColumn("x0", F.greatest("x0", F.col("_bx") * BLOCK))
         .withColumn("x1", F.least("x1", F.col("_bx") * BLOCK + BLOCK - 1))
         .withColumn("_by", block_of(F.col("y")))
     )
-    placed = sorted_by_block(pieces, _GROUP, [])
-    kind = {f.name: f.dataType.simpleString() for f in pred_runs.schema.fields}
+    kind = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
     schema = f"image_id {kind['image_id']}, cls {kind['cls']}, pid {kind['inst_id']}, tid {kind['inst_id']}, inter bigint"
-    return placed.mapInPandas(_crossing, schema).groupBy("image_id", "cls", "pid", "tid").agg(F.sum("inter").alias("inter"))
+    crossing = sorted_by_block(pieces, _GROUP, []).mapInPandas(_crossing, schema)
+    return crossing.groupBy("image_id", "cls", "pid", "tid").agg(F.sum("inter").alias("inter"))
 
 
-def _areas(runs: DataFrame, name: str, area: str) -> DataFrame:
+def _areas(runs: DataFrame, side: int, name: str, area: str) -> DataFrame:
     """Pixels per instance, summed map-side from its runs."""
     length = (F.col("x1") - F.col("x0") + 1).cast("long")
-    return runs.groupBy("image_id", "cls", F.col("inst_id").alias(name)).agg(F.sum(length).alias(area))
+    return runs.where(F.col("true") == side).groupBy("image_id", "cls", F.col("inst_id").alias(name)).agg(F.sum(length).alias(area))
 
 
 def iou_pairs(pred: DataFrame, true: DataFrame) -> DataFrame:
@@ -72,13 +78,12 @@ def iou_pairs(pred: DataFrame, true: DataFrame) -> DataFrame:
 
     Pixels stay where they are; the work follows the runs and the overlap, not predictions x truths.
     """
-    key = ["image_id", "cls", "inst_id"]
-    p, t = stable_copy(local_runs(pred, key)), stable_copy(local_runs(true, key))
+    runs = runs_of_both(pred, true)
     iou = F.col("inter").cast("double") / (F.col("p_area") + F.col("t_area") - F.col("inter"))
     return (
-        overlaps(p, t)
-        .join(_areas(p, "pid", "p_area"), ["image_id", "cls", "pid"])
-        .join(_areas(t, "tid", "t_area"), ["image_id", "cls", "tid"])
+        overlaps(runs)
+        .join(_areas(runs, 0, "pid", "p_area"), ["image_id", "cls", "pid"])
+        .join(_areas(runs, 1, "tid", "t_area"), ["image_id", "cls", "tid"])
         .select("image_id", "cls", "pid", "tid", iou.alias("iou"))
     )
 

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.instances import dominant_class
-from tessera.operators.matching import match, overlaps
-from tessera.operators.runs import local_runs
-from tessera.session import stable_copy
+from tessera.operators.matching import match, overlaps, runs_of_both
 
 CELL = ["image_id", "cls"]
 
@@ -31,10 +29,10 @@ def class_count(pred: DataFrame, true: DataFrame) -> DataFrame:
 
 def dice(pred: DataFrame, true: DataFrame, images: DataFrame) -> DataFrame:
     """Mean foreground Dice per image; absent classes are skipped, images without any score 0."""
-    whole = lambda px: stable_copy(local_runs(px.where("cls <> 0").select(*CELL, F.lit(0).alias("inst_id"), "x", "y"), [*CELL, "inst_id"]))
-    p, t = whole(pred), whole(true)
-    sizes = p.unionByName(t).groupBy(*CELL).agg(F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("total"))
-    both = overlaps(p, t).select(*CELL, "inter")
+    whole = lambda px: px.where("cls <> 0").select(*CELL, F.lit(0).alias("inst_id"), "x", "y")
+    runs = runs_of_both(whole(pred), whole(true))
+    sizes = runs.groupBy(*CELL).agg(F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("total"))
+    both = overlaps(runs).select(*CELL, "inter")
     scores = sizes.join(both, CELL, "left").groupBy("image_id").agg(
         F.avg(2.0 * F.coalesce("inter", F.lit(0)) / F.col("total")).alias("dice")
     )

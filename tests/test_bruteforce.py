@@ -327,7 +327,7 @@ def test_overlaps_of_runs(spark):
     left, right = blobs(20, 0), blobs(20, 100)
     frame = lambda rows: spark.createDataFrame(rows, "image_id int, cls int, inst_id long, x int, y int").repartition(5)
     key = ["image_id", "cls", "inst_id"]
-    got = {tuple(r)[:4]: r.inter for r in matching.overlaps(local_runs(frame(left), key), local_runs(frame(right), key)).collect()}
+    got = {tuple(r)[:4]: r.inter for r in matching.overlaps(matching.runs_of_both(frame(left), frame(right))).collect()}
     at = collections.defaultdict(list)
     for i, c, t, x, y in right:
         at[i, c, x, y].append(t)
