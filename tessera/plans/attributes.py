@@ -10,6 +10,8 @@ from tessera.operators import instances as inst
 from tessera.operators.ranking import first_k
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.registry import query
+from tessera.session import shared_folder
+from tessera.sources import box_tree, store
 
 BOX = bx.Box.of()
 
@@ -180,11 +182,29 @@ def slide_metadata(fx: Fixtures) -> DataFrame:
 where i.x_max>=2000 and i.x_min<=2000+floor(proc_w/4.0) and i.y_max>=1500 and i.y_min<=1500+floor(proc_h/4.0) and i.task in ('Nuclei','Gland') group by i.slide_id, i.task""",
 )
 def region_instances(fx: Fixtures) -> DataFrame:
-    from tessera.operators.pruning import attach_slide_size
-    from tessera.sources.store import in_region, of_tasks
-
-    rows = attach_slide_size(of_tasks(fx["fx_inst"], ["Nuclei", "Gland", "Organoid"]), fx["fx_slides"])
-    inside = in_region(rows, 2000, 1500, F.floor(F.col("proc_w") / 4), F.floor(F.col("proc_h") / 4))
+    """The instances are stored with their box tree, and a region of each slide is looked up in it."""
+    path = shared_folder(fx.spark, "instances")
+    store.write_instances(
+        fx["fx_inst"].select(
+            "slide_id",
+            "task",
+            F.col("inst_id").cast("string").alias("inst_uid"),
+            *["x_min", "y_min", "x_max", "y_max"],
+            ((BOX.x0 + BOX.x1) / 2).alias("cx"),
+            ((BOX.y0 + BOX.y1) / 2).alias("cy"),
+            bx.corners(BOX).alias("contour"),
+            "type_id",
+            F.lit(1.0).alias("type_prob"),
+            BOX.area.alias("area"),
+        ),
+        path,
+    )
+    box_tree.build(fx.spark, path)
+    end = lambda start, size: (F.lit(start) + F.floor(F.col(size) / 4)).cast("int")
+    regions = fx["fx_slides"].select(
+        "slide_id", F.lit(2000).alias("x_min"), F.lit(1500).alias("y_min"), end(2000, "proc_w").alias("x_max"), end(1500, "proc_h").alias("y_max")
+    )
+    inside = box_tree.read_regions(fx.spark, path, regions, ["Nuclei", "Gland", "Organoid"])
     return inside.groupBy("slide_id", "task").agg(F.count("*").alias("n"), F.sum("x_min").alias("x_sum"))
 
 

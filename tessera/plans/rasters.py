@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import rasters as ra
 from tessera.operators import tissue as ti
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.registry import query
+from tessera.session import shared_folder
+from tessera.sources import raster_store as rs
 
 
 def grey(fx: Fixtures) -> DataFrame:
@@ -171,7 +173,24 @@ def local_entropy(fx: Fixtures) -> DataFrame:
  where b.x between w.x0 and w.x0+24 and b.y between w.y0 and w.y0+17 group by w.image_id""",
 )
 def window_read(fx: Fixtures) -> DataFrame:
-    px = blob(fx)
-    return ra.crop(px, 10 + F.col("image_id") % 7, F.lit(20), F.lit(25), F.lit(18)).groupBy("image_id").agg(
-        F.count("*").alias("n"), F.sum("v").alias("v_sum")
-    )
+    """The rasters are written in Z-order, then a window of each is read."""
+    rows = _stored(fx, 1, F.lit(10) + F.col("image_id") % 7, F.lit(20), 25, 18, 1.0)
+    return rows.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("v").alias("v_sum"))
+
+
+def _stored(fx: Fixtures, levels: int, x0: Column, y0: Column, w: int, h: int, factor: float) -> DataFrame:
+    path = shared_folder(fx.spark, "raster")
+    rs.write_raster(fx["fx_blob"].withColumn("a", F.lit(255)), path, levels)
+    windows = fx["fx_blob"].select("image_id").distinct().select("image_id", x0.alias("x0"), y0.alias("y0"), F.lit(w).alias("w"), F.lit(h).alias("h"))
+    return rs.read_windows(fx.spark, path, windows, factor, levels)
+
+
+@query(
+    "window_at_resolution",
+    """with half as (select image_id, x>>1 x, y>>1 y, cast(floor(avg(v)) as int) v from fx_blob group by all),
+o as (select image_id, cast(image_id%5+a as int) x, cast(3+b as int) y from (select distinct image_id from fx_blob) join (select unnest(range(15)) a) on true join (select unnest(range(12)) b) on true)
+select o.image_id, o.x, o.y, half.v from o join half on half.image_id=o.image_id and half.x=floor((o.x+0.5)*1.5) and half.y=floor((o.y+0.5)*1.5)""",
+)
+def window_at_resolution(fx: Fixtures) -> DataFrame:
+    """Windows whose pixels are three base pixels wide: the level of twice the pixel size is read."""
+    return _stored(fx, 3, F.col("image_id") % 5, F.lit(3), 15, 12, 3.0).select("image_id", "x", "y", "v")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.morton import morton
 from tessera.operators.instances import typed_or_minus_one
 
 POINT = T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())])
@@ -29,16 +30,19 @@ INSTANCES = T.StructType(
 )
 
 
-def write_instances(instances: DataFrame, path: str) -> None:
+def write_instances(instances: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """Write one folder per slide and task; only the (slide, task) folders present are replaced.
 
     The rebalance hint lets the adaptive planner split a huge slide over several writers and put small
-    ones together.
+    ones together.  Rows lie in Z-order of their boxes' centres, so a file (of at most ``rows_per_file`` rows,
+    0: any number) and each row group in it cover a compact area.
     """
+    centre = lambda a, b: F.greatest(F.shiftright(F.col(a) + F.col(b), 1), F.lit(0))
     (
         instances.hint("rebalance", "slide_id", "task")
-        .sortWithinPartitions("slide_id", "task", "y_min", "x_min")
+        .sortWithinPartitions("slide_id", "task", morton(centre("x_min", "x_max"), centre("y_min", "y_max")))
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", rows_per_file)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("slide_id", "task")
         .parquet(f"{path}/instances")
@@ -97,28 +101,3 @@ def flatten_box(df: DataFrame, name: str) -> DataFrame:
     return df.select(
         "*", b[0][1].alias("x0"), b[0][0].alias("y0"), b[1][1].alias("x1"), b[1][0].alias("y1")
     ).drop(name)
-
-
-# ---- rasters -----------------------------------------------------------------------------------
-
-BLOCK = 1024
-
-
-def write_raster(px: DataFrame, path: str, block: int = BLOCK) -> None:
-    """Pixel table partitioned by image and block, so window reads prune folders."""
-    blocked = px.withColumn("bx", F.floor(F.col("x") / F.lit(float(block))).cast("int")).withColumn(
-        "by", F.floor(F.col("y") / F.lit(float(block))).cast("int")
-    )
-    blocked.hint("rebalance", "image_id", "bx", "by").write.mode("overwrite").partitionBy("image_id", "bx", "by").parquet(path)
-
-
-def read_window(spark: SparkSession, path: str, image_id: int, x: int, y: int, w: int, h: int, block: int = BLOCK) -> DataFrame:
-    """Pixels of one window; the block range becomes a partition filter."""
-    df = spark.read.parquet(path)
-    return df.where(
-        (F.col("image_id") == image_id)
-        & F.col("bx").between(x // block, (x + w - 1) // block)
-        & F.col("by").between(y // block, (y + h - 1) // block)
-        & F.col("x").between(x, x + w - 1)
-        & F.col("y").between(y, y + h - 1)
-    ).drop("bx", "by")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, corners
 from tessera.functions.losses import loss, total_loss
+from tessera.functions.morton import morton, ranges
 from tessera.operators.morphology import POSTPROCESS, TARGETS, postprocess, target_map
 from tessera.operators.segmentation_scores import dice, match_counts, mean_pq, panoptic_quality, typed_instances
-from tessera.sources import exports, listing, store
+from tessera.sources import box_tree, exports, listing, raster_store, store
 
 
 def instances(fx):
@@ -62,15 +63,93 @@ def test_image_outputs(spark, fx, tmp_path):
     assert spark.read.parquet(f"{path}/instance_map").count() == px.count()
 
 
-def test_window_read_prunes_blocks(spark, fx, tmp_path):
+def rows_scanned(df):
+    """Rows that the scan hands on after partitions and row groups are skipped."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_windows_skip_row_groups(spark, tmp_path):
+    """A 1000 x 600 image in small row groups beside another one: the reader touches the patch of the window only."""
     path = str(tmp_path / "raster")
-    px = fx["fx_blob"]
-    store.write_raster(px, path, block=16)
-    got = store.read_window(spark, path, 1, 5, 20, 30, 9, block=16)
-    want = px.where("image_id = 1 and x between 5 and 34 and y between 20 and 28")
-    assert got.select("x", "y", "v").exceptAll(want.select("x", "y", "v")).count() == 0
-    assert got.count() == want.count()
-    assert "PartitionFilters: [isnotnull(image_id" in got._jdf.queryExecution().executedPlan().toString()
+    ids = spark.range(600_000)
+    px = ids.select(F.lit(1).alias("image_id"), (F.col("id") % 1000).cast("int").alias("x"), F.floor(F.col("id") / 1000).cast("int").alias("y"))
+    px = px.withColumns({"r": ((F.col("x") * 7 + F.col("y") * 13) % 256).cast("int"), "alpha": F.lit(255)})
+    other = px.where("x < 50 and y < 50").withColumn("image_id", F.lit(2))
+    raster_store.write_raster(px.unionByName(other), path, levels=3, group_bytes=1 << 16)
+    window = raster_store.read_window(spark, path, 1, 300, 200, 90, 70)
+    assert window.columns == ["image_id", "x", "y", "r"]
+    assert {(r.x, r.y): r.r for r in window.collect()} == {(x, y): (x * 7 + y * 13) % 256 for x in range(300, 390) for y in range(200, 270)}
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(image_id" in plan and "alpha" not in plan.split("ReadSchema")[1]
+    everything = spark.read.parquet(path).where("image_id = 1").count()
+    assert 90 * 70 <= rows_scanned(window) < everything / 5
+    # a new image leaves the others alone, and the one-image folder holds every level
+    raster_store.write_raster(px.where("x < 9 and y < 9").withColumn("image_id", F.lit(3)), path)
+    assert spark.read.parquet(path).where("image_id = 1").count() == everything
+    assert {r.level for r in spark.read.parquet(path).where("image_id = 1").select("level").distinct().collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("factor", [0.4, 1.0, 1.3, 2.0, 3.0, 7.5])
+def test_windows_at_a_resolution(spark, tmp_path, factor):
+    path, w, h = str(tmp_path / "raster"), 90, 70
+    value = {(x, y): (x * x + 3 * y) % 251 for x in range(w) for y in range(h)}
+    raster_store.write_raster(spark.createDataFrame([(4, x, y, v) for (x, y), v in value.items()], "image_id int, x int, y int, v int"), path, levels=3)
+    levels = [value]
+    for _ in range(2):
+        parts = {}
+        for (x, y), v in levels[-1].items():
+            parts.setdefault((x // 2, y // 2), []).append(v)
+        levels.append({k: sum(v) // len(v) for k, v in parts.items()})
+    level = 0 if factor < 2 else 1 if factor < 4 else 2
+    step = factor / 2**level
+    want = {}
+    for x in range(3, 23):
+        for y in range(2, 17):
+            source = levels[level].get((int((x + 0.5) * step), int((y + 0.5) * step)))
+            if source is not None:
+                want[x, y] = source
+    got = raster_store.read_at(spark, path, 4, 3, 2, 20, 15, factor, 3)
+    assert {(r.x, r.y): r.v for r in got.collect()} == want and got.count() == len(want)
+    asked = spark.createDataFrame([(4, 3, 2, 20, 15), (9, 0, 0, 5, 5)], "image_id int, x0 int, y0 int, w int, h int")
+    assert {(r.x, r.y): r.v for r in raster_store.read_windows(spark, path, asked, factor, 3).collect()} == want
+
+
+def test_morton_ranges(spark):
+    cells = [(x, y) for x in range(40) for y in range(40)]
+    keyed = spark.createDataFrame(cells, "x int, y int").select("x", "y", morton(F.col("x"), F.col("y")).alias("z")).collect()
+    key = {(r.x, r.y): r.z for r in keyed}
+    assert sorted(key.values())[-1] == max(key.values()) and len(set(key.values())) == 1600 and key[3, 5] == 0b100111
+    for window in ((0, 0, 0, 0), (3, 5, 17, 9), (31, 0, 32, 39), (0, 0, 39, 39)):
+        for most in (1, 4, 500):
+            parts = ranges(*window, most)
+            assert len(parts) <= most
+            inside = {c for c in cells if any(a <= key[c] <= b for a, b in parts)}
+            want = {(x, y) for x, y in cells if window[0] <= x <= window[2] and window[1] <= y <= window[3]}
+            assert want <= inside and (most < 500 or want == inside)
+
+
+def test_box_tree_skips_files(spark, fx, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    monkeypatch.setattr(box_tree, "FANOUT", 3)  # several levels
+    rows = instances(fx).where("slide_id < 4")
+    store.write_instances(rows, path, rows_per_file=20)
+    box_tree.build(spark, path)
+    files = store.read_instances(spark, path).select(F.col("_metadata.file_path").alias("f")).distinct().count()
+    tree = spark.read.parquet(f"{path}/boxes")
+    assert tree.where("depth = 0").count() == files and tree.agg(F.max("depth")).first()[0] >= 2
+    regions = spark.createDataFrame([(1, 500, 500, 2500, 2500), (3, 0, 0, 900, 900), (77, 0, 0, 9, 9)], "slide_id int, x_min int, y_min int, x_max int, y_max int")
+    for tasks in (None, ["Nuclei"], ["Organoid"]):
+        hit = box_tree.files_of(spark, path, regions, tasks).count()
+        assert hit < files / 2
+        got = sorted(r.inst_uid for r in box_tree.read_regions(spark, path, regions, tasks).collect())
+        near = rows.join(regions.select("slide_id", *[F.col(c).alias("q_" + c) for c in ("x_min", "y_min", "x_max", "y_max")]), "slide_id")
+        near = near.where("x_max >= q_x_min and x_min <= q_x_max and y_max >= q_y_min and y_min <= q_y_max")
+        near = near.where(F.col("task").isin(tasks)) if tasks else near
+        assert got == sorted(r.inst_uid for r in near.collect()) and (bool(got) == (tasks != ["Organoid"]))
+    monkeypatch.setattr(box_tree, "MOST_FILES", 0)  # too many to name: the folders are scanned
+    assert box_tree.read_regions(spark, path, regions).count() > 0
 
 
 def test_listing(spark, tmp_path):
