@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,17 +49,27 @@ def missing_derivatives(fx: Fixtures) -> DataFrame:
     f"with {DROP_RULES} select slide_id, mode, count(*) instances, cast(sum((gx1-gx0)*(gy1-gy0)) as bigint) box_area from final group by slide_id, mode",
 )
 def streamed_stitch(fx: Fixtures) -> DataFrame:
-    """Tile detections land per slide, completion rows arrive as a stream, finished slides are stitched."""
+    """Detections land per slide, finished tiles arrive as a stream, slides with all their tiles are stitched."""
     base = shared_folder(fx.spark, "stitch")
-    fx["fx_det"].repartition("slide_id").write.partitionBy("slide_id").parquet(f"{base}/detections")
-    fx["fx_slides"].select("slide_id").write.parquet(f"{base}/completed")
+    fx["fx_det"].hint("rebalance", "slide_id").write.partitionBy("slide_id").parquet(f"{base}/detections")
+    done_at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("slide_id") * 60)
+    fx["fx_tiles"].select("slide_id", "mode", "c", "r", done_at.alias("done_at")).write.parquet(f"{base}/arrivals")
+    layout = fx["fx_tiles"].groupBy("slide_id").agg(F.count("*").alias("n_tiles"))
+    layout.write.parquet(f"{base}/layout")
     jobs.settle(
-        jobs.stitch_completed_slides(
-            fx.spark, f"{base}/detections", f"{base}/completed", fx["fx_slides"], f"{base}/out", f"{base}/state", tile_pitch()
+        jobs.stitch_arriving_slides(
+            fx.spark,
+            f"{base}/detections",
+            f"{base}/arrivals",
+            fx["fx_slides"],
+            fx.spark.read.parquet(f"{base}/layout"),
+            f"{base}/out",
+            f"{base}/state",
+            tile_pitch(),
         )
     )
     area = ((F.col("gx1") - F.col("gx0")) * (F.col("gy1") - F.col("gy0"))).cast("long")
-    return fx.spark.read.parquet(f"{base}/out").groupBy("slide_id", "mode").agg(F.count("*").alias("instances"), F.sum(area).alias("box_area"))
+    return fx.spark.read.parquet(f"{base}/out").where("not late").groupBy("slide_id", "mode").agg(F.count("*").alias("instances"), F.sum(area).alias("box_area"))
 
 
 @query("streamed_accumulators", f"with {HEAD_ROWS} select * from acc")
@@ -69,9 +77,9 @@ def streamed_accumulators(fx: Fixtures) -> DataFrame:
     """The batch accumulators again, with the images arriving as a stream."""
     live = Fixtures(fx.spark, fx.sf_dir)
     live._made["embeddings"] = jobs.arriving_tables(fx.spark, f"{fx.sf_dir}/embedding[s].parquet")
-    name = "contingency_" + uuid.uuid4().hex
-    jobs.settle(jobs.running_contingency(head_pixels(live), name, shared_folder(fx.spark, name)))
-    return ss.accumulators(fx.spark.table(name))
+    base = shared_folder(fx.spark, "contingency")
+    jobs.settle(jobs.running_contingency(head_pixels(live), f"{base}/counts", f"{base}/state"))
+    return ss.accumulators(jobs.latest_contingency(fx.spark, f"{base}/counts"))
 
 
 def _load_model():

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tessera.operators.pruning import attach_slide_size
 from tessera.operators.segmentation_scores import contingency
 from tessera.operators.stitch import stitch_on_grid
+from tessera.session import small_enough, stable_copy
 
 DETECTIONS = (
     "mode int, c int, r int, x0 int, y0 int, x1 int, y1 int, ft int, fb int, fl int, fr int, "
@@ -16,30 +18,100 @@ DETECTIONS = (
 )
 
 
-SLIDES_AT_ONCE = 200  # arrival files of one batch
+TILE_ARRIVALS = "slide_id int, mode int, c int, r int, done_at timestamp"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def completed_rows(spark: SparkSession, detections: str, slides: list[int]) -> DataFrame:
-    """The detections of the named slides; the filter prunes all other folders."""
-    return spark.read.schema(DETECTIONS).parquet(detections).where(F.col("slide_id").isin(slides))
+class TileArrivals(StatefulProcessor):
+    """State of one slide: the tiles seen, and the timer that gives it up for late.
+
+    The tiles of a slide bound its state.  A tile that arrives twice counts once.  A slide is released when its last
+    tile is there; one that waits longer than ``patience_ms`` of event time for its next tile is released as late, and
+    once more if it is completed after that.
+    """
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.tiles = handle.getMapState("tiles", "mode int, c int, r int", "at bigint")
+        self.seen = handle.getValueState("seen", "n bigint, due bigint, complete boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, due, complete = self.seen.get() if self.seen.exists() else (0, 0, False)
+        expected, latest = None, 0
+        for pdf in rows:
+            for tile in pdf.itertuples(index=False):
+                expected, latest = int(tile.n_tiles), max(latest, int(tile.done_at.timestamp() * 1000))
+                place = (int(tile.mode), int(tile.c), int(tile.r))
+                if not self.tiles.containsKey(place):
+                    self.tiles.updateValue(place, (latest,))
+                    n += 1
+        if complete or expected is None:
+            return
+        if due:
+            self.handle.deleteTimer(due)
+            due = 0
+        complete = n >= expected
+        if not complete:
+            due = max(latest + self.patience_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(due)
+        self.seen.update((n, due, complete))
+        if complete:
+            yield pd.DataFrame({"slide_id": [key[0]], "tiles": [n], "late": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        n, _, complete = self.seen.get()
+        if not complete:
+            self.seen.update((n, 0, False))
+            yield pd.DataFrame({"slide_id": [key[0]], "tiles": [n], "late": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def released_slides(arrivals: DataFrame, layout: DataFrame, patience: str = "1 hour") -> DataFrame:
+    """Stream ``slide_id, tiles, late`` of slides whose tiles have all arrived, or that have waited too long.
+
+    ``arrivals`` is a stream of ``TILE_ARRIVALS``; ``layout(slide_id, n_tiles)`` says how many tiles a slide has.
+    """
+    wait = arrivals.sparkSession.sql(f"select cast(interval {patience} as interval day to second) i").first()["i"]
+    known = arrivals.withWatermark("done_at", "0 seconds").join(layout.select("slide_id", F.col("n_tiles").cast("long").alias("n_tiles")), "slide_id")
+    return known.groupBy("slide_id").transformWithStateInPandas(
+        TileArrivals(int(wait.total_seconds() * 1000)), "slide_id int, tiles bigint, late boolean", "Append", "EventTime"
+    )
 
 
-def stitch_completed_slides(
-    spark: SparkSession, detections: str, completed: str, slides: DataFrame, output: str, checkpoint: str, pitch: int, margin: int = 64
+def stitch_arriving_slides(
+    spark: SparkSession,
+    detections: str,
+    arrivals: str,
+    slides: DataFrame,
+    layout: DataFrame,
+    output: str,
+    checkpoint: str,
+    pitch: int,
+    margin: int = 64,
+    patience: str = "1 hour",
+    files_at_once: int = 1000,
 ) -> StreamingQuery:
-    """Stitch each slide once all its tiles are there.
+    """Stitch each slide once its tiles are there; the stream of finished tiles is all it needs.
 
-    ``completed`` receives one row (slide_id) per slide whose tile files are all written; it is the
-    stream.  ``detections`` is partitioned by slide; a batch names its slides (at most ``SLIDES_AT_ONCE``
-    arrival files) in the filter, so only their folders are read.  Each slide
-    goes to its own output folder with dynamic overwrite: replaying a batch after a failure rewrites
-    the same folders.
+    Every tile appends a row to ``arrivals`` after its detections, if any, are in the slide's folder of ``detections``.  A batch
+    joins the detections with the slides it releases, whose folders alone are read (dynamic partition pruning); each slide
+    has its own output folder with dynamic overwrite, so a batch that is replayed writes the same folders again.
     """
-    arrivals = spark.readStream.schema("slide_id int").option("maxFilesPerTrigger", SLIDES_AT_ONCE).parquet(completed)
+    stream = spark.readStream.schema(TILE_ARRIVALS).option("maxFilesPerTrigger", files_at_once).parquet(arrivals)
 
     def stitch_batch(batch: DataFrame, epoch: int) -> None:
-        ready = [row["slide_id"] for row in batch.select("slide_id").distinct().collect()]
-        rows = completed_rows(batch.sparkSession, detections, ready)
+        ready = batch.select("slide_id", "late").groupBy("slide_id").agg(F.min("late").alias("late"))
+        ready = stable_copy(ready)
+        if ready.isEmpty():
+            return
+        ready = F.broadcast(ready) if small_enough(ready) else ready
+        rows = batch.sparkSession.read.schema(DETECTIONS).parquet(detections).join(ready, "slide_id")
         stitched = stitch_on_grid(attach_slide_size(rows, slides), pitch, margin)
         (
             stitched.drop("proc_w", "proc_h")
@@ -49,34 +121,67 @@ def stitch_completed_slides(
             .parquet(output)
         )
 
-    return (
-        arrivals.writeStream.foreachBatch(stitch_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKSDB)  # read when the query starts
+    try:
+        return (
+            released_slides(stream, layout, patience)
+            .writeStream.foreachBatch(stitch_batch)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+_COUNTS = "head string, channel int, true int, pred int, n bigint"
 
 
-def running_contingency(px: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Running (head, channel, true, pred) counts of a pixel stream, kept as a complete-mode table.
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    The state is at most heads x classes^2 rows however long the stream; a new run starts from a new
-    checkpoint folder.
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+    # a version counts once its writer has committed it
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def running_contingency(px: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Running (head, channel, true, pred) counts of a pixel stream, kept as versioned tables under ``path``.
+
+    Batch k adds its own counts to the newest version before it and writes version k.  A batch that is replayed after
+    a failure starts from the same version and writes the same one, so nothing counts twice; the two newest versions
+    are kept.  A version has at most heads x classes^2 rows; a new run starts from a new checkpoint and a new path.
     """
-    return (
-        contingency(px)
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    spark = px.sparkSession
+
+    def merge(batch: DataFrame, k: int) -> None:
+        earlier = [v for v in _versions(spark, path) if v < k]
+        total = contingency(batch).select("head", F.col("channel").cast("int"), F.col("true").cast("int"), F.col("pred").cast("int"), "n")
+        if earlier:
+            total = total.unionByName(spark.read.schema(_COUNTS).parquet(f"{path}/v{earlier[-1]}"))
+        summed = total.groupBy("head", "channel", "true", "pred").agg(F.sum("n").alias("n"))
+        summed.coalesce(1).write.mode("overwrite").parquet(f"{path}/v{k}")
+        for old in earlier[:-1]:
+            _delete(spark, f"{path}/v{old}")
+
+    return px.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_contingency(spark: SparkSession, path: str) -> DataFrame:
+    """The newest committed version of ``running_contingency``; no rows before the first."""
+    versions = _versions(spark, path)
+    return spark.read.schema(_COUNTS).parquet(f"{path}/v{versions[-1]}") if versions else spark.createDataFrame([], _COUNTS)
 
 
-def arriving_tables(spark: SparkSession, path: str) -> DataFrame:
+def arriving_tables(spark: SparkSession, path: str, files_at_once: int = 1000) -> DataFrame:
     """Stream over the Parquet files a path or pattern names, with the schema they have now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
 def settle(query: StreamingQuery) -> None:
