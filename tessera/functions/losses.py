@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.vectors import dot, log_sum_exp, nll
+from tessera.functions.vectors import log_sum_exp, nll
+from tessera.operators.stencil import correlation, stencil
+from tessera.session import stable_copy
 
 EPS = 1.0e-8
 
@@ -62,77 +67,72 @@ def soft_dice(rows: DataFrame, keys: list[str], smooth: float = 1.0e-3) -> DataF
     return per_class.groupBy(*keys).agg(F.sum(term).alias("dice_loss"))
 
 
-def neighbourhood(df: DataFrame, value: str, radius: int, outside) -> DataFrame:
-    """Add ``_hood``: rows of the (2r+1) x (2r+1) window round each pixel of a dense raster.
-
-    ``outside`` maps (pixel column, neighbour column) to the value used beyond the border.  Two lag
-    passes, each bounded by one image row or column.
-    """
-    across = Window.partitionBy("image_id", "y").orderBy("x")
-    down = Window.partitionBy("image_id", "x").orderBy("y")
-    offsets = range(-radius, radius + 1)
-    shift = lambda col, d, w: F.lag(col, -d).over(w) if d else F.col(col)
-    # the nearest existing pixel repeats beyond the border when ``outside`` is "replicate"
-    if outside == "replicate":
-        first, last = F.first(value).over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(
-            value
-        ).over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        line = F.array(*[F.coalesce(shift(value, d, across), first if d < 0 else last) for d in offsets])
-    else:
-        line = F.array(*[F.coalesce(shift(value, d, across), F.lit(outside).cast(df.schema[value].dataType)) for d in offsets])
-    df = df.withColumn("_line", line)
-    if outside == "replicate":
-        whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        top, bottom = F.first("_line").over(whole), F.last("_line").over(whole)
-        hood = F.array(*[F.coalesce(shift("_line", d, down), top if d < 0 else bottom) for d in offsets])
-    else:
-        blank = F.array(*[F.lit(outside).cast(df.schema[value].dataType)] * (2 * radius + 1))
-        hood = F.array(*[F.coalesce(shift("_line", d, down), blank) for d in offsets])
-    return df.withColumn("_hood", hood).drop("_line")
-
-
-def _gradient_weights(axis: str, size: int = 5) -> list[list[float]]:
+def _gradient_weights(axis: str, size: int = 5) -> np.ndarray:
     """Derivative kernel: offset along the axis over squared distance."""
-    half = size // 2
-    span = range(-half, half + 1)
-    along = lambda r, c: r if axis == "rows" else c
-    return [[along(r, c) / (r * r + c * c + 1.0e-15) for c in span] for r in span]
-
-
-def gradient(df: DataFrame, value: str, axis: str) -> DataFrame:
-    """Correlate a dense raster with the 5 x 5 derivative kernel (zeros outside)."""
-    weights = F.array(*[F.lit(v) for row in _gradient_weights(axis) for v in row])
-    return neighbourhood(df, value, 2, 0.0).withColumn("grad", dot(F.flatten("_hood"), weights)).drop("_hood")
+    span = np.arange(size) - size // 2
+    rows, cols = np.meshgrid(span, span, indexing="ij")
+    return (rows if axis == "rows" else cols) / (rows * rows + cols * cols + 1.0e-15)
 
 
 def gradient_error(diff: DataFrame) -> DataFrame:
     """Squared gradient error inside the focus mask, both channels.
 
     ``diff(image_id, x, y, a, b, focus)`` holds prediction minus truth of the two channels: the
-    filter is linear, so it is applied to the difference once.
+    filter is linear, so it is applied to the difference once.  Both channels share one exchange; pixels outside are 0.
     """
-    a = gradient(diff, "a", "rows").withColumnRenamed("grad", "ga")
-    both = gradient(a, "b", "cols").withColumnRenamed("grad", "gb")
+    weights = [_gradient_weights("rows"), _gradient_weights("cols")]
+    fields = [T.StructField(c, T.DoubleType()) for c in ("ga", "gb")]
+    both = stencil(diff, ["a", "b"], 2, correlation(weights), fields)
     err = F.col("focus") * (F.col("ga") * F.col("ga") + F.col("gb") * F.col("gb"))
     return both.agg((F.sum(err) / (2 * F.sum("focus") + F.lit(EPS))).alias("msge"))
 
 
-def contrastive(views: DataFrame, temperature: float = 0.07, base: float = 0.07) -> DataFrame:
+TILE = 1024  # views of a tile: a tile pair's products take 8 MB
+
+
+def _tile_terms(temperature: float):
+    """Per anchor of a tile pair: largest product, sum scaled by it, and sum and number of its own sample's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                here, there = (np.stack([v["feature"] for v in side]) for side in (row.here, row.there))
+                mine, theirs = (np.array([(v["sample"], v["view"]) for v in side]) for side in (row.here, row.there))
+                product = here @ there.T / temperature
+                own = mine[:, None, 0] == theirs[None, :, 0]
+                same = own & (mine[:, None, 1] == theirs[None, :, 1])
+                product[same] = -np.inf
+                top = product.max(axis=1)
+                scaled = np.exp(product - np.where(np.isfinite(top), top, 0.0)[:, None]).sum(axis=1)
+                own &= ~same
+                yield pd.DataFrame(
+                    {"batch": row.batch, "sample": mine[:, 0], "view": mine[:, 1], "top": top, "scaled": scaled}
+                    | {"own_sum": np.where(own, product, 0.0).sum(axis=1), "own_n": own.sum(axis=1)}
+                )
+
+    return run
+
+
+def contrastive(views: DataFrame, temperature: float = 0.07, base: float = 0.07, tile: int = TILE) -> DataFrame:
     """Contrastive loss per batch: views of one sample attract, all others of the batch repel.
 
-    ``views(batch, sample, view, feature)``, at least two views per sample.  The loss is defined over all
-    ordered pairs of a batch, so they are joined; no batch is gathered in a row, whatever its size.
+    ``views(batch, sample, view, feature)``, at least two views per sample.  A batch is dealt into tiles of about ``tile`` views;
+    a task multiplies one pair of tiles and hands on a state per anchor, (largest product, sum scaled by it), which merges.
+    Pairs of views are never rows and no batch is gathered, whatever its size.
     """
-    a = views.select("batch", *[F.col(c).alias("a_" + c) for c in ("sample", "view", "feature")])
-    o = views.select("batch", *[F.col(c).alias("o_" + c) for c in ("sample", "view", "feature")])
-    pairs = a.join(o, "batch").where("a_sample <> o_sample or a_view <> o_view")
-    scored = pairs.select(
-        "batch", "a_sample", "a_view", (F.col("a_sample") == F.col("o_sample")).alias("own"), (dot(F.col("o_feature"), F.col("a_feature")) / temperature).alias("s")
-    )
-    anchor = ["batch", "a_sample", "a_view"]
-    shifted = scored.withColumn("top", F.max("s").over(Window.partitionBy(*anchor)))
-    per_anchor = shifted.groupBy(*anchor).agg(
-        (F.max("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top"))))).alias("norm"), F.avg(F.when(F.col("own"), F.col("s"))).alias("mean_own")
+    keyed = views.select(F.col("batch").cast("long").alias("batch"), F.col("sample").cast("long").alias("sample"), F.col("view").cast("long").alias("view"), "feature")
+    tiles = keyed.groupBy("batch").agg(F.ceil(F.count("*") / F.lit(float(tile))).cast("int").alias("tiles"))
+    dealt = keyed.join(tiles, "batch").withColumn("tile", F.pmod(F.xxhash64("sample", "view"), F.col("tiles")).cast("int"))
+    packed = stable_copy(dealt.groupBy("batch", "tiles", "tile").agg(F.collect_list(F.struct("sample", "view", "feature")).alias("here")))
+    asked = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = asked.join(packed.select("batch", F.col("tile").alias("other"), F.col("here").alias("there")), ["batch", "other"])
+    schema = "batch bigint, sample bigint, view bigint, top double, scaled double, own_sum double, own_n bigint"
+    terms = met.select("batch", "here", "there").mapInPandas(_tile_terms(temperature), schema)
+    anchor = ["batch", "sample", "view"]
+    highest = terms.withColumn("most", F.max("top").over(Window.partitionBy(*anchor)))
+    per_anchor = highest.groupBy(*anchor).agg(
+        (F.max("most") + F.log(F.sum(F.col("scaled") * F.exp(F.col("top") - F.col("most"))))).alias("norm"),
+        (F.sum("own_sum") / F.sum("own_n")).alias("mean_own"),
     )
     return per_anchor.groupBy("batch").agg(F.avg((F.col("norm") - F.col("mean_own")) * F.lit(temperature / base)).alias("loss"))
 

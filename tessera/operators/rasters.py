@@ -6,11 +6,12 @@ joined and nothing is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.boxes import truncate
-from tessera.functions.losses import neighbourhood
+from tessera.operators.stencil import binomial, median, stencil
 
 
 def _ceil_div(a: Column, b: Column) -> Column:
@@ -117,17 +118,20 @@ def saturation(px: DataFrame, channels: list[str], factor: Column) -> DataFrame:
     return kept.withColumns({c: to_byte(F.col(c) * factor + F.col("_grey") * (1 - factor)) for c in channels}).drop("_grey")
 
 
-def gaussian_blur3(px: DataFrame, value: str) -> DataFrame:
-    """3 x 3 binomial blur with replicated border, rounded."""
-    hood = neighbourhood(px, value, 1, "replicate")
-    weights = [[1, 2, 1], [2, 4, 2], [1, 2, 1]]
-    total = sum((F.col("_hood")[j][i] * weights[j][i] for j in range(3) for i in range(3)), F.lit(0))
-    return hood.withColumn(value, F.floor((total + 8) / 16).cast("int")).drop("_hood")
+def gaussian_blur(px: DataFrame, value: str, size: int = 3) -> DataFrame:
+    """Binomial blur of odd size with replicated border, rounded; missing pixels have no weight."""
+    return stencil(px, [value], _radius(size), binomial, [T.StructField(value, T.IntegerType())], replicate=True)
 
 
-def median_blur3(px: DataFrame, value: str) -> DataFrame:
-    hood = neighbourhood(px, value, 1, "replicate")
-    return hood.withColumn(value, F.array_sort(F.flatten("_hood"))[4]).drop("_hood")
+def median_blur(px: DataFrame, value: str, size: int = 3) -> DataFrame:
+    """Median of a window of odd size with replicated border; missing pixels do not count."""
+    return stencil(px, [value], _radius(size), median, [T.StructField(value, T.IntegerType())], replicate=True)
+
+
+def _radius(size: int) -> int:
+    if size < 1 or size % 2 == 0:
+        raise ValueError(f"a window has odd size, not {size}")
+    return size // 2
 
 
 def reflect_pad(px: DataFrame, left: int, top: int, right: int, bottom: int) -> DataFrame:

@@ -10,8 +10,6 @@ from tessera.operators.ranking import numbered
 
 # Chance of the segmentation group when both groups have samples
 SEGMENTATION_SHARE = 0.7
-# four primes far above any table's row count modulo; steps of a without-replacement walk
-_STRIDES = (2147483647, 2147483629, 2147483587, 2147483579)
 
 
 def draw(seed: str | int, *on) -> Column:
@@ -25,12 +23,28 @@ def pick(u: Column, n: Column) -> Column:
     return F.floor(u * n).cast("long")
 
 
+def distinct_picks(seed: int, n: Column, k: int, *on: str) -> Column:
+    """Array of ``k`` different indices of 0 .. n-1 (``n`` at least ``k``): every set is as likely, in every order.
+
+    For j = n-k .. n-1 an index up to j is drawn, and j itself taken instead if it is there already; then the set is put in
+    the order of a draw per member.  The work follows ``k``, not ``n``.
+    """
+
+    def add(chosen: Column, j: Column) -> Column:
+        drawn = pick(draw(seed, F.lit("distinct"), *on, j), j + 1)
+        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, drawn), j).otherwise(drawn)))
+
+    chosen = F.aggregate(F.sequence(n - k, n - 1), F.array().cast("array<bigint>"), add)
+    keyed = F.transform(chosen, lambda i: F.struct(draw(seed, F.lit("order"), *on, i).alias("u"), i.alias("i")))
+    return F.transform(F.array_sort(keyed), lambda p: p["i"])
+
+
 def sample_batches(samples: DataFrame, batch_size: int, seed: int = 0, mixed: bool = True) -> DataFrame:
     """Draw ``max(1, N // batch_size)`` batches: super task, then task, then sample, each uniformly.
 
     ``samples(sample_id, task, super)`` with super "seg" or "cls".  The segmentation group is chosen
     with probability 0.7 (always, or never, when one group is empty).  A mixed batch draws a task per
-    slot, a fixed batch one task for all; a fixed batch does not repeat samples if the task has
+    slot, a fixed batch one task for all; a fixed batch is a random sample without repeats if the task has
     enough.  Samples are numbered once per task and met by an equi join on (task, number): nothing is
     enumerated per batch.
     """
@@ -52,11 +66,9 @@ def sample_batches(samples: DataFrame, batch_size: int, seed: int = 0, mixed: bo
     if mixed:
         rank = free
     else:
-        start = pick(draw(seed, F.lit("start"), "batch"), F.col("n"))
-        strides = F.array(*[F.lit(s).cast("long") for s in _STRIDES])
-        stride = F.get(strides, pick(draw(seed, F.lit("stride"), "batch"), F.lit(len(_STRIDES))).cast("int"))
-        walk = F.pmod(start + F.pmod(stride, F.col("n")) * F.col("slot"), F.col("n"))
-        rank = F.when(F.col("n") >= batch_size, walk).otherwise(free)
+        # one draw of the whole batch, the same on each of its slots
+        several = F.get(distinct_picks(seed, F.col("n"), batch_size, "batch"), F.col("slot"))
+        rank = F.when(F.col("n") >= batch_size, several).otherwise(free)
     ranked = numbered(samples, ["task"], ["sample_id"], "rn").select("task", "sample_id", (F.col("rn") - 1).alias("rank"))
     return chosen.withColumn("rank", rank).join(ranked, ["task", "rank"]).select("batch", "slot", "task", "sample_id")
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.components import component_boxes, label_runs
-from tessera.operators.runs import to_pixels, to_runs
+from tessera.operators.runs import to_runs
+from tessera.operators.stencil import entropy, stencil
 
 
 def regions(mask_px: DataFrame, slides: DataFrame, ratio: float) -> DataFrame:
@@ -65,39 +67,15 @@ def otsu_thresholds(values: DataFrame, key: str, value: str, bins: int = 256) ->
 
 
 def local_entropy(df: DataFrame, value: str, radius: int = 4) -> DataFrame:
-    """Entropy (bits) of the values in a disk round each pixel of a dense raster.
-
-    The window is gathered by two lag passes, then reduced per row: log2(n) - sum(c log2 c) / n over the value counts c.
-    """
-    from tessera.functions.losses import neighbourhood
-
-    hood = neighbourhood(df.withColumn("_v", F.col(value).cast("int")), "_v", radius, None)
-    inside = [
-        F.col("_hood")[j + radius][i + radius]
-        for j in range(-radius, radius + 1)
-        for i in range(-radius, radius + 1)
-        if i * i + j * j <= radius * radius
-    ]
-    seen = hood.withColumn("_seen", F.array_sort(F.filter(F.array(*inside), lambda v: v.isNotNull()))).drop("_hood")
-    n = F.size("_seen").cast("double")
-    # equal values are neighbours after sorting: add up c * log2(c) of every stretch
-    start = F.struct(F.lit(None).cast("int").alias("v"), F.lit(0).alias("c"), F.lit(0.0).alias("s"))
-    done = lambda a: a["s"] + F.when(a["c"] > 1, a["c"] * F.log2(a["c"].cast("double"))).otherwise(F.lit(0.0))
-    stretch = F.aggregate(
-        "_seen",
-        start,
-        lambda a, v: F.when(a["v"] == v, F.struct(v.alias("v"), (a["c"] + 1).alias("c"), a["s"].alias("s"))).otherwise(
-            F.struct(v.alias("v"), F.lit(1).alias("c"), done(a).alias("s"))
-        ),
-        done,
-    )
-    return seen.withColumn("entropy", F.log2(n) - stretch / n).drop("_seen", "_v")
-
-
-def stain_entropy(h: str, e: str, d: str):
-    """Combined entropy of the three stain channels."""
-    return F.col(h) + F.col(e) - F.col(d)
-
-
-def label_components(mask_px: DataFrame, key: str) -> DataFrame:
-    return to_pixels(label_runs(to_runs(mask_px, [key]), [key]), [key, "comp"])
+    """Entropy (bits) of the whole-number values in a disk round each pixel; missing pixels do not count."""
+    whole = df.withColumn("_v", F.col(value).cast("long"))
+    return stencil(whole, ["_v"], radius, entropy, [T.StructField("entropy", T.DoubleType())]).drop("_v")
+
+
+def stain_entropy(px: DataFrame, h: str, e: str, d: str, radius: int = 4) -> DataFrame:
+    """``px`` with the combined entropy of three stain channels, H + E - D, as ``entropy``; one exchange for all three."""
+    parts = ["_h", "_e", "_d"]
+    whole = px.withColumns({p: F.col(c).cast("long") for p, c in zip(parts, (h, e, d))})
+    fields = [T.StructField(p + "n", T.DoubleType()) for p in parts]
+    bits = stencil(whole, parts, radius, entropy, fields)
+    return bits.withColumn("entropy", F.col("_hn") + F.col("_en") - F.col("_dn")).drop(*parts, *[f.name for f in fields])

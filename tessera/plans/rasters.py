@@ -96,12 +96,32 @@ HOOD = """h as (select p.image_id, p.x, p.y, i.k di, j.k dj, n.v from fx_grey p
 
 @query("gaussian_blur", f"with {HOOD} select image_id, x, y, cast(floor((sum(v*(2-abs(di))*(2-abs(dj)))+8)/16.0) as int) v from h group by image_id, x, y")
 def gaussian_blur(fx: Fixtures) -> DataFrame:
-    return ra.gaussian_blur3(fx["fx_grey"].select(*PXV), "v")
+    return ra.gaussian_blur(fx["fx_grey"].select(*PXV), "v")
 
 
 @query("median_blur", f"with {HOOD} select image_id, x, y, list_sort(list(v))[5] v from h group by image_id, x, y")
 def median_blur(fx: Fixtures) -> DataFrame:
-    return ra.median_blur3(fx["fx_grey"].select(*PXV), "v")
+    return ra.median_blur(fx["fx_grey"].select(*PXV), "v")
+
+
+def hood(radius: int) -> str:
+    """Oracle text: the window round each pixel of the grey images, border replicated."""
+    span = f"(select unnest(range({-radius},{radius + 1})) k)"
+    return f"""h as (select p.image_id, p.x, p.y, i.k di, j.k dj, n.v from fx_grey p join {span} i on true join {span} j on true
+ join fx_grey n on n.image_id=p.image_id and n.x=least(greatest(p.x+i.k,0),7) and n.y=least(greatest(p.y+j.k,0),7))"""
+
+
+@query(
+    "gaussian_blur_wide",
+    f"with {hood(3)} select image_id, x, y, cast(floor((sum(v*[1,6,15,20,15,6,1][di+4]*[1,6,15,20,15,6,1][dj+4])+2048)/4096.0) as int) v from h group by image_id, x, y",
+)
+def gaussian_blur_wide(fx: Fixtures) -> DataFrame:
+    return ra.gaussian_blur(fx["fx_grey"].select(*PXV), "v", 7)
+
+
+@query("median_blur_wide", f"with {hood(2)} select image_id, x, y, list_sort(list(v))[13] v from h group by image_id, x, y")
+def median_blur_wide(fx: Fixtures) -> DataFrame:
+    return ra.median_blur(fx["fx_grey"].select(*PXV), "v", 5)
 
 
 @query(
@@ -167,6 +187,21 @@ def local_entropy(fx: Fixtures) -> DataFrame:
     return ti.local_entropy(px, "v").select("image_id", "x", "y", F.abs(F.round("entropy", 6)).alias("entropy"))
 
 
+@query(
+    "stain_entropy",
+    """with o as (select a.k i, b.k j from (select unnest(range(-4,5)) k) a join (select unnest(range(-4,5)) k) b on a.k*a.k+b.k*b.k<=16),
+q as (select image_id, x, y, unnest([0, 1, 2]) ch, unnest([cast(floor(v/8.0) as int), (v*7)%23, cast(floor((255-v)/16.0) as int)]) v from fx_grey),
+c as (select p.image_id, p.x, p.y, p.ch, n.v, count(*) c from q p join o on true join q n on n.image_id=p.image_id and n.ch=p.ch and n.x=p.x+i and n.y=p.y+j group by all),
+t as (select *, c/sum(c) over (partition by image_id, x, y, ch) f from c)
+select image_id, x, y, round(-sum(case when ch=2 then -1 else 1 end*f*log2(f)),5)+0.0 entropy from t group by all""",
+)
+def stain_entropy(fx: Fixtures) -> DataFrame:
+    """Combined entropy of three channels made from the grey value."""
+    v = F.col("v")
+    px = fx["fx_grey"].select("image_id", "x", "y", F.floor(v / 8.0).alias("h"), (v * 7 % 23).alias("e"), F.floor((255 - v) / 16.0).alias("d"))
+    return ti.stain_entropy(px, "h", "e", "d").select("image_id", "x", "y", (F.round("entropy", 5) + 0.0).alias("entropy"))
+
+
 @query(
     "window_read",
     """select w.image_id, count(*) n, cast(sum(v) as bigint) v_sum from fx_blob b join (select image_id, 10+image_id%7 x0, 20 y0 from fx_blob group by image_id) w on w.image_id=b.image_id

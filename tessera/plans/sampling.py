@@ -42,11 +42,13 @@ def mixed_batches(fx: Fixtures) -> DataFrame:
 
 @query(
     "fixed_batches",
-    f"""with {SAMPLES}, g as (select batch, case when {u("'7|group|'||batch")}<0.7 then 'seg' else 'cls' end super from bt),
-t as (select g.batch, sz.task, sz.n, cast(floor({u("'7|start|'||batch")}*sz.n) as bigint) st, [2147483647,2147483629,2147483587,2147483579][cast(floor({u("'7|stride|'||batch")}*4) as int)+1] pr
- from g join sz on sz.super=g.super and sz.ti=cast(floor({u("'7|task|'||batch")}*(select count(*) from sz z where z.super=g.super)) as bigint)),
-s as (select *, unnest(range(16)) slot from t),
-c as (select batch, slot, task, case when n>=16 then (st+(pr%n)*slot)%n else cast(floor({u("'7|sample|'||batch||'|'||slot")}*n) as bigint) end rank from s)
+    f"""with recursive {SAMPLES}, g as (select batch, case when {u("'7|group|'||batch")}<0.7 then 'seg' else 'cls' end super from bt),
+t as (select g.batch, sz.task, sz.n from g join sz on sz.super=g.super and sz.ti=cast(floor({u("'7|task|'||batch")}*(select count(*) from sz z where z.super=g.super)) as bigint)),
+fl(batch, task, n, j, s) as (select batch, task, n, n-16, cast([] as bigint[]) from t where n>=16
+ union all select batch, task, n, j+1, list_append(s, case when list_contains(s, c) then j else c end) from (select *, cast(floor({u("'7|distinct|'||batch||'|'||j")}*(j+1)) as bigint) c from fl where j<n)),
+dr as (select batch, task, unnest(s) rank from fl where j=n),
+c as (select batch, row_number() over (partition by batch order by {u("'7|order|'||batch||'|'||rank")}, rank)-1 slot, task, rank from dr
+ union all select batch, slot, task, cast(floor({u("'7|sample|'||batch||'|'||slot")}*n) as bigint) from (select *, unnest(range(16)) slot from t where n<16))
 select c.batch, cast(c.slot as int) slot, c.task, rk.sample_id from c join rk on rk.task=c.task and rk.rank=c.rank""",
 )
 def fixed_batches(fx: Fixtures) -> DataFrame:

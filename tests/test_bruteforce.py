@@ -7,16 +7,19 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.boxes import Box, box_iou
+from tessera.functions.losses import contrastive
 from tessera.operators import components as cc
-from tessera.operators import matching, neighbours, ranking
+from tessera.operators import matching, neighbours, ranking, sampling
 from tessera.operators import morphology as mo
 from tessera.operators import range_join as rj
 from tessera.operators.contours import outline_parts, outlines
 from tessera.operators.flood import split_by_markers
 from tessera.operators.runs import local_runs, to_pixels, to_runs
 from tessera.operators.series import smoothed
+from tessera.operators.stencil import binomial, correlation, entropy, median, stencil
 
 
 def pixels(spark, images):
@@ -338,6 +341,87 @@ def test_overlaps_of_runs(spark):
     assert matching.iou_pairs(frame(left).limit(0), frame(right)).count() == 0
 
 
+def windowed(px, radius, wrap):
+    """Values round every pixel; beyond 0..w-1, 0..h-1 the border's pixel repeats if ``wrap``."""
+    w, h = max(x for x, _ in px) + 1, max(y for _, y in px) + 1
+    at = (lambda v, n: min(max(v, 0), n - 1)) if wrap else (lambda v, n: v)
+    span = range(-radius, radius + 1)
+    return {p: {(i, j): px.get((at(p[0] + i, w), at(p[1] + j, h))) for i in span for j in span} for p in px}
+
+
+@pytest.mark.parametrize("size", [8, 256])
+def test_windows_over_rasters_with_missing_pixels(spark, size):
+    """Odd kernels 3, 5, 7 across blocks; a hole does not move the pixels next to it."""
+    rnd = random.Random(size)
+    px = {(x, y): rnd.randrange(256) for x in range(21) for y in range(17) if rnd.random() < 0.9 or x in (0, 20) or y == 0}
+    df = spark.createDataFrame([(1, x, y, v, f"t{v}") for (x, y), v in px.items()], "image_id int, x int, y int, v int, tag string")
+    for radius in (1, 2, 3):
+        hood = windowed(px, radius, True)
+        got = stencil(df, ["v"], radius, binomial, [T.StructField("b", T.IntegerType())], replicate=True, size=size)
+        got = {(r.x, r.y): r for r in stencil(got, ["v"], radius, median, [T.StructField("m", T.IntegerType())], replicate=True, size=size).collect()}
+        assert set(got) == set(px)
+        for p, near in hood.items():
+            weights = {o: math.comb(2 * radius, o[0] + radius) * math.comb(2 * radius, o[1] + radius) for o, v in near.items() if v is not None}
+            total = sum(weights.values())
+            seen = sorted(v for v in near.values() if v is not None)
+            assert (got[p].v, got[p].tag) == (px[p], f"t{px[p]}")
+            assert got[p].b == (2 * sum(w * near[o] for o, w in weights.items()) + total) // (2 * total)
+            assert got[p].m == seen[(len(seen) - 1) // 2]
+    few = df.withColumn("v", F.col("v") % 5)
+    got = {(r.x, r.y): r.entropy for r in stencil(few, ["v"], 3, entropy, [T.StructField("entropy", T.DoubleType())], size=size).collect()}
+    for p, near in windowed(px, 3, False).items():
+        seen = collections.Counter(v % 5 for (i, j), v in near.items() if v is not None and i * i + j * j <= 9)
+        n = sum(seen.values())
+        assert got[p] == pytest.approx(-sum(c / n * math.log2(c / n) for c in seen.values()), abs=1e-9)
+    weights = np.arange(15.0).reshape(3, 5)[:, 1:4]
+    got = {(r.x, r.y): r.c for r in stencil(df, ["v"], 1, correlation([weights]), [T.StructField("c", T.DoubleType())], size=size).collect()}
+    for p, near in windowed(px, 1, False).items():
+        assert got[p] == pytest.approx(sum(weights[j + 1, i + 1] * (v or 0) for (i, j), v in near.items()))
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_contrastive_loss_in_tiles(spark, tile):
+    rnd = np.random.default_rng(9)
+    rows = [(b, s, v, rnd.normal(size=4).tolist()) for b in (1, 2) for s in range(3 + 4 * b) for v in range(2 + s % 2)]
+    df = spark.createDataFrame(rows, "batch int, sample int, view int, feature array<double>")
+    got = {r.batch: r.loss for r in contrastive(df, 0.5, 0.07, tile).collect()}
+    for b in (1, 2):
+        losses = []
+        mine = [r for r in rows if r[0] == b]
+        for _, s, v, f in mine:
+            others = [(t == s, np.dot(f, g) / 0.5) for _, t, w, g in mine if (t, w) != (s, v)]
+            losses.append(math.log(sum(math.exp(p) for _, p in others)) - np.mean([p for own, p in others if own]))
+        assert got[b] == pytest.approx(np.mean(losses) * 0.5 / 0.07)
+
+
+def test_a_large_contrastive_batch(spark):
+    """20,000 views of one batch: no pair of views is a row."""
+    views = spark.range(20_000).select(
+        F.lit(1).alias("batch"), F.floor(F.col("id") / 2).alias("sample"), (F.col("id") % 2).alias("view"), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.sin(F.col("id") * k)).alias("feature")
+    )
+    loss = contrastive(views, 1.0, 1.0).first().loss
+    ids = np.arange(20_000)
+    f = np.sin(ids[:, None] * np.arange(1, 9))
+    norm, own = np.empty(len(ids)), (f[0::2] * f[1::2]).sum(axis=1).repeat(2)
+    for a in range(0, len(ids), 2000):
+        products = f[a : a + 2000] @ f.T
+        products[np.arange(2000), np.arange(a, a + 2000)] = -np.inf
+        norm[a : a + 2000] = np.log(np.exp(products).sum(axis=1))
+    assert loss == pytest.approx((norm - own).mean(), rel=1e-9)
+
+
+def test_distinct_picks_are_uniform(spark):
+    """Every index is as likely in every place, and no draw repeats one."""
+    rows = spark.range(12_000).select(sampling.distinct_picks(3, F.lit(7).cast("long"), 4, "id").alias("p")).collect()
+    assert all(len(set(r.p)) == 4 and set(r.p) <= set(range(7)) for r in rows)
+    for place in range(4):
+        seen = collections.Counter(r.p[place] for r in rows)
+        assert all(abs(seen[i] - 12_000 / 7) < 5 * math.sqrt(12_000 / 7) for i in range(7))
+    assert len({frozenset(r.p) for r in rows}) == math.comb(7, 4)
+    everything = spark.range(5).select(sampling.distinct_picks(3, F.lit(4).cast("long"), 4, "id").alias("p")).collect()
+    assert all(sorted(r.p) == [0, 1, 2, 3] for r in everything)
+
+
 def test_greedy_matching(spark):
     rnd = random.Random(4)
     rows = [(1, 1, p, 100 + t, rnd.randrange(1, 12) / 12) for p in range(12) for t in range(10) if rnd.random() < 0.5]
