@@ -1,9 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
-First tier: a compact table of the lengths of frequent pre-tokens, counted over all documents map-side
-and broadcast (at most ``FREQUENT`` short words, so its size has a bound).  It only saves work: every other
-pre-token is a miss, encoded by the model of the library and kept in a bounded cache of the worker.  Pre-tokens are
-never shuffled, only the bounded summary of each task; every count covers the whole text.
+First tier: a compact table of the lengths of frequent pre-tokens, fitted on a bounded sample of documents (``SAMPLE``
+of at most ``SAMPLE_CHARS`` characters) and broadcast (at most ``FREQUENT`` short words, so its size has a bound).  It only
+saves work and never changes a count: every other pre-token is a miss, encoded by the model of the library and kept in a
+bounded cache of the worker.  Pre-tokens are never shuffled; every count covers the whole text of every document.
 
 The library's own split decides what a pre-token is.  Where its Unicode tables are older than ours (some
 letters and numbers), a text with such a character is counted by the library as a whole.  Special strings in
@@ -17,10 +17,8 @@ from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import sha256
-from itertools import islice
 
 import public_tokenizers
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +31,11 @@ from tessera.llm.pretokens import Splitter
 VOCABULARY = "byte_bpe_50k.json"
 FREQUENT = 50_000  # pre-tokens in the frequent table
 FREQUENT_CHARS = 32  # longest pre-token in it
-COUNTING = 60_000  # different pre-tokens that a task counts at a time
-SUMMARY = 10_000  # pre-tokens that a task hands on
+SAMPLE = 2_000  # documents that the frequent table is fitted on
+SAMPLE_CHARS = 10_000  # longest of them
 KEPT_WORDS = 100_000  # misses that a worker remembers
 CACHED_CHARS = 256  # longest of them
 BLOCK_CHARS = 1_000_000  # longer texts are split word by word
-BLOCK_WORDS = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -121,28 +118,13 @@ class Counting:
         return len(parts) - 1 + sum(map(self.pieces, parts))
 
 
-def frequent_lengths(df: DataFrame, text: str, data: bytes, most: int = FREQUENT) -> dict[str, int]:
-    """Token lengths of the most frequent short pre-tokens of all documents.
-
-    Each task counts the pre-tokens of its whole texts and gives a summary of at most ``SUMMARY`` of them, so what
-    is merged is a small share of any input.  A count above ``COUNTING`` words drops its rarest half.
-    """
-
-    def top(batches):
-        counts, splitter = Counter(), Splitter()
-        for batch in batches:
-            for value in batch.column(0):
-                text = value.as_py() or ""
-                words = iter(splitter.split(text)) if len(text) <= BLOCK_CHARS else splitter.stream(text)
-                while block := list(islice(words, BLOCK_WORDS)):
-                    counts.update(block if max(map(len, block)) <= FREQUENT_CHARS else [w for w in block if len(w) <= FREQUENT_CHARS])
-                    if len(counts) > COUNTING:
-                        counts = Counter(dict(counts.most_common(COUNTING // 2)))
-        best = counts.most_common(SUMMARY)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
-
-    merged = df.select(F.col(text).alias("t")).mapInArrow(top, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [row["word"] for row in merged.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+def frequent_lengths(df: DataFrame, text: str, data: bytes, most: int = FREQUENT, sample: int = SAMPLE) -> dict[str, int]:
+    """Token lengths of the most frequent short pre-tokens of a bounded sample: the first documents that a scan gives."""
+    short = df.where(F.length(text) <= SAMPLE_CHARS).select(F.col(text).alias("t")).limit(sample)
+    counts, splitter = Counter(), Splitter()
+    for row in short.collect():  # at most SAMPLE texts of SAMPLE_CHARS characters
+        counts.update(w for w in splitter.split(row["t"]) if len(w) <= FREQUENT_CHARS)
+    words = [w for w, n in counts.most_common(most) if n > 1]
     tokenizer = Tokenizer.from_buffer(data)
     return {w: len(e.ids) for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True)}
 
@@ -154,7 +136,7 @@ def with_token_counts(df: DataFrame, text: str = "text", path: str | None = None
     """``keep`` and ``n_bytes``, ``n_tokens`` (long), ``over_limit`` (n_tokens > limit) for every row.
 
     Null and empty texts count nothing; repeated rows stay; columns of ``df`` outside ``keep`` are dropped, and
-    those of ``keep`` may not bear the names made here.
+    those of ``keep`` that bear the names made here are replaced.
     """
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as file:
         data = file.read()
