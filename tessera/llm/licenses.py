@@ -1,7 +1,8 @@
 """License scans: exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-Blocks are the lines of a text, templates the word sets of the notices below.  A block matches a template if
-it holds at least ``CONTAINED`` of the template's words.  Words are ordered by the number of documents that
+Blocks are runs of consecutive lines, so that a notice is found however it is wrapped: from every line on, as many of the
+next ``LINES`` lines as have ``BLOCK_WORDS`` words together (a longer line is a block of its own).  Templates are the word
+sets of the notices below.  A block matches a template if it holds at least ``CONTAINED`` of the template's words.  Words are ordered by the number of documents that
 have them, rarest first, over all documents; then
 
 * prefix filter: a block that matches has one of the template's first ``size - need + 1`` words, so only
@@ -21,6 +22,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import let
 from tessera.session import stable_copy
 
 # The phrases whose every place is counted, and their labels.
@@ -42,6 +44,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 CONTAINED = 0.8
+LINES = 6  # of a block
+BLOCK_WORDS = 60  # of a block of several lines, three times the longest template
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what stands between lower-case words
 
@@ -92,6 +96,27 @@ def template_index(spark: SparkSession, vocabulary: list[str], templates=TEMPLAT
     return spark.createDataFrame(rows, "word string, place int, label string, words array<string>, need int")
 
 
+def line_blocks(low: Column, in_order: Column) -> Column:
+    """Per line the block that starts with it, as its share of the vocabulary in vocabulary order."""
+    share = lambda t: F.struct(F.when(t == "", 0).otherwise(_spaces(t) + 1).alias("n"), F.array_intersect(F.split(t, " "), in_order).alias("ws"))
+    lines = F.transform(F.split(low, "\n", -1), lambda line: let(normal(line), share))
+
+    def add_line(block: Column, line: Column) -> Column:
+        """Take a line if it is the first, or if every line before it was taken and the words are not too many."""
+        n = block["n"] + line["n"]
+        takes = (block["lines"] == 0) | (block["open"] & (n <= BLOCK_WORDS))
+        return F.struct(
+            F.when(takes, n).otherwise(block["n"]).alias("n"),
+            F.when(takes, F.concat(block["ws"], line["ws"])).otherwise(block["ws"]).alias("ws"),
+            (block["lines"] + 1).alias("lines"),
+            takes.alias("open"),
+        )
+
+    none = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("ws"), F.lit(0).alias("lines"), F.lit(True).alias("open"))
+    block = lambda ls, i: F.aggregate(F.slice(ls, i + 1, LINES), none, add_line)["ws"]
+    return let(lines, lambda ls: F.transform(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.array_intersect(in_order, block(ls, i))))
+
+
 def containment_join(blocks: DataFrame, index: DataFrame, key: str = "rid", words: str = "block") -> DataFrame:
     """``key, label, contained`` for every block and template that match; ``words`` is a block's share of the
     vocabulary in vocabulary order, without repeats."""
@@ -126,8 +151,7 @@ def scan(documents: DataFrame, text: str = "text", id_column: str = "doc_id", te
     )
     found = {label: places(F.col("spaced"), F.col("n_words"), phrase) for phrase, label in PHRASES.items()}
     in_prefix, in_order = F.array(*map(F.lit, prefix)), F.array(*map(F.lit, vocabulary))
-    lines = F.transform(F.split("low", "\n", -1), lambda line: F.array_intersect(in_order, F.split(normal(line), " ")))
-    blocks = F.filter(lines, lambda block: F.arrays_overlap(block, in_prefix))
+    blocks = F.filter(line_blocks(F.col("low"), in_order), lambda block: F.arrays_overlap(block, in_prefix))
     rows = counted.select(
         F.monotonically_increasing_id().alias("rid"),
         "id",

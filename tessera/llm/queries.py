@@ -91,14 +91,14 @@ FROM b
 
 TOP_K = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({knn.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({knn.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, d.vec_id,
+  SELECT q.rid, q.vec_id AS query_id, d.vec_id,
          CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % {knn.EVERY} = 0)
+  FROM v q JOIN v d ON q.rid <> d.rid WHERE q.vec_id % {knn.EVERY} = 0)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= {knn.K}
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= {knn.K}
 """
 
 MIX = rf"""
@@ -149,9 +149,13 @@ base AS (
          list_filter([CASE WHEN len(p0) > 0 THEN 'cc-by' END, CASE WHEN len(p1) > 0 THEN 'gpl' END, CASE WHEN len(p2) > 0 THEN 'reserved' END],
                      lambda x: x IS NOT NULL) AS labels
   FROM ps),
-lines AS (
-  SELECT rid, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
-  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)),
+ln AS (
+  SELECT rid, i, regexp_extract_all(ls[i], '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT rid, string_split(t, chr(10)) AS ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d)),
+bl AS (
+  SELECT a.rid, a.i, b.i AS j, b.w, sum(len(b.w)) OVER (PARTITION BY a.rid, a.i ORDER BY b.i) AS upto
+  FROM ln a JOIN ln b ON b.rid = a.rid AND b.i BETWEEN a.i AND a.i + {licenses.LINES - 1}),
+lines AS (SELECT rid, list_distinct(flatten(list(w))) AS words FROM bl WHERE j = i OR upto <= {licenses.BLOCK_WORDS} GROUP BY rid, i),
 tpl AS (SELECT label, list_distinct(ws) AS ws FROM (VALUES {_TEMPLATES}) v(label, ws)),
 hits AS (
   SELECT rid, label, len(list_intersect(words, ws)) / CAST(len(ws) AS DOUBLE) AS contained

@@ -406,22 +406,50 @@ def test_top_k_on_odd_vectors(spark):
     vectors += [(800, None, 0), (900, [1.0, None], 0), (1000, [float("nan")], 0), (1100, [float("inf")], 0), (None, [1.0] * 6, 0), (1200, [0.5], 0), (1300, [], 0)]
     vectors += [(i, [0.25] * 6, 0) for i in range(2000, 2600)] + [(2000, [0.25] * 6, 0), (3000, [3.0e12, 1.0, 0.0, 0.0, 0.0, 0.0], 0)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, score int").repartition(5)
-    table = {}
+    table = []
     for key, v, _ in vectors:
         if key is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            table[key] = [int(np.floor(1024 * x)) for x in v]
+            table.append((key, [int(np.floor(1024 * x)) for x in v]))
     want = []
-    for q, a in table.items():
+    for own, (q, a) in enumerate(table):
         if q % 100 == 0:
-            scored = sorted((-min(sum(x * y for x, y in zip(a, b, strict=False)), 2**63 - 1), d) for d, b in table.items() if d != q)
+            scored = sorted((-min(sum(x * y for x, y in zip(a, b, strict=False)), 2**63 - 1), d) for n, (d, b) in enumerate(table) if n != own)
             want += [(q, r + 1, d, -s) for r, (s, d) in enumerate(scored[:10])]
     for options in ({}, {"pivots": 3, "part": 2, "slice_rows": 100}):
         assert sorted(map(tuple, knn.top_k(df, **options).collect())) == sorted(want)
 
 
+def test_rows_that_share_an_id_are_all_searched(spark):
+    vectors = [(i, [float(i % 7), 1.0 / (i + 1)]) for i in range(30)] + [(5, [9.0, 0.0]), (0, [3.0, 3.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = knn.top_k(df).collect()
+    assert sum(r["query_id"] == 0 and r["rank"] == 1 for r in got) == 2
+    assert ("vec_id", 5, 9 * 1024 * 3 * 1024) in {("vec_id", r["vec_id"], r["score"]) for r in got if r["query_id"] == 0 and r["rank"] == 1}
+    assert any(r["query_id"] == 0 and r["vec_id"] == 0 for r in got)  # the other row of its id
+
+
 # --- licenses ---
 
 
+def test_wrapped_notices(spark):
+    """The usual notices as they stand in files, hard-wrapped, with marks of comments."""
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "gpl": " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+        "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+    }
+    prose = "\n".join("the wood is deep and any person may copy this line of text with or without a fee" for _ in range(30))
+    rows = [(label, f"{prose}\n\n{text}\n\n{prose}") for label, text in notices.items()] + [("", prose)]
+    got = dict(licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).select("doc_id", "labels").collect())
+    for label in notices:
+        assert label in got[label].split(","), (label, got[label])
+    assert got[""] == ""
+
+
+
 def test_licenses_on_odd_rows(spark, odd):
     got = licenses.op9(odd).collect()
     assert len(got) == odd.count() and all(r["labels"] == "" and r["score"] == 0 and r["n_base"] == 0 for r in got)
