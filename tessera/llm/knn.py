@@ -44,10 +44,10 @@ def _quantised(values: list) -> np.ndarray | None:
 
 
 def quantise(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``id, v`` (packed float64 integers) of the rows that take part, one per id.
+    """``id, v`` (packed float64 integers) of the rows that take part.
 
     Rows without an id, null vectors and those with a null or non-finite component are left out.  Rows that
-    repeat an id count as one, that of the smallest packed vector.
+    share an id are candidates each, and queries each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +61,14 @@ def quantise(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding"
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "v"])
 
     valid = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
-    return valid.mapInArrow(run, "id long, v binary").groupBy("id").agg(F.min("v").alias("v"))
+    return valid.mapInArrow(run, "id long, v binary")
+
+
+def _narrow(m: np.ndarray) -> tuple[str, bytes]:
+    """Whole numbers in the smallest type that holds them, for the way over the network."""
+    most = np.abs(m).max(initial=0)
+    kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
+    return kind, m.astype(kind).tobytes()
 
 
 def _matrix(packed: list[bytes], width: int) -> np.ndarray:
@@ -81,10 +88,10 @@ def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.clip(product, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Per query the places of its k best candidates: highest score, then smallest id."""
+def _best(scores: np.ndarray, ids: np.ndarray, rids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per query the places of its k best candidates but its own row: highest score, then smallest id."""
     for i in range(len(scores)):
-        other = ids != own[i]
+        other = rids != own[i]
         row = np.flatnonzero(other)
         if len(row) > k:
             floor = np.partition(scores[i][row], len(row) - k)[len(row) - k]
@@ -104,8 +111,8 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best other rows of every row whose id ``every`` divides.
 
-    Ties go to the smaller id; with fewer candidates all are returned.  Other columns are dropped; an empty
-    table gives no rows.  See ``quantise`` for the rows that take part.
+    Ties go to the smaller id; with fewer candidates all are returned.  A query leaves out its own row only: rows that share
+    its id are found, and each of them asks for itself.  Other columns are dropped; an empty table gives no rows.  See ``quantise`` for the rows that take part.
     """
     vectors = stable_copy(quantise(df, id_column, vector))
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -128,7 +135,8 @@ def top_k(
             pdf["norm"] = np.linalg.norm(m, axis=1)
             yield pdf
 
-    placed = stable_copy(vectors.mapInPandas(assign, "id long, v binary, pivot int, away double, norm double"))
+    numbered = vectors.withColumn("rid", F.monotonically_increasing_id())
+    placed = stable_copy(numbered.mapInPandas(assign, "id long, v binary, rid long, pivot int, away double, norm double"))
     is_query = F.col("id") % every == 0
     nearest = Window.partitionBy("pivot").orderBy("away", "id")
     near = placed.select("pivot", "away", "id").withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
@@ -154,45 +162,49 @@ def top_k(
         which, floor, radius, cut = plan.value
         c = shared.value[which]
         for pdf in batches:
-            m, ids = _matrix(list(pdf["v"]), width), pdf["id"].to_numpy()
+            m, ids, rids = _matrix(list(pdf["v"]), width), pdf["id"].to_numpy(), pdf["rid"].to_numpy()
             reach = c @ m.T
             reach = reach + radius[:, None] * pdf["norm"].to_numpy()[None, :] * (1 + 1e-9) + 1
-            home = ids % slices
+            home = rids % slices
             for g in range(len(which)):
                 for s in np.unique(home):
                     hit = (reach[g] >= floor[g]) & (home == s)
                     if hit.any():
-                        packed_ids, packed = ids[hit].astype("int64").tobytes(), m[hit].tobytes()
-                        yield pd.DataFrame({"pivot": which[g], "part": np.arange(cut[g]), "slice": s, "ids": [packed_ids] * cut[g], "vs": [packed] * cut[g]})
+                        kind, packed = _narrow(m[hit])
+                        row = {"ids": ids[hit].astype("int64").tobytes(), "rids": rids[hit].astype("int64").tobytes(), "kind": kind, "vs": packed}
+                        yield pd.DataFrame([{"pivot": which[g], "part": p, "slice": s} | row for p in range(cut[g])])
 
     def query_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         which, _, _, cut = plan.value
         cuts = dict(zip(which.tolist(), cut.tolist(), strict=True))
         for pdf in batches:
-            pdf["part"] = [int(i // every) % cuts[p] for i, p in zip(pdf["id"], pdf["pivot"], strict=True)]
+            pdf["part"] = [int(i) % cuts[p] for i, p in zip(pdf["rid"], pdf["pivot"], strict=True)]
             for s in range(slices):
-                yield pdf[["pivot", "part", "id", "v"]].assign(slice=s)
+                yield pdf[["pivot", "part", "id", "rid", "v"]].assign(slice=s)
 
-    sent = placed.mapInPandas(send, "pivot int, part int, slice int, ids binary, vs binary")
-    asked = placed.where(is_query).select("pivot", "id", "v").mapInPandas(query_parts, "pivot int, part int, id long, v binary, slice int")
+    sent = placed.mapInPandas(send, "pivot int, part int, slice int, ids binary, rids binary, kind string, vs binary")
+    asked = placed.where(is_query).select("pivot", "id", "rid", "v").mapInPandas(query_parts, "pivot int, part int, id long, rid long, v binary, slice int")
 
     def solve(questions: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        own, q = questions["id"].to_numpy(), _matrix(list(questions["v"]), width)
-        query, vec, score = [], [], []
-        for packed_ids, packed in zip(blocks["ids"], blocks["vs"], strict=True):
-            ids, m = np.frombuffer(packed_ids, np.int64), np.frombuffer(packed).reshape(-1, width)
+        own, q = questions["rid"].to_numpy(), _matrix(list(questions["v"]), width)
+        place, vec, score = [], [], []
+        for block in blocks.itertuples(index=False):
+            ids, rids = np.frombuffer(block.ids, np.int64), np.frombuffer(block.rids, np.int64)
+            m = np.frombuffer(block.vs, block.kind).astype(np.float64).reshape(-1, width)
             scores = _scores(q, m) if len(q) and len(m) else np.zeros((0, 0), np.int64)
-            for i, best in _best(scores, ids, own, k):
-                query.append(np.full(len(best), own[i]))
+            for i, best in _best(scores, ids, rids, own, k):
+                place.append(np.full(len(best), i))
                 vec.append(ids[best])
                 score.append(scores[i][best])
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        out = pd.DataFrame({"query_id": cat(query), "vec_id": cat(vec), "score": cat(score)})
-        return out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        at = cat(place)
+        asked_by = {"query_id": questions["id"].to_numpy()[at], "rid": own[at]}
+        out = pd.DataFrame(asked_by | {"vec_id": cat(vec), "score": cat(score)})
+        return out.sort_values(["rid", "score", "vec_id"], ascending=[True, False, True]).groupby("rid").head(k)
 
     key = ["pivot", "part", "slice"]
-    solved = asked.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    solved = asked.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "query_id long, rid long, vec_id long, score long")
+    order = Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
     ranked = solved.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
