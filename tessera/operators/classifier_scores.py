@@ -67,6 +67,11 @@ def average_precision(scored: DataFrame, key: str) -> DataFrame:
     return threshold_steps(scored, key).where("all_pos > 0").groupBy(key).agg(F.sum(gain).alias("ap"))
 
 
+def mean_average_precision(ap: DataFrame) -> DataFrame:
+    """One row ``map``: the mean of ``average_precision`` over the keys that have one; 0 without any."""
+    return ap.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("map"))
+
+
 def roc_points(scored: DataFrame, key: str) -> DataFrame:
     """Rates after each distinct score; keys lacking either class are left out."""
     return threshold_steps(scored, key).where("all_pos > 0 and all_neg > 0").select(

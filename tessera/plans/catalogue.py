@@ -205,3 +205,21 @@ def channel_offsets(fx: Fixtures) -> DataFrame:
     width = F.when(F.col("inst"), F.col("n") - 1).otherwise(F.lit(1)).cast("long")
     placed = running_totals(heads, ["model"], ["pos"], {"end_channel": width})
     return placed.select("model", "pos", (F.col("end_channel") - width).alias("first_channel"), "end_channel")
+
+
+@query(
+    "companion_files",
+    """with w as (select distinct image_id, dir, path, regexp_replace(regexp_replace(path, '.*/', ''), '[.][^.]*$', '') st from fx_files where path like '%.svs' or path like '%.tif')
+select path, case when image_id%3=0 then '/data/thumb/'||st||'.png' when image_id%5=0 then '/thumb/'||st||'.png' when image_id%2=0 then '/data/'||dir||'/thumb/'||st||'.png' end found from w""",
+)
+def companion_files(fx: Fixtures) -> DataFrame:
+    """Thumbnails beside the folder of a file, above it, or in it, whichever exists first."""
+    slides = fx["fx_files"].where("path like '%.svs' or path like '%.tif'").select("image_id", "dir", "path").distinct()
+    name = F.concat(F.regexp_replace(F.regexp_replace("path", ".*/", ""), "[.][^.]*$", ""), F.lit(".png"))
+    thumbs = F.array(
+        F.when(F.col("image_id") % 3 == 0, F.concat(F.lit("/data/thumb/"), name)),
+        F.when(F.col("image_id") % 5 == 0, F.concat(F.lit("/thumb/"), name)),
+        F.when(F.col("image_id") % 2 == 0, F.concat(F.lit("/data/"), F.col("dir"), F.lit("/thumb/"), name)),
+    )
+    offered = slides.select(F.explode(F.array_compact(thumbs)).alias("path"))
+    return ls.companion(slides.select("path"), offered, [(1, "thumb"), (2, "thumb"), (0, "thumb")], ".png")

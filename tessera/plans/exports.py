@@ -122,6 +122,21 @@ def viewer_points(fx: Fixtures) -> DataFrame:
     return ex.viewer_annotations(rows, "centroid", 0.5).select("inst_id", "element")
 
 
+@query(
+    "viewer_documents",
+    f"""with s as (select *, {STYLE_SQL} from fx_inst),
+e as (select slide_id, inst_id, '{{"fillColor":"rgba('||rgba||')","id":"'||lpad(cast(inst_id as varchar),24,'0')||'","label":{{"value":"nuclei"}},"group":"'||grp||'","lineColor":"rgb(0, 0, 0)","type":"point","center":['||cast(floor((x_min+x_max)/2.0*0.5) as int)||','||cast(floor((y_min+y_max)/2.0*0.5) as int)||',0],"lineWidth":'||lw||'}}' element from s),
+p as (select *, cast(floor((row_number() over (partition by slide_id order by inst_id)-1)/100.0) as int)+1 part from e)
+select slide_id, part, cast(count(*) as int) elements, md5('{{"annotation":{{"description":"","elements":['||string_agg(element, ',' order by inst_id)||'],"name":"tessera"}}}}') document from p group by slide_id, part""",
+)
+def viewer_documents(fx: Fixtures) -> DataFrame:
+    """Documents of at most a hundred elements each."""
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2.0
+    rows = fx["fx_inst"].withColumn("cx", middle("x_min", "x_max")).withColumn("cy", middle("y_min", "y_max")).withColumn("seq", F.col("inst_id"))
+    made = ex.viewer_documents(ex.viewer_annotations(rows, "centroid", 0.5), "tessera", 100)
+    return made.withColumn("document", F.md5("document"))
+
+
 @query(
     "overlay_lines",
     """select inst_id, cast(trunc((x_min-1500)*2.0) as int) x0, cast(trunc((y_min-900)*2.0) as int) y0, case when task='Nuclei' then 3 else 12 end line_width

@@ -201,6 +201,15 @@ def average_precision(fx: Fixtures) -> DataFrame:
     return cs.average_precision(one_against_rest(fx), "cls").withColumn("ap", F.round("ap", 6))
 
 
+@query(
+    "mean_average_precision",
+    f"with {REST}, {STEPS}, ap as (select key, sum(pos/all_pos*(tp/(tp+fp))) ap from cum where all_pos>0 group by key) select round(avg(ap),6) map from ap",
+)
+def mean_average_precision(fx: Fixtures) -> DataFrame:
+    ap = cs.average_precision(one_against_rest(fx), "cls")
+    return cs.mean_average_precision(ap).select(F.round("map", 6).alias("map"))
+
+
 def quality_runs(fx: Fixtures) -> DataFrame:
     """Text length as a score for the quality label, one run per source."""
     return fx["labels"].join(fx["documents"].select("doc_id", "source", "n_chars"), "doc_id").select(

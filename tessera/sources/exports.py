@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +132,19 @@ def viewer_annotations(instances: DataFrame, mode: str, scale: float = 1.0) -> D
     return styled.withColumn("element", element)
 
 
+def viewer_documents(elements: DataFrame, annotator: str = "", size: int = 30_000) -> DataFrame:
+    """``slide_id, part, elements, document``: a viewer's annotation documents of at most ``size`` elements.
+
+    ``elements(slide_id, seq, element)`` come in the order of ``seq``; a slide with more is cut into parts, so
+    that no row grows with it.
+    """
+    parted = part_numbers(elements.select("slide_id", "seq", "element"), ["slide_id"], ["seq"], size)
+    listed = parted.groupBy("slide_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "element"))).alias("e"))
+    text = F.array_join(F.transform("e", lambda e: e["element"]), ",")
+    head, tail = '{"annotation":{"description":"","elements":[', '],"name":' + json.dumps(annotator) + "}}"
+    return listed.select("slide_id", "part", F.size("e").alias("elements"), F.concat(F.lit(head), text, F.lit(tail)).alias("document"))
+
+
 def overlay_lines(instances: DataFrame, x: int, y: int, w: int, h: int, scale: float) -> DataFrame:
     """Polylines of the instances meeting a region, in region coordinates, coloured by class."""
     xs, ys = F.transform("contour", lambda p: p["x"]), F.transform("contour", lambda p: p["y"])
