@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import small_enough, stable_copy
+
 CELL_BUDGET = 50_000_000  # comparisons one task should make for one cell before it is split
 
 
@@ -90,15 +92,22 @@ def box_pairs(
 
 
 def _salted(lhs: DataFrame, rhs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    counts = (
-        lhs.groupBy(keys).agg(F.count("*").alias("_nl"))
-        .join(rhs.groupBy(keys).agg(F.count("*").alias("_nr")), keys)
-        .where(F.col("_nl") * F.col("_nr") > CELL_BUDGET)
-        .select(*keys, F.ceil(F.col("_nl") * F.col("_nr") / F.lit(float(CELL_BUDGET))).cast("int").alias("_parts"))
+    """Both sides with ``_salt``: pieces of the left rows in crowded cells, and as many copies of the right ones.
+
+    One aggregate counts the cells of both sides; without a crowded cell the sides are joined as they are.
+    """
+    side = lambda df, left: df.select(*keys, F.lit(left).cast("long").alias("_l"), F.lit(1 - left).cast("long").alias("_r"))
+    counted = side(lhs, 1).unionByName(side(rhs, 0)).groupBy(*keys).agg(F.sum("_l").alias("_nl"), F.sum("_r").alias("_nr"))
+    product = F.col("_nl") * F.col("_nr")
+    crowded = stable_copy(
+        counted.where(product > CELL_BUDGET).select(*keys, F.ceil(product / F.lit(float(CELL_BUDGET))).cast("int").alias("_parts"))
     )
+    if crowded.isEmpty():
+        return lhs.withColumn("_salt", F.lit(0)), rhs.withColumn("_salt", F.lit(0))
+    crowded = F.broadcast(crowded) if small_enough(crowded) else crowded
     parts = F.coalesce("_parts", F.lit(1))
-    lhs = lhs.join(counts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*lhs.columns), parts).cast("int"))
-    rhs = rhs.join(counts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    lhs = lhs.join(crowded, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*lhs.columns), parts).cast("int"))
+    rhs = rhs.join(crowded, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return lhs.drop("_parts"), rhs.drop("_parts")
 
 
