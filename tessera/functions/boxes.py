@@ -137,7 +137,3 @@ def padded(box: Box, pad: int, width: Column, height: Column) -> Box:
         F.when(box.x1 + pad <= width - 1, box.x1 + pad).otherwise(box.x1),
         F.when(box.y1 + pad <= height - 1, box.y1 + pad).otherwise(box.y1),
     )
-
-
-def centre_offset(length: Column, crop: Column | int) -> Column:
-    return truncate((length - crop) * F.lit(0.5))

@@ -159,7 +159,19 @@ def refine_tissue(fx: Fixtures) -> DataFrame:
     return mo.refine_tissue(dilated(fx), blob_frames(fx), radius=1, limit=40)
 
 
-@query("grow_instances")
+@query(
+    "grow_instances",
+    f"""with recursive {ELLIPSE3}, bl as materialized (select image_id, x, y from fx_blob), {reach('bl', 'image_id')},
+bx as (select image_id, comp, case when min(x)>=6 then min(x)-6 else min(x) end x0, case when min(y)>=6 then min(y)-6 else min(y) end y0,
+ case when max(x)+7<=63 then max(x)+7 else max(x)+1 end x1, case when max(y)+7<=63 then max(y)+7 else max(y)+1 end y1 from lab group by image_id, comp having count(*)>=8),
+gr as materialized (select distinct l.image_id, l.comp, l.x+i x, l.y+j y from lab l join bx on bx.image_id=l.image_id and bx.comp=l.comp join el on l.x+i>=x0 and l.x+i<x1 and l.y+j>=y0 and l.y+j<y1),
+bb as (select image_id, comp, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from gr group by image_id, comp),
+bg as (select *, unnest(range(y0, y1+1)) y from (select *, unnest(range(x0, x1+1)) x from bb)),
+ub as materialized (select bg.image_id, bg.comp, bg.x, bg.y, bg.x in (x0,x1) or bg.y in (y0,y1) edge from bg left join gr on gr.image_id=bg.image_id and gr.comp=bg.comp and gr.x=bg.x and gr.y=bg.y where gr.x is null),
+op(image_id, comp, x, y) as (select image_id, comp, x, y from ub where edge
+ union select n.image_id, n.comp, n.x, n.y from op p join ub n on n.image_id=p.image_id and n.comp=p.comp and abs(n.x-p.x)+abs(n.y-p.y)=1)
+select image_id, cast(x as int) x, cast(y as int) y, max(comp) comp from (select image_id, comp, x, y from gr union all (select image_id, comp, x, y from ub except select image_id, comp, x, y from op)) group by image_id, x, y""",
+)
 def grow_instances(fx: Fixtures) -> DataFrame:
     return mo.grow_instances(fx["fx_blob"], blob_frames(fx), size=3, limit=8)
 

@@ -9,7 +9,7 @@ from tools.check import compare, oracle_connection
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(registry.queries())
 # No SQL twin; tests/test_bruteforce.py holds these against brute force.
-BRUTE_FORCE = {"grow_instances", "refine_tissue"}
+BRUTE_FORCE = {"refine_tissue"}
 
 
 @pytest.fixture(scope="module")
