@@ -52,7 +52,7 @@ def counted(rows):
 
 
 def test_every_query_handles_an_empty_table(spark, tmp_path):
-    for name in ("documents", "pages", "embeddings", "conversations"):
+    for name in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in queries.queries().items():
         assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op10") else 0), name
