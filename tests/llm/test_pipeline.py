@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -10,22 +11,39 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe, mixing, quality, secret_scan
-from tests.llm.test_operators import DOC_COLUMNS, PROSE, plain_components, plain_fingerprint, wrapped_key
+from tests.llm.test_operators import DOC_COLUMNS, PROSE, wrapped_key
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_heads(texts):
+    """The smallest id of each group of texts linked at a Jaccard similarity of 0.8 on five words; all pairs compared."""
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    todo, heads = set(sets), set()
+    while todo:
+        front = [min(todo)]
+        todo -= set(front)
+        heads |= set(front)
+        while front:
+            s = sets[front.pop()]
+            near = {j for j in todo if s == sets[j] or 5 * len(s & sets[j]) >= 4 * len(s | sets[j])}
+            todo -= near
+            front += near
+    return heads
+
+
 def by_hand(spark, folder):
     judged = quality.judge(spark.read.parquet(f"{folder}/documents.parquet")).where("kept").select("doc_id", "source", "clean").collect()
-    prints = {(r["doc_id"], r["clean"]): plain_fingerprint(r["clean"]) for r in judged}
-    groups = plain_components(set(prints.values()))
-    least = {}
-    for (doc, _), f in prints.items():
-        least[groups[f]] = min(doc, least.get(groups[f], doc))
+    heads = plain_heads({r["doc_id"]: r["clean"] for r in judged})
     novelty = secret_scan.Novelty()
     rows = {}
     for r in judged:
-        if least[groups[prints[r["doc_id"], r["clean"]]]] == r["doc_id"]:
+        if r["doc_id"] in heads:
             rows[r["doc_id"]] = (r["source"], secret_scan.redacted(r["clean"], secret_scan.scan(r["clean"], novelty)[1], "[SECRET]"))
     frame = spark.createDataFrame([(d, t, s) for d, (s, t) in rows.items()], "doc_id long, text string, source string")
     epochs = {r["doc_id"]: r["epochs"] for r in mixing.mix(frame).collect()}
@@ -62,3 +80,29 @@ def test_no_line_of_a_wrapped_key_is_left(spark):
     (row,) = corpus_pipeline.secret_scans(spark, docs, "").collect()
     assert not any(line in row["text"] for line in lines)
     assert row["n_chars"] == len(row["text"]) < 500
+
+
+def changed(rnd, words, n):
+    out = list(words)
+    for i in rnd.sample(range(len(out)), n):
+        out[i] = f"new{rnd.random()}"
+    return out
+
+
+def test_near_copies_go_and_false_ones_stay(spark):
+    rnd = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = rnd.choices(vocabulary, k=60)
+    texts = []
+    for k in range(6):  # copies with one to twelve words of 150 changed: on both sides of 0.8
+        base = rnd.choices(vocabulary, k=150)
+        texts += [" ".join(base), " ".join(base).upper()] + [" ".join(changed(rnd, base, n)) for n in (1, 2, 3, 4, 5, 8, 12)]
+    base = rnd.choices(vocabulary, k=150)
+    texts += [" ".join(changed(rnd, base, rnd.choice((1, 1, 2, 3)))) for _ in range(80)]  # a large group without its base
+    texts += [" ".join(passage + rnd.choices(vocabulary, k=40)) for _ in range(40)]  # a passage shared, texts different
+    texts += ["", None, "one two", "one  two", "one two three", "the same five words here", "the same five words there"]
+    rnd.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOC_COLUMNS)
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == plain_heads(dict(enumerate(texts)))
+    assert len(got) < len(texts) - 80
