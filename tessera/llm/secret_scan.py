@@ -1,13 +1,18 @@
 """Secret scans: fixed patterns, and strings in a sensitive context that do not compress.
 
-A candidate is a run of 16 or more credential characters that mixes letters and digits and stands within
+A candidate is a run of 16 or more credential characters that mixes letters and digits, and stands within
 ``CONTEXT`` characters of a sensitive word, before or behind it.  Runs with nothing but white space, quotes,
 backslashes and comment marks between them (keys over several lines) share the context of any of them; a
 short last line before an END mark belongs to the run above it.  Its marginal cost is what the zstandard frame of its
 surroundings grows by when the candidate is appended, under a compressor primed with a dictionary of
 identifiers.  Names, paths and repeats of other surroundings cost little; a random key costs nearly its full
 entropy and is reported.  Its own other places are blanked before it is measured, and a string reported once
-is reported wherever it stands in the text.  Everything is row-local; memory is bounded by the texts of one Arrow batch.
+is reported wherever it stands in the text.
+
+Runs of 8 or more credential characters and symbols are candidates too if their letters do not read as words: in random
+strings the pieces between changes of case, digits and symbols are short (``PIECE``), in names, paths and compounds long.
+That is how passwords, keys without digits and dotted tokens are told from prose; a key of lower-case letters alone is
+not.  Everything is row-local; memory is bounded by the texts of one Arrow batch.
 """
 
 from __future__ import annotations
@@ -69,6 +74,21 @@ IDENTIFIERS = (
 )
 
 
+RUN = re.compile(r"[A-Za-z0-9+/_=!@#$%^&*~-]{8,}(?:\.[A-Za-z0-9+/_=!@#$%^&*~-]{8,})*")
+PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# Mean length of the letter pieces from which a run reads as words; without digits, and then of 24 or more
+# characters, there are more pieces to take the mean of and names have longer ones.
+PIECE, PIECE_NO_DIGITS, PIECE_LONG, LONG = 3, 3.3, 4, 24
+
+
+def broken(run: str) -> bool:
+    """Whether at least a third of a run are letters and they do not read as words."""
+    pieces = PIECES.findall(run)
+    letters = sum(map(len, pieces))
+    limit = PIECE if any(c in "0123456789" for c in run) else PIECE_NO_DIGITS if len(run) < LONG else PIECE_LONG
+    return letters * 3 >= len(run) and letters < limit * len(pieces)
+
+
 def core(run: str) -> str:
     """A candidate without a name and equals sign ahead and marks at its ends, if that leaves a candidate."""
     value = run.rstrip("=").rpartition("=")[2].strip("-_/+")
@@ -131,8 +151,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
             continue
         for start, end in open_:
             word = text[start:end]
-            if word.isalpha() or not MIXED.match(word):
-                continue
+            if not MIXED.match(word):
+                continue  # left to broken_spans
             if novelty.marginal(text, start, end, "" if before else PLAIN) >= NOVELTY * (end - start):
                 spans.append((start, 3, end))
             else:
@@ -146,6 +166,28 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     return spans
 
 
+def broken_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
+    """Spans of runs that do not read as words, in a sensitive context and new, outside the ``taken`` ones (sorted by start)."""
+    if not SENSITIVE.search(text):
+        return []
+    spans, others, k, reach = [], [], 0, 0
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        while k < len(taken) and taken[k][0] < end:
+            reach, k = max(reach, taken[k][2]), k + 1
+        if reach > start or not broken(m.group()):
+            continue
+        before = SENSITIVE.search(text, max(0, start - CONTEXT), start)
+        if not before and not SENSITIVE.search(text, end, end + CONTEXT):
+            others.append((start, 3, end))
+        elif novelty.marginal(text, start, end, "" if before else PLAIN) >= NOVELTY * (end - start):
+            spans.append((start, 3, end))
+        else:
+            others.append((start, 3, end))
+    known = {text[a:b] for a, _, b in spans}
+    return spans + [span for span in others if text[span[0] : span[2]] in known]
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
@@ -153,7 +195,8 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(text: str | None, novelty: Novelty) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     text = text or ""
     base = base_spans(text)
-    return base, sorted(base + novel_spans(text, base, novelty))
+    spans = sorted(base + novel_spans(text, base, novelty))
+    return base, sorted(spans + broken_spans(text, spans, novelty))
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, int]], mark: str) -> str | None:

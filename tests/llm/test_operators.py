@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -198,6 +199,85 @@ def test_secrets_over_several_lines(spark):
         assert clean[i].startswith(PROSE) and clean[i].endswith(PROSE)
 
 
+SENSITIVE_LINES = (
+    "The service uses the private key {} to sign requests, so keep it safe.",
+    "Please send the bearer value {} with every call to the gateway.",
+    "For the database we set the credential to {} and restarted all of the workers.",
+    "my passwd is {} and nobody else should read it",
+    "export AUTH {} before you run the script in the folder",
+)
+PLAIN_LINES = (
+    "The private key lives in /etc/ssl/private/server-certificates/current.pem on every host.",
+    "The authentication documentation describes responsibilities, internationalization and interoperability of access tokens.",
+    "Access logs are at https://docs.northwind-example.org/security/access-control/overview.html for reference.",
+    "getAuthenticationTokenProvider() returns the credential; see SecurityConfigurationManager and utf8 sha256 base64url names.",
+    "Keys were rotated on 2024-01-15T10:20:30 in version v2.10.3-beta and the token table has 1,234,567 rows.",
+    "private static final String ACCESS_TOKEN_HEADER_NAME = null; user_access_key_id INTEGER",
+    "key-value stores, public-key cryptography, well-established password-management recommendations",
+)
+
+
+def plain_broken(text, taken):
+    """The spans of runs that do not read as words, from their definition."""
+    allowed = set(string.ascii_letters + string.digits + "+/_=!@#$%^&*~-")
+    novelty, runs, i = secret_scan.Novelty(), [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in allowed:
+            j += 1
+        if j - i >= 8:
+            if runs and runs[-1][1] == i - 1 and text[i - 1] == ".":
+                runs[-1] = (runs[-1][0], j)
+            else:
+                runs.append((i, j))
+        i = j + 1
+    found = {}
+    for a, b in runs:
+        word, pieces = text[a:b], []
+        for k, c in enumerate(word):
+            if c in string.ascii_letters:
+                last = word[k - 1] if k else ""
+                joins = last in string.ascii_letters and last and (c.islower() == last.islower() or (c.islower() and len(pieces[-1]) == 1))
+                pieces = [*pieces[:-1], pieces[-1] + c] if joins else [*pieces, c]
+        letters = sum(map(len, pieces))
+        reads = letters >= (3 if any(c.isdigit() for c in word) else 3.3 if b - a < 24 else 4) * len(pieces)
+        if reads or 3 * letters < len(word) or any(x < b and a < y for x, _, y in taken):
+            continue
+        sensitive = re.compile("(?ai)key|secret|token|passw|pwd|auth|credential|bearer|private|access|signature")
+        before, behind = sensitive.search(text[max(0, a - 64) : a]), sensitive.search(text[b : b + 64])
+        cost = novelty.marginal(text, a, b, "" if before else secret_scan.PLAIN)
+        found[a, b] = bool(before or behind) and cost >= 0.6 * (b - a)
+    known = {text[a:b] for (a, b), hit in found.items() if hit}
+    return [(a, 3, b) for a, b in found if text[a:b] in known]
+
+
+def test_secrets_without_digits_short_dotted_and_with_symbols():
+    rnd, novelty = random.Random(5), secret_scan.Novelty()
+    make = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    mixed = string.ascii_letters + string.digits
+    kinds = {
+        "letters": lambda: make(string.ascii_letters, 40),
+        "twelve": lambda: make(mixed, 12),
+        "dotted": lambda: ".".join(make(mixed, 15) for _ in range(3)),
+        "symbols": lambda: make(mixed + "!@#$%^&*", 20),
+        "base64": lambda: make(mixed, 40),
+    }
+    for name, kind in kinds.items():
+        found = 0
+        for i in range(100):
+            value = kind()
+            text = SENSITIVE_LINES[i % 5].format(value)
+            at = text.index(value)
+            base, spans = secret_scan.scan(text, novelty)
+            found += sum(max(0, min(b, at + len(value)) - max(a, at)) for a, _, b in spans) >= 0.9 * len(value)
+            long_ones = sorted(base + secret_scan.novel_spans(text, base, novelty))
+            assert spans == sorted(long_ones + plain_broken(text, long_ones))
+        assert found >= 88, (name, found)
+    for text in PLAIN_LINES:
+        assert not secret_scan.scan(text, novelty)[1]
+        assert not plain_broken(text, [])
+
+
 def test_repeated_secrets(spark):
     rnd = random.Random(4)
     keys = [random_key(rnd, 39) + "7" for _ in range(40)]
