@@ -7,9 +7,10 @@ collides there, always.
 
 Exact copies fold into one row per fingerprint before anything is compared.  Per bucket a task links the
 fingerprints within the radius to a forest (never the pairs themselves).  A bucket above ``BUCKET`` is dealt
-out again over the positions its table has dropped, by covering masks of those, so no task gets more and no
-link is lost; each level fixes about half of the positions still free, so about 2^16 different fingerprints
-at most agree in all that two levels fix, which one task can link.  Links are contracted over the cluster, with checkpoints.
+out again over the positions its table has dropped, by covering masks of those, level by level until none is larger,
+so no task gets more and no link is lost.  Each level fixes about half of the positions still free, and n free
+positions leave 2^n different fingerprints at most, so the levels end.  Where no more positions are free than the
+radius allows, all of a bucket are linked to one, in one pass.  Links are contracted over the cluster, with checkpoints.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import broadcast_if_small, fresh, per_batch
 from tessera.operators.components import contract
-from tessera.session import stable_copy
+from tessera.session import shuffle_width, stable_copy
 
 RADIUS = 4
 WORDS = 4  # words of a shingle
 SEED = 42  # of XXH64
 BUCKET = 4_096  # fingerprints compared pair by pair
-LEVELS = 2
+SALTS = 16  # parts of a component's fingerprints in the join that names it
 CHUNK = 200_000  # shingles hashed before they are folded into the bit counts
 
 
@@ -94,29 +95,22 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -
 
     ``fingerprints`` has one row per different fingerprint in column ``fp``.
     """
-    found = None
-    level = fingerprints.select("fp", F.lit(0).alias("t"), F.lit(0).cast("long").alias("key"))
-    used = {0: ((1 << 64) - 1, 0)}  # table number -> (positions still free, positions it compares)
-    for depth in range(LEVELS):
-        tables, nested, parents = {}, [], []
-        for parent, (free, compared) in used.items():
-            masks = covering_masks([p for p in range(64) if free >> p & 1], radius, seed=101 + depth)
-            names = range(len(tables) + 1, len(tables) + 1 + len(masks))
-            tables |= {t: (free & ~m, compared | m) for t, m in zip(names, masks, strict=True)}
-            parents.append(F.lit(parent))
-            nested.append(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(_signed(compared | m)).alias("m")) for t, m in zip(names, masks, strict=True)]))
-        if depth == 0:
-            rows = level.select("fp", F.explode(nested[0]).alias("s"))
-        else:
-            choice = F.element_at(F.map_from_arrays(F.array(*parents), F.array(*nested)), F.col("t"))
-            rows = level.select("fp", F.explode(choice).alias("s"))
-        rows = rows.select("fp", F.col("s.t").alias("t"), F.col("fp").bitwiseAND(F.col("s.m")).alias("key"))
-        sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n"))
-        last = depth == LEVELS - 1
-        large = stable_copy(sizes.where(F.col("n") > bucket).select("t", "key"))
-        none_large = last or large.isEmpty()
-        small = rows if none_large else rows.join(broadcast_if_small(large), ["t", "key"], "left_anti")
-        buckets = small.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    width = shuffle_width(fingerprints.sparkSession)
+    found, depth = None, 0
+    level = fingerprints.select("fp", F.lit(0).cast("long").alias("compared")).repartition(width, "fp")
+    while True:
+        # a mask over all positions, joined to those compared before, is a covering mask of the positions still free
+        masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(list(range(64)), radius, seed=101 + depth)])
+        rows = level.select("fp", "compared", F.explode(masks).alias("m")).select("fp", F.col("compared").bitwiseOR(F.col("m")).alias("compared"))
+        if depth:
+            rows = rows.distinct()  # different masks may fix the same positions
+        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("compared")))
+        sizes = rows.groupBy("compared", "key").agg(F.count("*").alias("n"))
+        free = 64 - F.bit_count("compared")
+        large = stable_copy(sizes.where((F.col("n") > bucket) & (free > radius)).select("compared", "key"))
+        none_large = large.isEmpty()
+        small = rows if none_large else rows.join(broadcast_if_small(large), ["compared", "key"], "left_anti")
+        buckets = small.groupBy("compared", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
         def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -143,8 +137,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -
         found = linked if found is None else found.union(linked)
         if none_large:
             break
-        level = rows.join(broadcast_if_small(large), ["t", "key"], "left_semi").select("fp", "t", "key")
-        used = tables
+        level = stable_copy(rows.join(broadcast_if_small(large), ["compared", "key"], "left_semi").select("fp", "compared"))
+        depth += 1
     return found.distinct()
 
 
@@ -153,12 +147,15 @@ def classes(fingerprinted: DataFrame, id_column: str, radius: int = RADIUS, buck
     the smallest id in it and its number of rows."""
     single = stable_copy(fingerprinted.groupBy("fp").agg(F.min(id_column).alias("least"), F.count("*").alias("n")))
     stars = contract(links(single, radius, bucket), []).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = single.join(stars, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("leaf"))
-    heads = rooted.where("leaf").select("root").distinct()
-    linked = rooted.join(heads, "root", "left_semi")
-    merged = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"))
+    rooted = single.join(stars, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    merged = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members"), F.count("*").alias("prints"))
+    merged = merged.where("prints > 1").drop("prints")
+    # a component may hold a large part of all fingerprints, so its rows are dealt over several keys
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = broadcast_if_small(merged.select("*", salts.alias("salt")))
     return (
-        rooted.join(merged, "root", "left")
+        rooted.withColumn("salt", F.pmod(F.hash("fp"), F.lit(SALTS)))
+        .join(salted, ["root", "salt"], "left")
         .select("fp", "root", F.when(F.col("members").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("members", "n").alias("members"))
     )
 
@@ -171,7 +168,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     """
     rows = stable_copy(with_fingerprint(df.select(F.col(id_column).alias("id"), F.col(text).alias("text")), keep=["id"]))
     hexes = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(classes(rows, "id"), "fp", "left").select(F.col("id").alias(id_column), hexes.alias("fingerprint"), "component_id")
+    return rows.join(classes(rows, "id", radius), "fp", "left").select(F.col("id").alias(id_column), hexes.alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -181,7 +178,7 @@ def drop_near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "
     """
     fp, keeper, group, rank = fresh(df, "_fp", "_keeper", "_group", "_double")
     rows = stable_copy(with_fingerprint(df.select(F.col(id_column).alias("id"), F.col(text).alias("text")), keep=["id"]))
-    groups = stable_copy(classes(rows, "id").where("members > 1"))
+    groups = stable_copy(classes(rows, "id", radius).where("members > 1"))
     few = broadcast_if_small(groups.select(F.col("fp").alias(fp), F.col("component_id").alias(keeper), F.col("root").alias(group)))
     marked = with_fingerprint(df, text, fp).join(few, fp, "left")
     heads = marked.where(F.col(group).isNull() | F.col(id_column).eqNullSafe(F.col(keeper)))

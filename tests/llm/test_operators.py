@@ -366,6 +366,12 @@ def test_links_through_large_buckets(spark):
         assert {frozenset(v for v in values if root(v) == r) for r in set(map(root, values))} == set(want.values())
 
 
+def test_radius_is_handed_on(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 0b11), (3, 0b111111), (4, 1 << 40)], "id long, fp long")
+    for radius, want in ((0, {1, 2, 3, 4}), (2, {1, 3}), (4, {1})):
+        assert {r["component_id"] for r in simhash.classes(rows, "id", radius).collect()} == want
+
+
 def test_masks_cover_every_pair_in_the_radius():
     rnd = random.Random(7)
     masks = simhash.covering_masks(list(range(64)), 4, seed=101)
