@@ -150,7 +150,7 @@ def two_nearest(px: DataFrame, frames: DataFrame, margin: int = 10, block: int =
         .withColumn("_away", F.abs(F.col("y") - F.col("_by") * block - block // 2))
         .drop("from_x", "to_x")
     )
-    placed = sorted_by_block(sent, ["image_id", "_by", "_bx", "inst_id"], ["_away"])
+    placed = sorted_by_block(sent, ["image_id", "_by", "_bx"], ["inst_id", "_away"])  # all instances of a block meet in its task
     return placed.mapInPandas(_two_nearest(block), "image_id int, x int, y int, d1 bigint, d2 bigint")
 
 

@@ -266,6 +266,26 @@ def test_two_nearest(spark, block):
     assert got == {k: (sorted(v)[0], sorted(v)[1] if len(v) > 1 else -1) for k, v in want.items()}
 
 
+def test_two_nearest_over_many_partitions(spark):
+    """The instances of a block meet in one task also when partitions are not put together."""
+    rows = [(1, 4 * j + i, 8 * i + x, 8 * j + y) for i in range(4) for j in range(4) for x in range(3) for y in range(3)]
+    px = spark.createDataFrame(rows, "image_id int, inst_id long, x int, y int")
+    frames = spark.createDataFrame([(1, 32, 32)], "image_id int, w int, h int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = neighbours.two_nearest(px, frames, 4, 16).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = collections.defaultdict(list)
+    for i, j in [(i, j) for i in range(4) for j in range(4)]:
+        for x in range(max(8 * i - 4, 0), min(8 * i + 6, 31) + 1):
+            for y in range(max(8 * j - 4, 0), min(8 * j + 6, 31) + 1):
+                away = lambda v, lo: max(lo - v, v - lo - 2, 0) ** 2
+                want[x, y].append(away(x, 8 * i) + away(y, 8 * j))
+    assert len(got) == len(want)
+    assert {(r.x, r.y): (r.d1, r.d2) for r in got} == {k: (sorted(v)[0], sorted(v)[1] if len(v) > 1 else -1) for k, v in want.items()}
+
+
 def test_envelope_is_brute_force(monkeypatch):
     rnd = np.random.default_rng(2)
     for n in (1, 5, 300):
