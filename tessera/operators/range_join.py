@@ -76,7 +76,8 @@ def box_pairs(
     if split_crowded:
         lhs, rhs = _salted(lhs, rhs, keys)
         keys = [*keys, "_salt"]
-    pairs = lhs.join(rhs, keys)
+    # cells multiply rows behind the exchange whose size the planner sees, so it must not broadcast either side
+    pairs = lhs.join(rhs.hint("merge"), keys)
     lx0, ly0, lx1, ly1 = (F.col(b) for b in lbox)
     rx0, ry0, rx1, ry1 = (F.col(b) for b in rbox)
     meets = (lx0 <= rx1) & (lx1 >= rx0) & (ly0 <= ry1) & (ly1 >= ry0)

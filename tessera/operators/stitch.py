@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box
 from tessera.operators.range_join import box_pairs
+from tessera.session import small_enough, stable_copy
 
 
 def check_layout(pitch: int, margin: int) -> None:
@@ -108,7 +109,9 @@ def evicted(kept: DataFrame, tiles: DataFrame, margin: int = 64, cell: int = 102
 def stitch(detections: DataFrame, tiles: DataFrame, margin: int = 64) -> DataFrame:
     """Stitch against any tile layout: drop rules, then a binned range anti join with the cross lines."""
     kept = kept_in_tile(detections, margin)
-    return with_uid(kept.join(evicted(kept, tiles, margin), DETECTION, "left_anti"))
+    gone = stable_copy(evicted(kept, tiles, margin))
+    gone = F.broadcast(gone) if small_enough(gone) else gone.hint("merge")
+    return with_uid(kept.join(gone, DETECTION, "left_anti"))
 
 
 def meets_cross_line(pitch: int, margin: int) -> Column:

@@ -80,6 +80,17 @@ def test_eviction_routes_agree_on_dense_boxes(spark):
     assert a.exceptAll(b).count() == 0
 
 
+def test_nothing_sized_before_an_explode_is_broadcast(spark, monkeypatch):
+    """Neither side of a range join goes through the driver, however small its exchange; evicted keys only when counted small."""
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    evicted = st.evicted(st.kept_in_tile(fx["fx_det"]), fx["fx_tiles"])
+    joins = [line for line in evicted._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_cx" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
+    few = {tuple(r) for r in st.stitch(fx["fx_det"], fx["fx_tiles"]).collect()}
+    monkeypatch.setattr(st, "small_enough", lambda df: False)
+    assert {tuple(r) for r in st.stitch(fx["fx_det"], fx["fx_tiles"]).collect()} == few
+
+
 def test_layout_precondition():
     with pytest.raises(ValueError):
         st.check_layout(256, 64)
