@@ -110,3 +110,10 @@ def shard(df: DataFrame, order: list, index: int, size: int) -> DataFrame:
     """Rows ``[(index-1)*size, index*size)`` of the whole ordered list."""
     ranked = numbered(df.withColumn("_all", F.lit(0)), ["_all"], order, "_rn")
     return ranked.where(F.col("_rn").between((index - 1) * size + 1, index * size)).drop("_rn", "_all")
+
+
+def nth_part(df: DataFrame, order: list, index: int, parts: int) -> DataFrame:
+    """Part ``index`` (from 1) of ``parts`` of the whole ordered list; the parts hold every row once, also if they differ by one in size."""
+    rows = df.count()
+    ranked = numbered(df.withColumn("_all", F.lit(0)), ["_all"], order, "_rn")
+    return ranked.where(F.col("_rn").between(rows * (index - 1) // parts + 1, rows * index // parts)).drop("_rn", "_all")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import numbered, running_totals, shard
+from tessera.operators.ranking import nth_part, numbered, running_totals
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.registry import query
 from tessera.sources import listing as ls
@@ -145,8 +145,7 @@ def manifest_big_enough(fx: Fixtures) -> DataFrame:
     "select path from (select path, row_number() over (order by path) rn from fx_files) where rn>(select count(*) from fx_files)/8*2 and rn<=(select count(*) from fx_files)/8*3",
 )
 def shard_of_files(fx: Fixtures) -> DataFrame:
-    files = fx["fx_files"].select("path")
-    return shard(files, ["path"], index=3, size=files.count() // 8)
+    return nth_part(fx["fx_files"].select("path"), ["path"], index=3, parts=8)
 
 
 @query(

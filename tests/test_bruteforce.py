@@ -266,6 +266,13 @@ def test_two_nearest(spark, block):
     assert got == {k: (sorted(v)[0], sorted(v)[1] if len(v) > 1 else -1) for k, v in want.items()}
 
 
+def test_parts_hold_every_row_once(spark):
+    for n in (0, 5, 21, 1003):
+        parts = [[r.id for r in ranking.nth_part(spark.range(n), ["id"], i, 8).collect()] for i in range(1, 9)]
+        assert sum((sorted(p) for p in parts), []) == list(range(n))
+        assert max(map(len, parts)) - min(map(len, parts)) <= 1
+
+
 def test_two_nearest_over_many_partitions(spark):
     """The instances of a block meet in one task also when partitions are not put together."""
     rows = [(1, 4 * j + i, 8 * i + x, 8 * j + y) for i in range(4) for j in range(4) for x in range(3) for y in range(3)]
