@@ -152,6 +152,20 @@ def test_box_tree_skips_files(spark, fx, tmp_path, monkeypatch):
     assert box_tree.read_regions(spark, path, regions).count() > 0
 
 
+def test_packed_store_has_no_folder_per_slide(spark, fx, tmp_path):
+    rows = instances(fx)
+    store.write_packed(rows, str(tmp_path), rows_per_file=500)
+    box_tree.build(spark, str(tmp_path))
+    assert not [p for p in (tmp_path / "instances").iterdir() if p.is_dir()]
+    regions = spark.createDataFrame([(1, 500, 500, 2500, 2500), (3, 0, 0, 900, 900), (77, 0, 0, 9, 9)], "slide_id int, x_min int, y_min int, x_max int, y_max int")
+    for tasks in (None, ["Nuclei"]):
+        got = sorted(r.inst_uid for r in box_tree.read_regions(spark, str(tmp_path), regions, tasks).collect())
+        near = rows.join(regions.select("slide_id", *[F.col(c).alias("q_" + c) for c in ("x_min", "y_min", "x_max", "y_max")]), "slide_id")
+        near = near.where("x_max >= q_x_min and x_min <= q_x_max and y_max >= q_y_min and y_min <= q_y_max")
+        near = near.where(F.col("task").isin(tasks)) if tasks else near
+        assert got and got == sorted(r.inst_uid for r in near.collect())
+
+
 def test_listing(spark, tmp_path):
     for name in ("a/one.svs", "a/two.tif", "b/three.tiff", "b/.hidden", "b/four.x.svs"):
         f = tmp_path / name
