@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.boxes import Box, padded
 from tessera.operators.components import component_boxes, label_runs
 from tessera.operators.flood import split_by_markers
-from tessera.operators.runs import covered_by_all, depths, gaps, merge_runs, to_pixels, to_runs
+from tessera.operators.runs import covered_by_all, depths, gaps, merge_runs, to_pixels, to_runs, with_frames
 from tessera.session import stable_copy
 
 Element = list[tuple[int, int, int]]
@@ -123,7 +123,7 @@ def fill_holes(runs: DataFrame, keys: list[str]) -> DataFrame:
 def fill_small_holes(runs: DataFrame, keys: list[str], frames: DataFrame, limit: int) -> DataFrame:
     """Set every unset component of the frame with fewer than ``limit`` pixels, border parts included."""
     runs = stable_copy(runs.select(*keys, "y", "x0", "x1"))
-    sized = runs.join(frames, keys)
+    sized = with_frames(runs, frames, keys)
     some = gaps(sized, keys, F.lit(0), F.col("w") - 1)
     rows = frames.select(*keys, "w", "h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
     blank = rows.join(runs.select(*keys, "y").distinct(), [*keys, "y"], "left_anti").select(
@@ -148,7 +148,7 @@ def refine_tissue(px: DataFrame, frames: DataFrame, radius: int = 3, limit: int
     runs = erode(to_runs(px, keys), keys, element)
     runs = fill_small_holes(runs, keys, frames, limit)
     runs = drop_small_components(runs, keys, limit)
-    runs = dilate(runs.join(frames, keys), keys, element, framed=True)
+    runs = dilate(with_frames(runs, frames, keys), keys, element, framed=True)
     runs = fill_small_holes(runs, keys, frames, limit)
     return to_pixels(fill_holes(runs, keys), keys)
 
@@ -163,7 +163,7 @@ def grow_instances(px: DataFrame, frames: DataFrame, size: int, limit: int) -> D
     labelled = label_runs(to_runs(px, ["image_id"]), ["image_id"])
     boxes = component_boxes(labelled, ["image_id"]).where(F.col("area") >= limit)
     crop = padded(Box.of(), 2 * size, F.col("w"), F.col("h"))
-    crops = boxes.join(frames, "image_id").select(
+    crops = with_frames(boxes, frames, ["image_id"]).select(
         *keys, crop.x0.alias("cx0"), crop.y0.alias("cy0"), crop.x1.alias("cx1"), crop.y1.alias("cy1")
     )
     grown = dilate(labelled.join(crops.select(*keys), keys, "left_semi"), keys, ellipse(size)).join(crops, keys)
@@ -180,7 +180,7 @@ def nuclei_from_heads(scores: DataFrame, frames: DataFrame) -> DataFrame:
     ``scores(image_id, x, y, inner, ring)``.  Returns ``image_id, x, y, marker``.
     """
     keys = ["image_id"]
-    fg = to_runs(scores.where(F.col("inner") + F.col("ring") > 0.5), keys).join(frames, keys)
+    fg = with_frames(to_runs(scores.where(F.col("inner") + F.col("ring") > 0.5), keys), frames, keys)
     mask = drop_small_components(erode(fg, keys, ellipse(3), framed=True), keys, 8)
     seeds = fill_holes(drop_small_components(to_runs(scores.where(F.col("inner") > 0.5), keys), keys, 4), keys)
     markers = to_pixels(label_runs(seeds, keys), ["image_id", "comp"]).withColumnRenamed("comp", "marker")
@@ -193,8 +193,8 @@ def nuclei_from_heads(scores: DataFrame, frames: DataFrame) -> DataFrame:
 def eroded_targets(px: DataFrame, frames: DataFrame, size: int) -> DataFrame:
     """Inner map: pixels left after eroding each instance."""
     keys = ["image_id", "inst_id"]
-    inner = erode(to_runs(px, keys).join(frames, "image_id"), keys, ellipse(size), framed=True)
-    return to_pixels(inner, keys).select("image_id", "x", "y").distinct().withColumn("value", F.lit(1))
+    inner = erode(with_frames(to_runs(px, keys), frames, ["image_id"]), keys, ellipse(size), framed=True)
+    return to_pixels(merge_runs(inner.drop("inst_id"), ["image_id"]), ["image_id"]).select("image_id", "x", "y").withColumn("value", F.lit(1))
 
 
 def contour_targets(px: DataFrame, frames: DataFrame, size: int) -> DataFrame:
@@ -203,14 +203,21 @@ def contour_targets(px: DataFrame, frames: DataFrame, size: int) -> DataFrame:
     Pixels with neither are background and not listed; ``background`` is 1 - (inner + ring).
     """
     keys = ["image_id", "inst_id"]
-    runs = to_runs(px, keys).join(frames, "image_id")
+    runs = with_frames(to_runs(px, keys), frames, ["image_id"])
     both = erode(runs, keys, ellipse(size), framed=True).unionByName(dilate(runs, keys, ellipse(size), framed=True))
     # an instance's inner part lies in its grown part: two layers deep is inner, one is ring
     layers = depths(both, keys).select(*keys, "y", "x0", "x1", "depth")
-    flags = to_pixels(layers, ["image_id", "depth"]).groupBy("image_id", "x", "y").agg(
-        F.max((F.col("depth") == 2).cast("int")).alias("i"), F.max((F.col("depth") == 1).cast("int")).alias("r")
+    edge = lambda x, d: F.struct(x.alias("x"), *[(F.lit(d) * (F.col("depth") == k).cast("int")).alias(n) for n, k in (("i", 2), ("r", 1))])
+    events = (
+        layers.select("image_id", "y", F.explode(F.array(edge(F.col("x0"), 1), edge(F.col("x1") + 1, -1))).alias("e"))
+        .groupBy("image_id", "y", F.col("e.x").alias("x"))
+        .agg(F.sum("e.i").alias("i"), F.sum("e.r").alias("r"))
     )
-    return flags.select(
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    upto = row.rowsBetween(Window.unboundedPreceding, 0)
+    there = lambda c: (F.sum(c).over(upto) > 0).cast("int").alias(c)
+    flags = events.select("image_id", "y", F.col("x").alias("x0"), (F.lead("x").over(row) - 1).alias("x1"), there("i"), there("r"))
+    return to_pixels(flags.where("i + r > 0"), ["image_id", "i", "r"]).select(
         "image_id", "x", "y", (F.col("i") + 2 * F.col("r")).alias("value"), (1 - F.col("i") - F.col("r")).alias("background")
     )
 

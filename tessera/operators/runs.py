@@ -15,6 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import small_enough, stable_copy
+
+
+def with_frames(rows: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``frames(keys, ...)``.
+
+    A join that is shuffled would deal rows, and all windows behind it, by image alone, so frames are broadcast unless
+    there are too many of them.
+    """
+    frames = stable_copy(frames)
+    return rows.join(F.broadcast(frames) if small_enough(frames) else frames, keys)
+
 
 def to_runs(px: DataFrame, keys: list[str]) -> DataFrame:
     """Maximal runs of the (distinct) pixels of each key."""

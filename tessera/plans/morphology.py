@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import components as cc
 from tessera.operators import morphology as mo
 from tessera.operators.flood import split_by_markers
-from tessera.operators.runs import to_pixels, to_runs
+from tessera.operators.runs import to_pixels, to_runs, with_frames
 from tessera.plans.fixtures import Fixtures
 from tessera.plans.registry import query
 
@@ -89,7 +89,7 @@ DISK3 = "el as (select a.k i, b.k j from (select unnest(range(-3,4)) k) a join (
     f"with {DISK3} select distinct image_id, cast(x+i as int) x, cast(y+j as int) y from fx_blob join el on x+i between 0 and 63 and y+j between 0 and 63",
 )
 def dilate_disk(fx: Fixtures) -> DataFrame:
-    runs = to_runs(fx["fx_blob"], IMAGE).join(blob_frames(fx), "image_id")
+    runs = with_frames(to_runs(fx["fx_blob"], IMAGE), blob_frames(fx), IMAGE)
     return to_pixels(mo.dilate(runs, IMAGE, mo.disk(3), framed=True), IMAGE)
 
 
@@ -100,7 +100,7 @@ select f.image_id, f.x, f.y from fr f join el on true left join fr n on n.image_
 where f.x+i between 0 and 63 and f.y+j between 0 and 63 group by f.image_id, f.x, f.y having count(*)=count(n.x)""",
 )
 def erode_ellipse(fx: Fixtures) -> DataFrame:
-    runs = to_runs(dilated(fx), IMAGE).join(blob_frames(fx), "image_id")
+    runs = with_frames(to_runs(dilated(fx), IMAGE), blob_frames(fx), IMAGE)
     return to_pixels(mo.erode(runs, IMAGE, mo.ellipse(3), framed=True), IMAGE)
 
 
