@@ -48,3 +48,32 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[t
         held.append(columns)
     if held:
         yield held_key, {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+
+def many_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """(columns, first row of each group) for whole groups together, as soon as they have ``rows`` rows; rows of a key are bounded."""
+    n = 0
+    parts: list[dict[str, np.ndarray]] = []
+    for pdf in batches:
+        if len(pdf):
+            parts.append({c: pdf[c].to_numpy() for c in pdf.columns})
+            n += len(pdf)
+        if n < rows:
+            continue
+        held, fresh = _joined(parts, keys)
+        last = np.flatnonzero(fresh)[-1]  # the last group may go on
+        if last:
+            yield {c: v[:last] for c, v in held.items()}, np.flatnonzero(fresh[:last])
+        parts, n = [{c: v[last:] for c, v in held.items()}], n - int(last)
+    if n:
+        held, fresh = _joined(parts, keys)
+        yield held, np.flatnonzero(fresh)
+
+
+def _joined(parts: list[dict[str, np.ndarray]], keys: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    held = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    fresh = np.zeros(len(held[keys[0]]), bool)
+    fresh[0] = True
+    for k in keys:
+        fresh[1:] |= held[k][1:] != held[k][:-1]
+    return held, fresh

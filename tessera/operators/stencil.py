@@ -1,7 +1,7 @@
 """Windows over the pixels of a raster, block by block.
 
-Every pixel goes to its 256 x 256 block and, near a border, to the neighbours that need it as halo; a task lays a block
-out as arrays and applies a kernel to all of it.  One shuffle, however large the window, and a pixel that is
+Every pixel goes to its 256 x 256 block and, near a border, to the neighbours that need it as halo; a task lays a block,
+or many small ones below each other, out as arrays and applies a kernel to all of it.  One shuffle, however large the window, and a pixel that is
 missing is a hole in the array, it does not move the pixels next to it.  A row of the input is a pixel; other
 columns are carried along.
 """
@@ -17,45 +17,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.blocks import block_of, groups, sorted_by_block
+from tessera.operators.blocks import block_of, many_groups, sorted_by_block
 from tessera.session import small_enough
 
 SIZE = 256
 _AT_ONCE = 2_000_000  # window values held at a time
+_ROWS = 100_000  # rows of small blocks that are worked on together
+_CELLS = 1_000_000  # and the cells of the array they are laid out in
 
 # (channels of a block with its halo, which pixels are there, radius) -> results for the block's own pixels
 Kernel = Callable[[list[np.ndarray], np.ndarray, int], list[np.ndarray]]
 
 
+def _strips(cell: dict[str, np.ndarray], starts: np.ndarray, radius: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks that are laid below each other in one array: (block of each row, its own pixels, top, left, high, wide, blocks).
+
+    A strip holds a block's own pixels and its halo.  Strips of similar width go together, up to ``_CELLS`` cells.
+    """
+    block = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(cell["x"])]))
+    y, x = cell["y"].astype(np.int64), cell["x"].astype(np.int64)
+    own = (y // size == cell["_by"]) & (x // size == cell["_bx"])
+    far = np.iinfo(np.int64).max
+    low = lambda v: np.minimum.reduceat(np.where(own, v, far), starts)
+    high_of = lambda v: np.maximum.reduceat(np.where(own, v, -far), starts)
+    some = np.logical_or.reduceat(own, starts)
+    top, left = np.where(some, low(y), 0) - radius, np.where(some, low(x), 0) - radius
+    high = np.where(some, high_of(y), 0) + radius + 1 - top
+    wide = np.where(some, high_of(x), 0) + radius + 1 - left
+    kind = np.ceil(np.log2(wide)).astype(np.int64)
+    for k in np.unique(kind[some]):
+        these = np.flatnonzero(some & (kind == k))
+        part = np.cumsum(high[these] * wide[these]) // _CELLS
+        for p in np.unique(part):
+            yield block, own, top, left, high, wide, these[part == p]
+
+
 def _run(channels: list[str], radius: int, kernel: Kernel, made: list[str], replicate: bool, size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, by, bx), cell in groups(batches, ["image_id", "_by", "_bx"]):
-            y, x = cell["y"].astype(np.int64), cell["x"].astype(np.int64)
-            own = (y // size == by) & (x // size == bx)
-            if not own.any():
-                continue
-            # the arrays span the block's own pixels and the halo
-            top, left = int(y[own].min()) - radius, int(x[own].min()) - radius
-            high, wide = int(y[own].max()) + radius + 1 - top, int(x[own].max()) + radius + 1 - left
-            row, column = y - top, x - left
-            near = (row >= 0) & (row < high) & (column >= 0) & (column < wide)
+    def done(cell: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        for block, own, top, left, high, wide, chosen in _strips(cell, starts, radius, size):
+            below = np.cumsum(high[chosen]) - high[chosen]  # first line of each strip
+            shape = int(high[chosen].sum()), int(wide[chosen].max())
+            strip = np.full(len(starts), -1)
+            strip[chosen] = np.arange(len(chosen))
+            mine = np.flatnonzero(strip[block] >= 0)
+            of = block[mine]
+            row, column = cell["y"][mine].astype(np.int64) - top[of], cell["x"][mine].astype(np.int64) - left[of]
+            near = (row >= 0) & (row < high[of]) & (column >= 0) & (column < wide[of])
+            row += below[strip[of]]
             at = row[near], column[near]
-            there = np.zeros((high, wide), bool)
+            there = np.zeros(shape, bool)
             there[at] = True
             grids = []
             for c in channels:
-                grid = np.zeros((high, wide), cell[c].dtype)
-                grid[at] = cell[c][near]
+                grid = np.zeros(shape, cell[c].dtype)
+                grid[at] = cell[c][mine][near]
                 grids.append(grid)
             if replicate:  # beyond the frame the nearest pixel of the frame repeats
-                lines = [(top, high, cell["_frame_h"][0]), (left, wide, cell["_frame_w"][0])]
-                pick = np.ix_(*[np.clip(np.arange(start, start + n), 0, int(end) - 1) - start for start, n, end in lines])
-                there, grids = there[pick], [g[pick] for g in grids]
+                line = np.repeat(chosen, high[chosen])
+                first = np.repeat(below, high[chosen])
+                end = [cell[c][starts].astype(np.int64) for c in ("_frame_h", "_frame_w")]
+                down = np.clip(np.arange(shape[0]) - first + top[line], 0, end[0][line] - 1) - top[line] + first
+                across = np.clip(left[line, None] + np.minimum(np.arange(shape[1]), wide[line, None] - 1), 0, end[1][line, None] - 1) - left[line, None]
+                there, grids = there[down[:, None], across], [g[down[:, None], across] for g in grids]
             results = kernel(grids, there, radius)
-            out = {c: v[own] for c, v in cell.items() if c not in ("_by", "_bx", "_frame_w", "_frame_h")}
-            at = row[own] - radius, column[own] - radius
+            kept = own[mine]
+            out = {c: v[mine][kept] for c, v in cell.items() if c not in ("_by", "_bx", "_frame_w", "_frame_h")}
+            at = row[kept] - radius, column[kept] - radius
             yield pd.DataFrame(out | {name: r[at] for name, r in zip(made, results, strict=True)})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell, starts in many_groups(batches, ["image_id", "_by", "_bx"], _ROWS):
+            yield from done(cell, starts)
+
     return run
 
 

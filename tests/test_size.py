@@ -1,9 +1,11 @@
 """Work that has to be spread, packed or done for many small images at once."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import morphology as mo
+from tessera.operators import stencil
 
 
 @pytest.fixture
@@ -22,3 +24,19 @@ def test_targets_of_one_image_are_made_in_several_tasks(plain, code):
     made = mo.target_map(code, px, frames)
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     assert made.count() == made.select("image_id", "x", "y").distinct().count()
+
+
+def test_small_images_share_a_kernel_call():
+    rows = [(i, 0, 0, x, y, i + x * y) for i in range(300) for y in range(4) for x in range(3 + i % 3)]
+    whole = pd.DataFrame(rows, columns=["image_id", "_by", "_bx", "x", "y", "v"])
+    calls = []
+
+    def kernel(grids, there, radius):
+        calls.append(there.shape)
+        return stencil.binomial(grids, there, radius)
+
+    run = stencil._run(["v"], 1, kernel, ["b"], False, 256)
+    got = pd.concat(run(iter([whole[:1000], whole[1000:]])))
+    assert len(got) == len(rows) and len(calls) < 10
+    alone = pd.concat(pd.concat(run(iter([part]))) for _, part in whole.groupby("image_id"))
+    assert sorted(map(tuple, got[["image_id", "x", "y", "b"]].to_numpy())) == sorted(map(tuple, alone[["image_id", "x", "y", "b"]].to_numpy()))
