@@ -29,7 +29,9 @@ def features(instances: DataFrame, digits: int | None = None) -> DataFrame:
     """
     task = F.initcap("task")
     kept = instances.withColumn("task", task).where(F.col("task").isin(EXPORTED_TASKS) & (F.size("contour") >= 3))
-    ring = close_ring(move_points(F.col("contour"), F.col("scale")))
+    # as a column of its own the moved contour is made once, not once for every mention of it in close_ring
+    kept = kept.withColumn("_moved", move_points(F.col("contour"), F.col("scale")))
+    ring = close_ring(F.col("_moved"))
     place = (lambda v: v) if digits is None else (lambda v: F.round(v, digits))
     points = F.transform("ring", lambda p: F.array(place(p["x"]), place(p["y"])))
     feature = F.struct(
@@ -40,7 +42,7 @@ def features(instances: DataFrame, digits: int | None = None) -> DataFrame:
             F.struct(F.col("task").alias("name"), feature_colour(F.col("task")).alias("color")).alias("classification"),
         ).alias("properties"),
     )
-    return kept.withColumn("ring", ring).withColumn("feature", F.to_json(feature))
+    return kept.withColumn("ring", ring).drop("_moved").withColumn("feature", F.to_json(feature))
 
 
 def in_parts(rows: DataFrame, order: list, size: int = PART_SIZE) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import morphology as mo
 from tessera.operators import stencil
+from tessera.sources import exports
 
 
 @pytest.fixture
@@ -40,3 +41,10 @@ def test_small_images_share_a_kernel_call():
     assert len(got) == len(rows) and len(calls) < 10
     alone = pd.concat(pd.concat(run(iter([part]))) for _, part in whole.groupby("image_id"))
     assert sorted(map(tuple, got[["image_id", "x", "y", "b"]].to_numpy())) == sorted(map(tuple, alone[["image_id", "x", "y", "b"]].to_numpy()))
+
+
+def test_contours_are_moved_once(spark):
+    rows = spark.sql("select 1 slide_id, 'Gland' task, 2.0d scale, transform(sequence(1, id), i -> struct(cast(i * i as int) as x, cast(i as int) as y)) contour from range(3, 9)")
+    made = exports.features(rows)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("* scale") <= 2  # x and y
+    assert [(r.ring[0], len(r.ring)) for r in made.limit(1).collect()] == [((2.0, 2.0), 4)]
