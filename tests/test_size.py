@@ -44,7 +44,7 @@ def test_small_images_share_a_kernel_call():
 
 
 def test_contours_are_moved_once(spark):
-    rows = spark.sql("select 1 slide_id, 'Gland' task, 2.0d scale, transform(sequence(1, id), i -> struct(cast(i * i as int) as x, cast(i as int) as y)) contour from range(3, 9)")
+    rows = spark.sql("select 1 slide_id, 'Gland' task, cast(id - 1 as double) scale, transform(sequence(1, id), i -> struct(cast(i * i as int) as x, cast(i as int) as y)) contour from range(3, 9)")
     made = exports.features(rows)
     assert made._jdf.queryExecution().optimizedPlan().toString().count("* scale") <= 2  # x and y
     assert [(r.ring[0], len(r.ring)) for r in made.limit(1).collect()] == [((2.0, 2.0), 4)]
