@@ -215,7 +215,7 @@ def window_read(fx: Fixtures) -> DataFrame:
 
 def _stored(fx: Fixtures, levels: int, x0: Column, y0: Column, w: int, h: int, factor: float) -> DataFrame:
     path = shared_folder(fx.spark, "raster")
-    rs.write_raster(fx["fx_blob"].withColumn("a", F.lit(255)), path, levels)
+    rs.write_packed(fx["fx_blob"].withColumn("a", F.lit(255)), path, levels)
     windows = fx["fx_blob"].select("image_id").distinct().select("image_id", x0.alias("x0"), y0.alias("y0"), F.lit(w).alias("w"), F.lit(h).alias("h"))
     return rs.read_windows(fx.spark, path, windows, factor, levels)
 
