@@ -78,7 +78,11 @@ def iou_pairs(pred: DataFrame, true: DataFrame) -> DataFrame:
 
     Pixels stay where they are; the work follows the runs and the overlap, not predictions x truths.
     """
-    runs = runs_of_both(pred, true)
+    return iou_of_runs(runs_of_both(pred, true))
+
+
+def iou_of_runs(runs: DataFrame) -> DataFrame:
+    """``iou_pairs`` of maps that are ``runs_of_both`` already."""
     iou = F.col("inter").cast("double") / (F.col("p_area") + F.col("t_area") - F.col("inter"))
     return (
         overlaps(runs)
@@ -95,7 +99,12 @@ def match(pred: DataFrame, true: DataFrame, threshold: float = 0.5) -> DataFrame
     whole matching.  Below, rounds of mutual-best pairs give the greedy result: the best remaining
     pair is always mutual, so every round settles at least one pair and the loop ends.
     """
-    pairs = iou_pairs(pred, true).where(F.col("iou") > threshold)
+    return match_runs(runs_of_both(pred, true), threshold)
+
+
+def match_runs(runs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``match`` of maps that are ``runs_of_both`` already."""
+    pairs = iou_of_runs(runs).where(F.col("iou") > threshold)
     return pairs if threshold >= 0.5 else mutual_best(pairs)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.instances import dominant_class
-from tessera.operators.matching import match, overlaps, runs_of_both
+from tessera.operators.matching import match_runs, overlaps, runs_of_both
 
 CELL = ["image_id", "cls"]
 
@@ -41,10 +41,12 @@ def dice(pred: DataFrame, true: DataFrame, images: DataFrame) -> DataFrame:
 
 def match_counts(pred: DataFrame, true: DataFrame, threshold: float = 0.5) -> DataFrame:
     """tp, fp, fn and summed IoU per image and class."""
-    number = lambda px, name: px.where("cls <> 0").select(*CELL, "inst_id").distinct().groupBy(*CELL).agg(F.count("*").alias(name))
-    hits = match(pred, true, threshold).groupBy(*CELL).agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum"))
+    runs = runs_of_both(pred, true)  # pixels are read once
+    number = lambda side, name: F.count_if(F.col("true") == side).alias(name)
+    both = runs.where("cls <> 0").select("true", *CELL, "inst_id").distinct().groupBy(*CELL).agg(number(0, "n_pred"), number(1, "n_true"))
+    hits = match_runs(runs, threshold).groupBy(*CELL).agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    joined = number(pred, "n_pred").join(number(true, "n_true"), CELL, "full").join(hits, CELL, "left")
+    joined = both.join(hits, CELL, "left")
     tp = zero("tp")
     return joined.select(
         *CELL,

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators.range_join import box_pairs
 from tessera.operators.tiling import tile_sets
+from tessera.session import parts_for
 
 VIEWS: dict[str, str] = {
     # one slide per supplier
@@ -119,7 +120,16 @@ def _detections(fx: "Fixtures") -> DataFrame:
     )
 
 
-BUILDERS = {"fx_tiles": _tiles, "fx_det": _detections}
+CELLS_A_PART = 20_000  # cells that a task turns into pixels, some 60 each
+
+
+def _cells(fx: "Fixtures") -> DataFrame:
+    """A few megabytes of parts are read by a task or two, so cells are dealt out before they become pixels."""
+    n = parts_for(fx["part"], CELLS_A_PART)
+    return fx.made("fx_cells").repartition(n, "inst_id")
+
+
+BUILDERS = {"fx_tiles": _tiles, "fx_det": _detections, "fx_cells": _cells}
 
 
 class Fixtures:
@@ -137,10 +147,14 @@ class Fixtures:
             elif name in BUILDERS:
                 self._made[name] = BUILDERS[name](self)
             else:
-                text = _text(name, "spark", self.views)
-                self._made[name] = self.spark.sql(text, **{n: self[n] for n in set(_NAME.findall(text))})
+                self._made[name] = self.made(name)
         return self._made[name]
 
+    def made(self, name: str) -> DataFrame:
+        """The view by its text."""
+        text = _text(name, "spark", self.views)
+        return self.spark.sql(text, **{n: self[n] for n in set(_NAME.findall(text))})
+
 
 def with_views(sql: str, views: dict[str, str] = VIEWS) -> str:
     """Prefix oracle text with the views it names, dependencies first."""

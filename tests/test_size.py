@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import morphology as mo
+from tessera.operators import segmentation_scores as ss
 from tessera.operators import stencil
 from tessera.operators.pruning import attach_slide_size
 from tessera.operators.stitch import stitch_on_grid
@@ -91,3 +92,24 @@ def test_packed_stitch_writes_a_folder_per_batch(spark, fx, tmp_path):
     got = jobs.latest_stitched(spark, out).select(*want.columns)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     assert all(p.name.startswith(("batch=", "_", ".")) for p in (tmp_path / "out").iterdir())
+
+
+def test_pixels_of_cells_are_made_in_several_tasks(plain, fx):
+    made = fx["fx_true_px"].select(F.spark_partition_id().alias("p"), "image_id", "inst_id").distinct()
+    assert made.select("p").distinct().count() > 1
+    assert made.count() == made.select("image_id", "inst_id").distinct().count()  # a cell stays in one task
+
+
+def test_match_counts_read_pixels_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, 7, 1, x, y) for x in range(4) for y in range(4)]
+    px = spark.createDataFrame(rows, "image_id int, inst_id int, cls int, x int, y int")
+    got = ss.match_counts(px.mapInArrow(seen, px.schema), px.withColumn("inst_id", F.lit(9))).collect()
+    assert [(r.tp, r.fp, r.fn, r.iou_sum) for r in got] == [(1, 0, 0, 1.0)]
+    assert read.value == len(rows)
