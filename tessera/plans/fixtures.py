@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators.range_join import box_pairs
 from tessera.operators.tiling import tile_sets
@@ -121,6 +122,7 @@ def _detections(fx: "Fixtures") -> DataFrame:
 
 
 CELLS_A_PART = 20_000  # cells that a task turns into pixels, some 60 each
+ITEMS_A_PART = 250_000  # line items whose frames a task fills
 
 
 def _cells(fx: "Fixtures") -> DataFrame:
@@ -129,7 +131,22 @@ def _cells(fx: "Fixtures") -> DataFrame:
     return fx.made("fx_cells").repartition(n, "inst_id")
 
 
-BUILDERS = {"fx_tiles": _tiles, "fx_det": _detections, "fx_cells": _cells}
+def _blob(fx: "Fixtures") -> DataFrame:
+    """A frame has 64 x 64 pixels, so line items are dealt by it and what is done within frames needs no other exchange."""
+    items = fx["lineitem"]
+    frame = F.floor(F.col("l_orderkey") / F.lit(512.0)).cast("int")
+    return fx.made("fx_blob", lineitem=items.repartition(parts_for(items, ITEMS_A_PART), frame))
+
+
+def _dil(fx: "Fixtures") -> DataFrame:
+    """The cross as rows of one table instead of five, so that a pixel's frame stays where it is."""
+    cross = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
+    grown = fx["fx_blob"].where("v > 20").select("image_id", "x", "y", F.explode(cross).alias("o"))
+    moved = grown.select("image_id", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"))
+    return moved.where("x between 0 and 63 and y between 0 and 63").distinct()
+
+
+BUILDERS = {"fx_tiles": _tiles, "fx_det": _detections, "fx_cells": _cells, "fx_blob": _blob, "fx_dil": _dil}
 
 
 class Fixtures:
@@ -150,10 +167,10 @@ class Fixtures:
                 self._made[name] = self.made(name)
         return self._made[name]
 
-    def made(self, name: str) -> DataFrame:
-        """The view by its text."""
+    def made(self, name: str, **tables: DataFrame) -> DataFrame:
+        """The view by its text, from ``tables`` where given."""
         text = _text(name, "spark", self.views)
-        return self.spark.sql(text, **{n: self[n] for n in set(_NAME.findall(text))})
+        return self.spark.sql(text, **{n: tables[n] if n in tables else self[n] for n in set(_NAME.findall(text))})
 
 
 def with_views(sql: str, views: dict[str, str] = VIEWS) -> str:

@@ -8,6 +8,7 @@ from tessera.operators import morphology as mo
 from tessera.operators import segmentation_scores as ss
 from tessera.operators import stencil
 from tessera.operators.pruning import attach_slide_size
+from tessera.operators.runs import to_runs
 from tessera.operators.stitch import stitch_on_grid
 from tessera.operators.tiling import tile_pitch
 from tessera.session import ship_package
@@ -113,3 +114,13 @@ def test_match_counts_read_pixels_once(spark):
     got = ss.match_counts(px.mapInArrow(seen, px.schema), px.withColumn("inst_id", F.lit(9))).collect()
     assert [(r.tp, r.fp, r.fn, r.iou_sum) for r in got] == [(1, 0, 0, 1.0)]
     assert read.value == len(rows)
+
+
+def test_frames_need_one_exchange(plain, fx):
+    """An aggregate, the cross and the runs of a frame are made where its line items were dealt to."""
+    made = to_runs(fx["fx_dil"], ["image_id"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    text = fx.made("fx_dil")
+    assert fx["fx_dil"].count() == text.count() and fx["fx_dil"].exceptAll(text).count() == 0
+    assert fx["fx_blob"].exceptAll(fx.made("fx_blob")).count() == 0 and fx["fx_dil"].dtypes == text.dtypes
