@@ -19,10 +19,13 @@ def _steps(count: Column) -> Column:
     return F.when(count >= 1, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+BAND = 16  # neighbouring columns of a grid that are made in one task, so that what overlaps is summed there
+
+
 def lattice(df: DataFrame, cols: Column, rows: Column, keep: list[str]) -> DataFrame:
     """One row per (c, r) cell of a per-row lattice."""
     columns = df.select(*keep, rows.alias("_rows"), F.explode(_steps(cols)).alias("c"))
-    spread = columns.repartition(shuffle_width(df.sparkSession), keep[0], "c")
+    spread = columns.repartition(shuffle_width(df.sparkSession), keep[0], F.floor(F.col("c") / F.lit(float(BAND))))
     return spread.select(*keep, "c", F.explode(_steps(F.col("_rows"))).alias("r"))
 
 

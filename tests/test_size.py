@@ -10,7 +10,7 @@ from tessera.operators import stencil
 from tessera.operators.pruning import attach_slide_size
 from tessera.operators.runs import to_runs
 from tessera.operators.stitch import stitch_on_grid
-from tessera.operators.tiling import tile_pitch
+from tessera.operators.tiling import centred_patches, tile_pitch
 from tessera.session import ship_package
 from tessera.sources import exports, raster_store
 from tessera.streaming import jobs
@@ -124,3 +124,19 @@ def test_frames_need_one_exchange(plain, fx):
     text = fx.made("fx_dil")
     assert fx["fx_dil"].count() == text.count() and fx["fx_dil"].exceptAll(text).count() == 0
     assert fx["fx_blob"].exceptAll(fx.made("fx_blob")).count() == 0 and fx["fx_dil"].dtypes == text.dtypes
+
+
+def test_overlapping_patches_are_summed_where_they_are_made(plain):
+    slide = plain.createDataFrame([(1, 144 * 320, 144 * 4)], "slide_id int, proc_w int, proc_h int")
+    made = centred_patches(slide).select("c", "r", F.spark_partition_id().alias("p"))
+    assert made.count() == made.select("c", "r").distinct().count() == 320 * 4
+    assert made.select("p").distinct().count() > 1  # one slide is still made by many tasks
+    at = {r.c: r.p for r in made.collect()}
+    assert sum(at[c] != at[c + 1] for c in range(319)) <= 19  # neighbours part at the end of a band only
+
+
+def test_documents_are_cut_without_a_join(plain):
+    rows = plain.range(950).select((F.col("id") % 2).alias("slide_id"), F.col("id").alias("seq"), F.lit("{}").alias("element"))
+    made = exports.viewer_documents(rows, "a", 100)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.slide_id, r.part, r.elements) for r in made.collect()) == [(s, p, 100 if p < 5 else 75) for s in (0, 1) for p in range(1, 6)]
