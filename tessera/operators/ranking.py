@@ -98,12 +98,20 @@ def first_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= k).drop("_rn")
 
 
+def _part(size: int) -> Column:
+    return (F.floor((F.col("_rn") - 1) / F.lit(float(size))) + 1).cast("int")
+
+
+def parts_only(df: DataFrame, keys: list[str], order: list, size: int) -> DataFrame:
+    """Add ``part`` (from 1) as ``part_numbers`` does; without their number nothing is counted or joined."""
+    return numbered(df, keys, order, "_rn").withColumn("part", _part(size)).drop("_rn")
+
+
 def part_numbers(df: DataFrame, keys: list[str], order: list, size: int) -> DataFrame:
     """Add ``part`` (from 1) and ``parts``: groups larger than ``size`` are cut into equal-size parts."""
     ranked = numbered(df, keys, order, "_rn")
     counts = ranked.groupBy(*keys).agg(F.ceil(F.max("_rn") / F.lit(float(size))).cast("int").alias("parts"))
-    part = (F.floor((F.col("_rn") - 1) / F.lit(float(size))) + 1).cast("int")
-    return ranked.withColumn("part", part).join(counts, keys).drop("_rn")
+    return ranked.withColumn("part", _part(size)).join(counts, keys).drop("_rn")
 
 
 def shard(df: DataFrame, order: list, index: int, size: int) -> DataFrame:

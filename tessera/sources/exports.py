@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import close_ring, move_points, truncate_points, valid_ring
-from tessera.operators.ranking import part_numbers
+from tessera.operators.ranking import part_numbers, parts_only
 from tessera.sources.styles import feature_colour, with_style
 
 # Exported tasks and the usual part size
@@ -92,7 +92,7 @@ def clean_counts(parsed: DataFrame, by: list[str]) -> DataFrame:
 
 def nested_json(instances: DataFrame, mag: float, record: list[str], size: int = PART_SIZE) -> DataFrame:
     """``{"mag", "instances": {task: {id: record}}}`` per slide part of at most ``size`` instances."""
-    cut = part_numbers(instances, ["slide_id"], ["task", "inst_id"], size)
+    cut = parts_only(instances, ["slide_id"], ["task", "inst_id"], size)
     entry = F.struct(F.col("inst_id").cast("string").alias("key"), F.struct(*record).alias("value"))
     per_task = cut.groupBy("slide_id", "part", "task").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
     tasks = per_task.groupBy("slide_id", "part").agg(
@@ -140,7 +140,7 @@ def viewer_documents(elements: DataFrame, annotator: str = "", size: int = 30_00
     ``elements(slide_id, seq, element)`` come in the order of ``seq``; a slide with more is cut into parts, so
     that no row grows with it.
     """
-    parted = part_numbers(elements.select("slide_id", "seq", "element"), ["slide_id"], ["seq"], size)
+    parted = parts_only(elements.select("slide_id", "seq", "element"), ["slide_id"], ["seq"], size)
     listed = parted.groupBy("slide_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "element"))).alias("e"))
     text = F.array_join(F.transform("e", lambda e: e["element"]), ",")
     head, tail = '{"annotation":{"description":"","elements":[', '],"name":' + json.dumps(annotator) + "}}"
