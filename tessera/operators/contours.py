@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators.blocks import BLOCK, block_of, groups, sorted_by_block
+from tessera.operators.blocks import BLOCK, block_of, many_groups, sorted_by_block
 from tessera.operators.runs import to_runs
 from tessera.session import stable_copy
 from tessera.sources.store import POINT
@@ -53,87 +54,119 @@ def _linked(after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return jump, rank, closed
 
 
-def half_edges(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, rows: tuple[int, int], columns: tuple[int, int]) -> dict[str, np.ndarray]:
-    """Half-edges of the pixels in rows x columns (half open), given the runs of those and of their neighbours.
+def half_edges(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, first: np.ndarray, low: tuple[np.ndarray, np.ndarray], size: int) -> dict[str, np.ndarray]:
+    """Half-edges of the pixels in the blocks from ``low`` (y, x) on, given the runs of those and of their neighbours.
 
-    ``y, x, side`` in the order of their names, ``after`` (place of the next one, -1 if its pixel lies beyond), and its name.
+    ``first`` is each block's first run; every block has a stretch of its own in one array, with an unset margin.
+    ``block, y, x, side`` in the order of their names, ``after`` (place of the next one, -1 if its pixel lies beyond), and its name.
     """
-    top, left = int(y.min()) - 1, int(x0.min()) - 1
-    high, wide = int(y.max()) - top + 2, int(x1.max()) - left + 2
-    change = np.zeros((high, wide), np.int32)
-    np.add.at(change, (y - top, x0 - left), 1)
-    np.add.at(change, (y - top, x1 - left + 1), -1)
-    set_ = change.cumsum(axis=1) > 0
-    inside = np.zeros((high, wide), bool)
-    inside[max(rows[0] - top, 0) : max(rows[1] - top, 0), max(columns[0] - left, 0) : max(columns[1] - left, 0)] = True
-    flat, within = set_.ravel(), inside.ravel()
-    pixel = np.flatnonzero(flat & within)
-    out, on = _OUT @ (wide, 1), _ON @ (wide, 1)
-    k, side = np.nonzero(~flat[pixel[:, None] + out[None, :]])
-    at = pixel[k]
-    ahead = at + on[side]
-    turn = ahead + out[side]
+    block = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(y)]))
+    top, left, high, wide = _extent(y, x0, x1, first)
+    end = np.cumsum(high * wide)
+    base = end - high * wide
+    change = np.zeros(end[-1], np.int32)
+    row = base[block] + (y - top[block]) * wide[block] - left[block]
+    np.add.at(change, row + x0, 1)
+    np.add.at(change, row + x1 + 1, -1)
+    flat = change.cumsum() > 0
+    pixel = np.flatnonzero(flat)
+    of = np.searchsorted(end, pixel, "right")
+    py, px = (pixel - base[of]) // wide[of] + top[of], (pixel - base[of]) % wide[of] + left[of]
+    inside = (py >= low[0][of]) & (py < low[0][of] + size) & (px >= low[1][of]) & (px < low[1][of] + size)
+    within = np.zeros(len(flat), bool)
+    pixel, of, py, px = (v[inside] for v in (pixel, of, py, px))
+    within[pixel] = True
+    out = _OUT[:, 0] * wide[of][:, None] + _OUT[:, 1]
+    k, side = np.nonzero(~flat[pixel[:, None] + out])
+    at, of = pixel[k], of[k]
+    ahead = at + _ON[side, 0] * wide[of] + _ON[side, 1]
+    turn = ahead + out[k, side]
     follow = np.where(flat[turn], turn, np.where(flat[ahead], ahead, at))
     side_after = np.where(flat[turn], side + 3, np.where(flat[ahead], side, side + 1)) % 4
-    name = at * 4 + side
-    place = np.searchsorted(name, follow * 4 + side_after)
+    place = np.searchsorted(at * 4 + side, follow * 4 + side_after)
     after = np.where(within[follow], place, -1)
-    fy, fx = follow // wide + top, follow % wide + left
-    return {
-        "y": at // wide + top,
-        "x": at % wide + left,
-        "side": side,
-        "after": after,
-        "next": ((fy << 30) + fx) * 4 + side_after,
-    }
+    fy, fx = (follow - base[of]) // wide[of] + top[of], (follow - base[of]) % wide[of] + left[of]
+    return {"block": of, "y": py[k], "x": px[k], "side": side, "after": after, "next": ((fy << 30) + fx) * 4 + side_after}
 
 
-def bends(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which points of a closed ring change its direction."""
-    into = np.stack([y - np.roll(y, 1), x - np.roll(x, 1)])
-    return (into != np.roll(into, -1, axis=1)).any(axis=0) if len(y) > 2 else np.ones(len(y), bool)
+def _extent(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(top, left, height, width) of each block's runs with a margin of one pixel."""
+    top, left = np.minimum.reduceat(y, first) - 1, np.minimum.reduceat(x0, first) - 1
+    return top, left, np.maximum.reduceat(y, first) - top + 2, np.maximum.reduceat(x1, first) - left + 2
+
+
+def _bends(y: np.ndarray, x: np.ndarray, heads: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which points of closed rings, one behind the other, change their ring's direction."""
+    before, behind = np.arange(len(y)) - 1, np.arange(len(y)) + 1
+    before[heads], behind[heads + size - 1] = heads + size - 1, heads
+    dy, dx = y - y[before], x - x[before]
+    return (dy != dy[behind]) | (dx != dx[behind]) | (np.repeat(size, size) <= 2)
+
+
+_RUNS, _CELLS = 50_000, 8_000_000  # runs gathered, cells of one array: many small blocks, or one block, at a time
 
 
 def _trace(keys: list[str], size: int, simplify: bool):
-    def points(y: np.ndarray, x: np.ndarray) -> list[dict]:
-        return [{"x": a, "y": b} for a, b in zip(x.tolist(), y.tolist())]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
-        for key, run_ in groups(batches, [*keys, "_by", "_bx"]):
-            by, bx = int(key[-2]), int(key[-1])
-            y, x0, x1 = (run_[c].astype("int64") for c in ("y", "x0", "x1"))
-            edge = half_edges(y, x0, x1, (by * size, by * size + size), (bx * size, bx * size + size))
-            if not len(edge["y"]):
-                continue
-            first, rank, closed = _linked(edge["after"])
-            order = np.lexsort((rank, first))
-            y, x, side = (edge[c][order] for c in ("y", "x", "side"))
-            heads = np.flatnonzero(rank[order] == 0)
-            area = np.add.reduceat(np.where(side == 1, x + 1, np.where(side == 3, -x, 0)), heads)
-            name = ((y << 30) + x) * 4 + side
-            for lo, hi, turned in zip(heads, [*heads[1:], len(y)], area):
-                py, px_ = y[lo:hi], x[lo:hi]
-                stay = np.r_[True, (py[1:] != py[:-1]) | (px_[1:] != px_[:-1])]
-                row = dict(zip(keys, key)) | {"head": int(name[lo]), "next": None, "low": int(name[lo]), "cut": 0, "area": int(turned)}
-                if closed[order[lo]]:
-                    if turned <= 0:  # the border of a hole
-                        continue
-                    py, px_ = py[stay], px_[stay]
-                    if len(py) > 1 and py[-1] == py[0] and px_[-1] == px_[0]:
-                        py, px_ = py[:-1], px_[:-1]
-                    bend = bends(py, px_) if simplify else np.s_[:]
-                    py, px_ = py[bend], px_[bend]
-                else:
-                    low = int(name[lo:hi].argmin())
-                    row |= {"next": int(edge["next"][order[hi - 1]]), "low": int(name[lo + low]), "cut": int(stay[: low + 1].sum()) - 1}
-                    py, px_ = py[stay], px_[stay]
-                rows.append(row | {"points": points(py, px_)})
-            if len(rows) >= 1000:
-                yield pd.DataFrame(rows).astype({"next": "Int64"})
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows).astype({"next": "Int64"})
+    def traced(run_: dict[str, np.ndarray], first: np.ndarray, kinds: dict) -> pa.RecordBatch | None:
+        lead = [run_[k][first] for k in keys]
+        low = tuple(run_[c][first].astype("int64") * size for c in ("_by", "_bx"))
+        edge = half_edges(*(run_[c].astype("int64") for c in ("y", "x0", "x1")), first, low, size)
+        if not len(edge["y"]):
+            return None
+        chain, rank, closed = _linked(edge["after"])
+        order = np.lexsort((rank, chain))
+        block, y, x, side, closed, next_ = (v[order] for v in (edge["block"], edge["y"], edge["x"], edge["side"], closed, edge["next"]))
+        heads = np.flatnonzero(rank[order] == 0)
+        ends = np.r_[heads[1:], len(y)]
+        area = np.add.reduceat(np.where(side == 1, x + 1, np.where(side == 3, -x, 0)), heads)
+        name = ((y << 30) + x) * 4 + side
+        least = np.minimum.reduceat(name, heads)
+        stay = np.r_[True, (y[1:] != y[:-1]) | (x[1:] != x[:-1])]
+        stay[heads] = True
+        ring = np.repeat(np.arange(len(heads)), ends - heads)
+        whole = closed[heads]
+        wanted = ~whole | (area > 0)  # not the border of a hole
+        # points before the smallest name of an open fragment; a closed one starts with it
+        nth = np.cumsum(stay)
+        cut = np.zeros(len(heads), np.int64)
+        lowest = np.flatnonzero(name == least[ring])
+        cut[ring[lowest]] = nth[lowest] - nth[heads[ring[lowest]]]
+        # a closed ring does not repeat its first point
+        kept = stay & wanted[ring]
+        final = np.maximum.reduceat(np.where(stay, np.arange(len(y)), -1), heads)
+        again = whole & (final > heads) & (y[final] == y[heads]) & (x[final] == x[heads])
+        kept[final[again]] = False
+        y, x, ring = y[kept], x[kept], ring[kept]
+        if simplify and len(y):
+            starts = np.flatnonzero(np.r_[True, ring[1:] != ring[:-1]])
+            bend = _bends(y, x, starts, np.diff(np.r_[starts, len(y)])) | ~whole[ring]
+            y, x, ring = y[bend], x[bend], ring[bend]
+        some = np.flatnonzero(wanted)
+        offsets = np.r_[0, np.cumsum(np.bincount(ring, minlength=len(heads))[some])]
+        points = pa.StructArray.from_arrays([pa.array(x.astype("int32")), pa.array(y.astype("int32"))], ["x", "y"])
+        at, shut = heads[some], whole[some]
+        columns = [pa.array(v[block[at]], kinds[k]) for k, v in zip(keys, lead)]
+        columns += [pa.array(name[at]), pa.array(next_[ends[some] - 1], mask=shut), pa.array(np.where(shut, name[at], least[some]))]
+        columns += [pa.array(np.where(shut, 0, cut[some]).astype("int32")), pa.array(area[some].astype("int64"))]
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), points))
+        return pa.RecordBatch.from_arrays(columns, [*keys, "head", "next", "low", "cut", "area", "points"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {}
+
+        def frames() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                kinds.update({f.name: f.type for f in batch.schema})
+                yield batch.to_pandas()
+
+        for runs, first in many_groups(frames(), [*keys, "_by", "_bx"], _RUNS):
+            _, _, high, wide = _extent(*(runs[c].astype("int64") for c in ("y", "x0", "x1")), first)
+            stack = np.cumsum(high * wide) // _CELLS
+            for lo, hi in zip(*(lambda b: (b[:-1], b[1:]))(np.r_[np.flatnonzero(np.r_[True, stack[1:] != stack[:-1]]), len(first)])):
+                a, b = first[lo], first[hi] if hi < len(first) else len(runs["y"])
+                made = traced({c: v[a:b] for c, v in runs.items()}, first[lo:hi] - a, kinds)
+                if made is not None:
+                    yield made
 
     return run
 
@@ -148,7 +181,7 @@ def _fragments(px: DataFrame, keys: list[str], simplify: bool, size: int) -> Dat
     cut = sent.withColumn("x0", F.greatest("x0", edge - 1)).withColumn("x1", F.least("x1", edge + size))
     long = [T.StructField(c, T.LongType()) for c in ("head", "next", "low")] + [T.StructField("cut", T.IntegerType()), T.StructField("area", T.LongType())]
     schema = T.StructType([*px.select(*keys).schema.fields, *long, T.StructField("points", T.ArrayType(POINT))])
-    return sorted_by_block(cut, [*keys, "_by", "_bx"], []).mapInPandas(_trace(keys, size, simplify), schema)
+    return sorted_by_block(cut, [*keys, "_by", "_bx"], []).mapInArrow(_trace(keys, size, simplify), schema)
 
 
 def _with_places(open_: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Work that has to be spread, packed or done for many small images at once."""
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import contours
 from tessera.operators import morphology as mo
 from tessera.operators import segmentation_scores as ss
 from tessera.operators import stencil
@@ -140,3 +142,13 @@ def test_documents_are_cut_without_a_join(plain):
     made = exports.viewer_documents(rows, "a", 100)
     assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.slide_id, r.part, r.elements) for r in made.collect()) == [(s, p, 100 if p < 5 else 75) for s in (0, 1) for p in range(1, 6)]
+
+
+def test_small_pieces_are_traced_together(monkeypatch):
+    rows = [(i, 0, 0, y, 0, 3 + i % 3) for i in range(300) for y in range(4)]
+    batch = pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["image_id", "_by", "_bx", "y", "x0", "x1"]).astype("int32"))
+    calls, whole = [], contours.half_edges
+    monkeypatch.setattr(contours, "half_edges", lambda *a: calls.append(1) or whole(*a))
+    made = [r for b in contours._trace(["image_id"], 512, True)(iter([batch[:501], batch[501:]])) for r in b.to_pylist()]
+    assert [(r["image_id"], [(p["x"], p["y"]) for p in r["points"]]) for r in made] == [(i, [(0, 0), (3 + i % 3, 0), (3 + i % 3, 3), (0, 3)]) for i in range(300)]
+    assert len(calls) < 5
