@@ -122,7 +122,7 @@ def _detections(fx: "Fixtures") -> DataFrame:
 
 
 CELLS_A_PART = 20_000  # cells that a task turns into pixels, some 60 each
-ITEMS_A_PART = 250_000  # line items whose frames a task fills
+ITEMS_A_PART = 250_000  # line items that a task makes into instances, or whose frames it fills
 
 
 def _cells(fx: "Fixtures") -> DataFrame:
@@ -131,6 +131,12 @@ def _cells(fx: "Fixtures") -> DataFrame:
     return fx.made("fx_cells").repartition(n, "inst_id")
 
 
+def _inst(fx: "Fixtures") -> DataFrame:
+    """An instance is one line item, so nothing is saved by an aggregate before the exchange, which holds a whole file split."""
+    items = fx["lineitem"]
+    return fx.made("fx_inst", lineitem=items.repartition(parts_for(items, ITEMS_A_PART), "l_orderkey"))
+
+
 def _blob(fx: "Fixtures") -> DataFrame:
     """A frame has 64 x 64 pixels, so line items are dealt by it and what is done within frames needs no other exchange."""
     items = fx["lineitem"]
@@ -146,7 +152,7 @@ def _dil(fx: "Fixtures") -> DataFrame:
     return moved.where("x between 0 and 63 and y between 0 and 63").distinct()
 
 
-BUILDERS = {"fx_tiles": _tiles, "fx_det": _detections, "fx_cells": _cells, "fx_blob": _blob, "fx_dil": _dil}
+BUILDERS = {"fx_tiles": _tiles, "fx_det": _detections, "fx_cells": _cells, "fx_inst": _inst, "fx_blob": _blob, "fx_dil": _dil}
 
 
 class Fixtures:

@@ -152,3 +152,9 @@ def test_small_pieces_are_traced_together(monkeypatch):
     made = [r for b in contours._trace(["image_id"], 512, True)(iter([batch[:501], batch[501:]])) for r in b.to_pylist()]
     assert [(r["image_id"], [(p["x"], p["y"]) for p in r["points"]]) for r in made] == [(i, [(0, 0), (3 + i % 3, 0), (3 + i % 3, 3), (0, 3)]) for i in range(300)]
     assert len(calls) < 5
+
+
+def test_instances_are_aggregated_behind_the_exchange(plain, fx):
+    plan = fx["fx_inst"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Aggregate(") < plan.index("Exchange hashpartitioning")
+    assert fx["fx_inst"].exceptAll(fx.made("fx_inst")).count() == 0 and fx["fx_inst"].count() == fx.made("fx_inst").count()
