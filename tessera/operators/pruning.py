@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.tiling import cells_touched
+from tessera.operators.tiling import cells_touched, tile_pitch, tile_sets
 from tessera.session import small_enough
 
 def attach_slide_size(df: DataFrame, slides: DataFrame) -> DataFrame:
@@ -49,35 +49,25 @@ def patches_by_chunk(patches: DataFrame, slides: DataFrame, pitch: int) -> DataF
     return sized.withColumn("cc", F.explode(across)).withColumn("cr", F.explode(down))
 
 
-def tiles_meeting(tiles: DataFrame, boxes: DataFrame, cell: int = 1024) -> DataFrame:
-    """Tiles of any layout that meet at least one box (closed).
+def tile_sets_meeting(slides: DataFrame, boxes: DataFrame, tile: int = 4096, patch_out: int = 144, margin: int = 64) -> DataFrame:
+    """Tiles of ``tile_sets`` that meet at least one box (closed, whole coordinates).
 
-    First by whole cells: a tile that contains a cell some box touches is kept, for which the boxes
-    shrink to the distinct occupied cells.  Only tiles left over (narrow strips, empty ones) are
-    compared with boxes.
+    Every box names the tiles it meets by arithmetic: for either axis the first and last grid tile, strip and cross.
+    What is shuffled are distinct spans, already reduced per task, which become tiles behind the exchange.
+    Names of tiles that a slide lacks find no partner.
     """
-    key = ["slide_id", "mode", "c", "r"]
-
-    def covered(df: DataFrame, x0: str, y0: str, x1: str, y1: str) -> DataFrame:
-        across = df.withColumn("_cx", F.explode(F.sequence(_index(F.col(x0), cell), _index(F.col(x1), cell))))
-        return across.withColumn("_cy", F.explode(F.sequence(_index(F.col(y0), cell), _index(F.col(y1), cell))))
-
-    tile_cells = covered(tiles.select(*key, "x0", "y0", "x1", "y1"), "x0", "y0", "x1", "y1")
-    box_cells = covered(boxes.select("slide_id", "x_min", "y_min", "x_max", "y_max"), "x_min", "y_min", "x_max", "y_max")
-    occupied = box_cells.select("slide_id", "_cx", "_cy").distinct()
-    within = (
-        (F.col("_cx") * cell >= F.col("x0"))
-        & ((F.col("_cx") + 1) * cell <= F.col("x1"))
-        & (F.col("_cy") * cell >= F.col("y0"))
-        & ((F.col("_cy") + 1) * cell <= F.col("y1"))
-    )
-    sure = tile_cells.where(within).join(occupied, ["slide_id", "_cx", "_cy"], "left_semi").select(*key).distinct()
-    open_cells = tile_cells.join(sure, key, "left_anti")
-    meets = [open_cells[k] == box_cells[k] for k in ("slide_id", "_cx", "_cy")] + [
-        box_cells["x_min"] <= open_cells["x1"],
-        box_cells["x_max"] >= open_cells["x0"],
-        box_cells["y_min"] <= open_cells["y1"],
-        box_cells["y_max"] >= open_cells["y0"],
-    ]
-    tested = open_cells.join(box_cells, meets, "left_semi").select(*key).distinct()
-    return tiles.join(sure.unionByName(tested), key, "left_semi")
+    t = tile_pitch(tile, patch_out)
+    halves = {"g": None, "s": margin, "w": 2 * margin}  # grid, strip, cross; half the width of the last two
+    spans = []
+    for axis, lo, hi in (("c", "x_min", "x_max"), ("r", "y_min", "y_max")):
+        for name, half in halves.items():
+            # grid tile k is [k * t, (k + 1) * t]; a strip reaches ``half`` to both sides of the line (k + 1) * t
+            first = _index(F.col(lo) - (half or 0) - 1, t)
+            last = _index(F.col(hi) + (half or 0), t) - (0 if half is None else 1)
+            spans += [first.alias(f"{axis}{name}0"), last.alias(f"{axis}{name}1")]
+    span = lambda v: F.when(F.col(v + "0") <= F.col(v + "1"), F.sequence(F.col(v + "0"), F.col(v + "1"))).otherwise(F.array().cast("array<int>"))
+    met = boxes.select("slide_id", *spans).distinct()
+    modes = F.array(*[F.struct(F.lit(mode).alias("mode"), span("c" + x).alias("cs"), span("r" + y).alias("rs")) for mode, (x, y) in enumerate(("gg", "sg", "gs", "ww"))])
+    met = met.select("slide_id", F.explode(modes).alias("m")).select("slide_id", "m.mode", "m.rs", F.explode("m.cs").alias("c"))
+    met = met.select("slide_id", "mode", "c", F.explode("rs").alias("r")).distinct()
+    return tile_sets(slides, tile, patch_out, margin).join(met, ["slide_id", "mode", "c", "r"], "left_semi")

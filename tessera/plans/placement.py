@@ -113,7 +113,7 @@ select t.slide_id, mode, c, r from fx_tiles t where exists (select 1 from m wher
  and m.x*64<=t.x1 and m.x*64+64>=t.x0 and m.y*64<=t.y1 and m.y*64+64>=t.y0)""",
 )
 def tiles_with_patches(fx: Fixtures) -> DataFrame:
-    from tessera.operators.pruning import tiles_meeting
+    from tessera.operators.pruning import tile_sets_meeting
 
     blocks = fx["fx_mask_px"].select(
         "slide_id",
@@ -122,7 +122,7 @@ def tiles_with_patches(fx: Fixtures) -> DataFrame:
         (F.col("x") * 64 + 64).alias("x_max"),
         (F.col("y") * 64 + 64).alias("y_max"),
     )
-    return tiles_meeting(tiling.tile_sets(fx["fx_slides"]), blocks).select("slide_id", "mode", "c", "r")
+    return tile_sets_meeting(fx["fx_slides"], blocks).select("slide_id", "mode", "c", "r")
 
 
 @query(

@@ -9,10 +9,10 @@ from tessera.operators import contours
 from tessera.operators import morphology as mo
 from tessera.operators import segmentation_scores as ss
 from tessera.operators import stencil
-from tessera.operators.pruning import attach_slide_size
+from tessera.operators.pruning import attach_slide_size, tile_sets_meeting
 from tessera.operators.runs import to_runs
 from tessera.operators.stitch import stitch_on_grid
-from tessera.operators.tiling import centred_patches, tile_pitch
+from tessera.operators.tiling import centred_patches, tile_pitch, tile_sets
 from tessera.session import ship_package
 from tessera.sources import exports, raster_store
 from tessera.streaming import jobs
@@ -158,3 +158,32 @@ def test_instances_are_aggregated_behind_the_exchange(plain, fx):
     plan = fx["fx_inst"]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("Aggregate(") < plan.index("Exchange hashpartitioning")
     assert fx["fx_inst"].exceptAll(fx.made("fx_inst")).count() == 0 and fx["fx_inst"].count() == fx.made("fx_inst").count()
+
+
+def test_boxes_name_their_tiles_where_they_are(plain, fx):
+    def rows_sent(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        df.write.format("noop").mode("overwrite").save()
+        sent, todo = 0, [plan]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                sent += node.metrics().apply("shuffleRecordsWritten").value()
+        return sent
+
+    from tessera.plans.placement import tiles_with_patches
+
+    assert rows_sent(tiles_with_patches(fx)) < fx["fx_mask_px"].count() / 10
+
+
+def test_tiles_that_touch_boxes(spark):
+    slides = spark.createDataFrame([(1, 9000, 7000), (2, 4032, 4033), (3, 300, 12200)], "slide_id int, proc_w int, proc_h int")
+    edges = [0, 1, 100, 3903, 3904, 3967, 3968, 4032, 4096, 4097, 4160, 4161, 8063, 8064, 8128, 8192, 8193, 9500]
+    boxes = [(s, x, y, x + w, y + h) for s in (1, 2, 3) for x in edges for y in edges for w, h in ((0, 0), (64, 3), (4200, 1))]
+    tiles = [tuple(r) for r in tile_sets(slides).select("slide_id", "mode", "c", "r", "x0", "y0", "x1", "y1").collect()]
+    for part in [[b] for b in boxes[::37]] + [boxes]:
+        made = spark.createDataFrame(part, "slide_id int, x_min int, y_min int, x_max int, y_max int")
+        want = {t[:4] for t in tiles if any(b[0] == t[0] and b[1] <= t[6] and b[3] >= t[4] and b[2] <= t[7] and b[4] >= t[5] for b in part)}
+        got = [tuple(r) for r in tile_sets_meeting(slides, made).select("slide_id", "mode", "c", "r").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
