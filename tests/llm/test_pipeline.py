@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, mixing, quality, secret_scan
+from tessera.llm import bpe, mixing, quality, secret_scan, similar_sets
 from tests.llm.test_operators import DOC_COLUMNS, PROSE, wrapped_key
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +106,35 @@ def test_near_copies_go_and_false_ones_stay(spark):
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert got == plain_heads(dict(enumerate(texts)))
     assert len(got) < len(texts) - 80
+
+
+def test_only_texts_within_reach_are_held_as_whole_sets(spark, monkeypatch):
+    rnd = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    shared = " ".join(rnd.choices(vocabulary, k=5))
+    texts = [shared + " " + " ".join(rnd.choices(vocabulary, k=int(10 * 1.5**i))) for i in range(12)]  # one shingle in common, lengths too far apart
+    base = rnd.choices(vocabulary, k=120)
+    texts += [" ".join(base), " ".join([*base[:-1], "other"])]
+    named = []
+    whole = similar_sets.whole_sets
+    monkeypatch.setattr(similar_sets, "whole_sets", lambda t, sids, words: (named.append(sids.count()), whole(t, sids, words))[1])
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOC_COLUMNS)
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert got == plain_heads(dict(enumerate(texts))) and named == [2]
+
+
+def test_no_posting_of_a_similar_pair_is_left_out(spark):
+    rnd = random.Random(29)
+    texts = []
+    for _ in range(40):
+        base = rnd.choices([f"w{i}" for i in range(60)], k=rnd.randint(8, 60))
+        texts += [" ".join(base)] + [" ".join(base[: len(base) - rnd.randint(0, len(base) // 4)] + rnd.choices("xyz", k=rnd.randint(0, 3))) for _ in range(4)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = {(r["h"], r["sid"]) for r in similar_sets.with_partners(similar_sets.postings(df)).collect()}
+    sets = {similar_sets.sequence_hash(t): plain_shingles(t) for t in texts}
+    met = {}
+    for h, sid in rows:
+        met.setdefault(h, set()).add(sid)
+    together = {(a, b) for group in met.values() for a in group for b in group if a < b}
+    similar = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert similar and similar <= together
