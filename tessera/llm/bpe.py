@@ -32,7 +32,7 @@ from tessera.llm.common import per_batch
 from tessera.llm.pretokens import Splitter
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-BLOCK_CHARS = 4_000_000  # text of one replay
+BLOCK_CHARS = 1_500_000  # text of one replay
 BLOCK_WORDS = 500_000  # pre-tokens of one replay when a single text is longer than that
 KEPT_WORDS = 300_000  # words whose ids a worker remembers
 
