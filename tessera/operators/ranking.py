@@ -29,32 +29,47 @@ def running_totals(
     totals: dict[str, Column],
     parts: int | None = None,
     window_rows: int | None = None,
+    size: str | None = None,
 ) -> DataFrame:
-    """Add cumulative sums of ``totals`` within ``keys`` in ``order`` (which must be unique per key)."""
+    """Add cumulative sums of ``totals`` within ``keys`` in ``order`` (which must be unique per key).
+
+    ``size`` names a further column: the rows of the key.
+    """
     order = _order(order)
     names = list(totals)
     biggest = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     if biggest <= (WINDOW_ROWS if window_rows is None else window_rows):
         whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(whole).alias(n) for n, c in totals.items()])
+        sized = [F.count("*").over(Window.partitionBy(*keys)).alias(size)] if size else []
+        return df.select("*", *[F.sum(c).over(whole).alias(n) for n, c in totals.items()], *sized)
     spread = df.select("*", *[c.alias("_v_" + n) for n, c in totals.items()]).repartitionByRange(
         parts or shuffle_width(df.sparkSession), *[F.col(k) for k in keys], *order
     )
     fixed = stable_copy(spread.withColumn("_pid", F.spark_partition_id()))
-    per_part = fixed.groupBy(*keys, "_pid").agg(*[F.sum("_v_" + n).alias("_s_" + n) for n in names])
-    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = fixed.groupBy(*keys, "_pid").agg(F.count("*").alias("_rows"), *[F.sum("_v_" + n).alias("_s_" + n) for n in names])
+    by_key = Window.partitionBy(*keys)
+    earlier = by_key.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        per_part.select(*keys, "_pid", *[F.sum("_s_" + n).over(earlier).alias("_o_" + n) for n in names])
-        .where(F.col("_o_" + names[0]).isNotNull())
+        per_part.select(
+            *keys,
+            "_pid",
+            F.sum("_rows").over(by_key).alias("_all"),
+            F.count("*").over(by_key).alias("_parts"),
+            *[F.sum("_s_" + n).over(earlier).alias("_o_" + n) for n in names],
+        )
+        .where("_parts > 1")
         .withColumnsRenamed({k: "_k_" + k for k in keys})
         .withColumnRenamed("_pid", "_k_pid")
     )
-    local = Window.partitionBy(*keys, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = fixed.select("*", *[F.sum("_v_" + n).over(local).alias("_l_" + n) for n in names])
+    in_part = Window.partitionBy(*keys, "_pid")
+    local = in_part.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = [F.count("*").over(in_part).alias("_here")] if size else []
+    running = fixed.select("*", *[F.sum("_v_" + n).over(local).alias("_l_" + n) for n in names], *counted)
     same_key = [F.col(k).eqNullSafe(F.col("_k_" + k)) for k in keys]
     joined = running.join(F.broadcast(offsets), [F.col("_pid") == F.col("_k_pid"), *same_key], "left")
+    sized = [F.coalesce("_all", "_here").alias(size)] if size else []
     return joined.select(
-        *df.columns, *[(F.col("_l_" + n) + F.coalesce("_o_" + n, F.lit(0))).alias(n) for n in names]
+        *df.columns, *[(F.col("_l_" + n) + F.coalesce("_o_" + n, F.lit(0))).alias(n) for n in names], *sized
     )
 
 
@@ -64,26 +79,16 @@ def numbered(df: DataFrame, keys: list[str], order: list, name: str = "rn") -> D
 
 
 def evenly_spaced(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
-    """At most ``most`` rows per key, taken at positions ``int(i * n / most)``."""
-    ranked = numbered(df, keys, order, "_rn")
-    sizes = ranked.groupBy(*keys).agg(F.max("_rn").alias("_n"))
-    wanted = sizes.select(
-        *keys,
-        "_n",
-        F.explode(
-            F.when(F.col("_n") <= most, F.array(F.lit(-1).cast("long"))).otherwise(
-                F.transform(
-                    F.sequence(F.lit(0), F.lit(most - 1)),
-                    lambda i: F.floor(i * (F.col("_n") / F.lit(most).cast("double"))),
-                )
-            )
-        ).alias("_at"),
-    )
-    whole = ranked.join(wanted.where("_at < 0").select(*keys), keys, "left_semi")
-    picked = ranked.withColumn("_at", F.col("_rn") - 1).join(
-        wanted.where("_at >= 0").select(*keys, "_at"), [*keys, "_at"], "left_semi"
-    )
-    return whole.select(*df.columns).unionByName(picked.select(*df.columns))
+    """At most ``most`` rows per key, taken at positions ``int(i * n / most)``.
+
+    A row tells from its place and its key's size whether it is taken.  A table of places would have ``most`` rows a
+    key, which Spark takes for no larger than the keys and broadcasts.
+    """
+    ranked = running_totals(df, keys, order, {"_rn": F.lit(1).cast("long")}, size="_n")
+    at, step = F.col("_rn") - 1, F.col("_n") / F.lit(most).cast("double")
+    i = F.floor(at / step)  # steps are over 1 where rows are left out, so no other i than this and the next leads here
+    taken = [(k < most) & (F.floor(k * step) == at) for k in (i, i + 1)]
+    return ranked.where((F.col("_n") <= most) | taken[0] | taken[1]).select(*df.columns)
 
 
 def first_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

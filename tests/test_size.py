@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import contours
+from tessera.operators import contours, ranking
 from tessera.operators import morphology as mo
 from tessera.operators import segmentation_scores as ss
 from tessera.operators import stencil
@@ -187,3 +187,20 @@ def test_tiles_that_touch_boxes(spark):
         want = {t[:4] for t in tiles if any(b[0] == t[0] and b[1] <= t[6] and b[3] >= t[4] and b[2] <= t[7] and b[4] >= t[5] for b in part)}
         got = [tuple(r) for r in tile_sets_meeting(slides, made).select("slide_id", "mode", "c", "r").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_places_of_spaced_rows_are_no_table(spark, monkeypatch, limit):
+    """The places of all keys together were a table, ``most`` rows a key, that Spark sent whole through the driver."""
+    monkeypatch.setattr(ranking, "WINDOW_ROWS", limit)
+    rows = [(k, (i * 7919) % 1009) for k, n in enumerate((1, 6, 7, 8, 13, 49, 50, 99, 100, 1000)) for i in range(n)]
+    rows += [(None, i) for i in range(9)]
+    df = spark.createDataFrame(rows, "k int, o int")
+    for most in (1, 7, 49, 60):
+        made = ranking.evenly_spaced(df, ["k"], ["o"], most)
+        want = []
+        for k in [None, *range(10)]:
+            own = sorted(o for key, o in rows if key == k)
+            want += [(k, o) for o in (own if len(own) <= most else [own[int(i * (len(own) / most))] for i in range(most)])]
+        assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
+        assert "LeftSemi" not in made._jdf.queryExecution().optimizedPlan().toString()
